@@ -5,10 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, decontamination, mixing, quality, sharding
 from .common import cut, table
 
 
+def op1_decontaminate_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.match(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    items = F.col("_match.item_ids")
+    return found.select(
+        "doc_id",
+        "_match.n_words",
+        "_match.n_hit",
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        "_match.contaminated",
+    )
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), v AS (
+  SELECT DISTINCT item, least(len(w), 13) AS size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), g AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM v))
+), h AS (
+  SELECT doc_id, size, i, item FROM g JOIN v USING (size, gram)
+), n AS (
+  SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM h) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op3_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.sql(
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -98,9 +135,17 @@ def op9_shard_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    trees = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), sample_rows=20_000)
+    return quality.judge(docs, trees).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "bad")
+
+
 QUERIES = {
+    "op1_decontaminate_automaton": op1_decontaminate_automaton,
     "op3_chat_prefix_targets": op3_chat_prefix_targets,
     "op5_mix_systematic": op5_mix_systematic,
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
+    "op10_quality_boosted_trees": op10_quality_boosted_trees,
 }
-ORACLES = {"op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL}
+ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL}
