@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, sharding
+from . import chat, decontamination, mixing, quality, sharding, tokens, url_filter
 from .common import cut, table
 
 
@@ -45,6 +45,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op2_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number ends its path; good: quality 1 and not toxic."""
+    number = F.regexp_extract(url_filter.parts(F.coalesce("url", F.lit("")))[1], "([0-9]{1,18})[^0-9/]*/?$", 1)
+    pages = table(spark, sf_dir, "pages", "page_id", "url").withColumn("label_id", F.when(number != "", number).cast("long"))
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").select(
+        F.col("doc_id").alias("label_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
+    )
+    return url_filter.judge(pages, labels, RULES)
+
 
 def op3_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.sql(
@@ -93,6 +105,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read(tokens.write(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2))
+
 
 def op5_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), weights=(3, 1, 2), budget=1.5, most=2)
@@ -143,7 +164,9 @@ def op10_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate_automaton": op1_decontaminate_automaton,
+    "op2_url_template_tree": op2_url_template_tree,
     "op3_chat_prefix_targets": op3_chat_prefix_targets,
+    "op4_token_wavelet_shards": op4_token_wavelet_shards,
     "op5_mix_systematic": op5_mix_systematic,
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
     "op10_quality_boosted_trees": op10_quality_boosted_trees,
