@@ -16,10 +16,13 @@ documents of their own; an empty table gives no file; only doc_id and text are r
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +35,13 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches
 
 ODD = re.compile(r" \s|\s \Z")  # a space that other white space follows, or that ends the text after some
-RARE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　\0]")  # unusual white space, and the mark used below
+RARE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")  # unusual white space, and the mark used below
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
+#: Byte-level BPE writes each byte as a letter: printable Latin-1 bytes as themselves, the others from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
 
 def chunks(text: str) -> list[str]:
     """Parts of ``text`` that byte-level BPE encodes independently."""
@@ -43,52 +50,71 @@ def chunks(text: str) -> list[str]:
     if "  " in text or " \n" in text or " \t" in text or " \r" in text or text.endswith(("\n ", "\t ", "\r ")):
         return BEFORE_SPACE.split(text)
     return text.replace(" ", "\0 ").split("\0")
+STOPS = frozenset(".,")
 
 
 class Encoder:
     """A tokenizer file with bounded memories of chunks and of words inside them."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
         self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.code = {2: "H", 4: "I"}[self.wide().itemsize]
+        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
 
     @staticmethod
-    def _split(chunk: str) -> list[str]:
+    def _split(chunk: str) -> tuple[str, ...]:
         """Line breaks between visible characters, and a full stop or comma after a letter, are tokens of their own."""
+        if "\n" not in chunk:
+            return (chunk[:-1], chunk[-1]) if chunk[-1:] in STOPS and chunk[-2:-1].isalpha() else (chunk,)
         lines = chunk.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in (lines[0].lstrip(" "), *lines[1:])):
-            return [chunk]
-        out = []
-        for k, line in enumerate(lines):
-            if k:
-                out.append("\n")
-            if len(line) > 2 and line[-1] in ".," and line[-2].isalpha():
-                out += [line[:-1], line[-1]]
-            else:
-                out.append(line)
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian, in ``wide``."""
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
+            return (chunk,)
+        out = list(Encoder._split(lines[0]))
+        for line in lines[1:]:
+            out += "\n", *Encoder._split(line)
+        return tuple(out)
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Letters after at most one space are one pre-token and go to the tokenizer's model at once."""
+        plain, rest = [], []
+        for w in words:
+            (plain if w[w[0] == " " :].isalpha() else rest).append(w)
+        found = {w: [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in plain}
+        found |= {w: e.ids for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        return [array(self.code, found[w]).tobytes() for w in words]
+
+    def _chunk_ids(self, distinct: list[str]) -> list[bytes]:
         if len(self.chunks) > self.most:
-            self.chunks = {"": b""}
+            self.chunks = {}
         if len(self.words) > 2 * self.most:
             self.words = {"": b""}
-        parts = [chunks(t) for t in texts]
-        new = {c: self._split(c) for c in set().union(*parts) - self.chunks.keys()}
-        words = list({w for p in new.values() for w in p} - self.words.keys())
+        new = {c: self._split(c) for c in distinct if c not in self.chunks}
+        words = list({w for p in new.values() for w in p if w not in self.words})
         self.words.update(zip(words, self._encode(words), strict=True))
         for c, p in new.items():
             self.chunks[c] = b"".join([self.words[w] for w in p])
-        known = self.chunks.__getitem__
-        return [b"".join(map(known, p)) for p in parts]
+        return [self.chunks[c] for c in distinct]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        parts = [chunks(t) for t in texts]
+        coded = pa.array(list(itertools.chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        found = self._chunk_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        width = self.wide().itemsize
+        sizes = np.array([len(x) // width for x in found], np.int64)
+        every, places = np.frombuffer(b"".join(found), self.wide), coded.indices.to_numpy()
+        lengths = sizes[places]
+        ends = np.cumsum(lengths)
+        shift = (np.cumsum(sizes) - sizes)[places] - (ends - lengths)  # from a chunk's place in the output to its ids
+        ids = every[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, parts)])]
+        return ids, np.diff(bounds)
 
 
 class WaveletMatrix:
@@ -108,12 +134,12 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
-            ones = (ids >> k & 1).astype(bool)
+            ones = (ids & ids.dtype.type(1 << k)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
             low = ids[~ones]
             zeros.append(len(low))
             ids = np.concatenate((low, ids[ones]))
-        return cls(sum(len(x) for x in (ids,)), planes, zeros)
+        return cls(len(ids), planes, zeros)
 
     def ids(self, kind: type = np.uint32) -> np.ndarray:
         """The whole sequence, from the lowest plane upwards."""
@@ -198,29 +224,29 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = 500_000) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the shards; the table of files: part, shard, docs, tokens, file."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)  # more rows share more words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
         _ENCODERS[tokenizer] = encoder
-        end, width = encoder.wide(end_id).tobytes(), encoder.wide().itemsize
+        end = np.array([end_id], encoder.wide)
         bits = max(int(end_id).bit_length(), (encoder.tokenizer.get_vocab_size() - 1).bit_length())
         part, shard = TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(x) // width for x in held]
-            ids = np.frombuffer(b"".join(held), encoder.wide)
-            row = (part, shard, len(held), len(ids), pack(ids, lengths, doc_ids, bits))
+            ids = np.concatenate([x for h in held for x in (h, end)])
+            row = (part, shard, len(held), len(ids), pack(ids, [len(h) + 1 for h in held], doc_ids, bits))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "shard", "docs", "tokens", "file"])
 
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.encode([t or "" for t in b["text"].to_pylist()]), strict=True):
-                held.append(ids + end)
+            ids, counts = encoder.encode([t or "" for t in b["text"].to_pylist()])
+            for doc_id, own in zip(b["doc_id"].to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                held.append(own)
                 doc_ids.append(doc_id)
-                size += len(held[-1]) // width
+                size += len(own) + 1
                 if size >= shard_tokens:
                     yield flush()
                     held, doc_ids, size, shard = [], [], 0, shard + 1
