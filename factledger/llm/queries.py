@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, sharding, tokens, url_filter
+from . import chat, decontamination, mixing, near_dedup, quality, sharding, tokens, url_filter
 from .common import cut, table
 
 
@@ -146,6 +146,10 @@ SELECT doc_id, size, source_size, target, ((floor(rank * rate + u) - floor((rank
 """
 
 
+def op7_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=2, percent=80)
+
+
 def op9_shard_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -168,6 +172,7 @@ QUERIES = {
     "op3_chat_prefix_targets": op3_chat_prefix_targets,
     "op4_token_wavelet_shards": op4_token_wavelet_shards,
     "op5_mix_systematic": op5_mix_systematic,
+    "op7_minhash_odd_sketch": op7_minhash_odd_sketch,
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
     "op10_quality_boosted_trees": op10_quality_boosted_trees,
 }
