@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, near_dedup, quality, sharding, tokens, url_filter
+from . import chat, decontamination, mixing, near_dedup, quality, sharding, suffix_dedup, tokens, url_filter
 from .common import cut, table
 
 
@@ -150,6 +150,12 @@ def op7_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=2, percent=80)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_shard_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -173,6 +179,7 @@ QUERIES = {
     "op4_token_wavelet_shards": op4_token_wavelet_shards,
     "op5_mix_systematic": op5_mix_systematic,
     "op7_minhash_odd_sketch": op7_minhash_odd_sketch,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
     "op10_quality_boosted_trees": op10_quality_boosted_trees,
 }
