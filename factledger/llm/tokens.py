@@ -22,11 +22,11 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-ODD = re.compile(r" \s|\s \Z")  # a space that other white space follows, or that ends the text after some
 RARE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")  # unusual white space, and the mark used below
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
@@ -43,27 +42,38 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
-def chunks(text: str) -> list[str]:
-    """Parts of ``text`` that byte-level BPE encodes independently."""
+def marks(text: str) -> str | None:
+    """``text`` with ``\\0`` between parts that byte-level BPE encodes independently; None if it has such a character."""
     if RARE.search(text):
-        return BEFORE_SPACE.split(text) if ODD.search(text) else re.split(r"(?= )", text)
-    if "  " in text or " \n" in text or " \t" in text or " \r" in text or text.endswith(("\n ", "\t ", "\r ")):
-        return BEFORE_SPACE.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+        if "\0" in text:
+            return None
+    elif not ("  " in text or " \n" in text or " \t" in text or " \r" in text or text.endswith(("\n ", "\t ", "\r "))):
+        return text.replace(" ", "\0 ")
+    return "\0".join(BEFORE_SPACE.split(text))
+
+
+def chunks(text: str) -> list[str]:
+    return BEFORE_SPACE.split(text)
+
+
 STOPS = frozenset(".,")
 
 
 class Encoder:
     """A tokenizer file with bounded memories of chunks and of words inside them."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        self.letters = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.letters[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.by_space = Tokenizer(self.tokenizer.model)
+        self.by_space.pre_tokenizer = WhitespaceSplit()
         self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = {2: "H", 4: "I"}[self.wide().itemsize]
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
 
@@ -81,40 +91,62 @@ class Encoder:
         return tuple(out)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Letters after at most one space are one pre-token and go to the tokenizer's model at once."""
-        plain, rest = [], []
+        """Letters after at most one space are one pre-token: the tokenizer's model takes all of them in one call."""
+        plain, letters, rest = [], [], []
         for w in words:
-            (plain if w[w[0] == " " :].isalpha() else rest).append(w)
-        found = {w: [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in plain}
-        found |= {w: e.ids for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
-        return [array(self.code, found[w]).tobytes() for w in words]
+            if not w[w[0] == " " :].isalpha():
+                rest.append(w)
+            else:
+                plain.append(w)
+                if not w.isascii():
+                    w = w.encode().decode("latin-1").translate(BYTE_LETTERS)
+                elif w[0] == " ":
+                    w = BYTE_LETTERS[32] + w[1:]
+                letters.append(w)
+        found = {w: np.array(e.ids, self.wide).tobytes() for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        if plain:
+            one = self.by_space.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0]
+            ids = np.array(one.ids, self.wide)
+            # a word ends where its letters end
+            ends = np.searchsorted(np.cumsum(self.letters[ids]), np.cumsum(list(map(len, letters)))) + 1
+            ends = (ends * ids.itemsize).tolist()
+            ids = ids.tobytes()
+            found.update(zip(plain, [ids[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        return [found[w] for w in words]
 
     def _chunk_ids(self, distinct: list[str]) -> list[bytes]:
-        if len(self.chunks) > self.most:
+        known = self.chunks.get
+        found = [known(c) for c in distinct]
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.chunks) + len(missing) > self.most:
             self.chunks = {}
         if len(self.words) > 2 * self.most:
             self.words = {"": b""}
-        new = {c: self._split(c) for c in distinct if c not in self.chunks}
-        words = list({w for p in new.values() for w in p if w not in self.words})
+        split = [self._split(distinct[k]) for k in missing]
+        words = list({w for p in split for w in p if w not in self.words})
         self.words.update(zip(words, self._encode(words), strict=True))
-        for c, p in new.items():
-            self.chunks[c] = b"".join([self.words[w] for w in p])
-        return [self.chunks[c] for c in distinct]
+        for k, p in zip(missing, split, strict=True):
+            self.chunks[distinct[k]] = found[k] = b"".join([self.words[w] for w in p])
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
-        parts = [chunks(t) for t in texts]
-        coded = pa.array(list(itertools.chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        marked = [marks(t) for t in texts]
+        if None in marked:
+            parts = [chunks(t) for t in texts]
+            flat, counts = pa.array(list(itertools.chain.from_iterable(parts)), pa.string()), list(map(len, parts))
+        else:
+            parts = pc.split_pattern(pa.array(marked, pa.string()), "\0")
+            flat, counts = parts.flatten(), pc.list_value_length(parts).to_numpy()
+        coded = flat.dictionary_encode()
         found = self._chunk_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        width = self.wide().itemsize
-        sizes = np.array([len(x) // width for x in found], np.int64)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.wide().itemsize
         every, places = np.frombuffer(b"".join(found), self.wide), coded.indices.to_numpy()
         lengths = sizes[places]
         ends = np.cumsum(lengths)
         shift = (np.cumsum(sizes) - sizes)[places] - (ends - lengths)  # from a chunk's place in the output to its ids
         ids = every[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, parts)])]
-        return ids, np.diff(bounds)
+        return ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))])
 
 
 class WaveletMatrix:
