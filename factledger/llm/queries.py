@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, near_dedup, quality, sharding, suffix_dedup, tokens, url_filter
+from . import chat, decontamination, mixing, near_dedup, pii, quality, sharding, suffix_dedup, tokens, url_filter
 from .common import cut, table
 
 
@@ -146,6 +146,18 @@ SELECT doc_id, size, source_size, target, ((floor(rank * rate + u) - floor((rank
 """
 
 
+def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    named = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, pii.KINDS),
+        F.sha2(F.array_join(named(F.col("base")), ","), 256).alias("base_sha256"),
+        F.array_join(named(F.concat("base", "terms")), ",").alias("spans"),
+    )
+
+
 def op7_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=2, percent=80)
 
@@ -178,6 +190,7 @@ QUERIES = {
     "op3_chat_prefix_targets": op3_chat_prefix_targets,
     "op4_token_wavelet_shards": op4_token_wavelet_shards,
     "op5_mix_systematic": op5_mix_systematic,
+    "op6_pii_disclosure": op6_pii_disclosure,
     "op7_minhash_odd_sketch": op7_minhash_odd_sketch,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
