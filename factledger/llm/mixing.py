@@ -77,3 +77,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor(rank * rate + offset(F.col("source"), seed)) - F.floor((rank - 1) * rate + offset(F.col("source"), seed))
     return ranked.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+
+
+def emit(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    taken = mix(docs, **settings).select(key.alias("_mix_key"), "source", "size", "copies")
+    # rows that repeat a doc_id are told apart by their order; nearly all have number 1
+    of_taken = Window.partitionBy("_mix_key").orderBy("source", "size", "copies")
+    of_docs = Window.partitionBy("_key").orderBy("source", "_size", "text")
+    numbered = taken.select("_mix_key", "copies", F.row_number().over(of_taken).alias("_mix_n"))
+    rows = docs.withColumns({"_key": key, "_size": word_count(F.col("text"))}).withColumn("_n", F.row_number().over(of_docs))
+    # the difference keeps the number out of the join's keys, so the window's partitioning serves the join too
+    joined = rows.join(numbered, (F.col("_key") == F.col("_mix_key")) & (F.col("_n") - F.col("_mix_n") == 0)).where("copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
