@@ -212,8 +212,9 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def remove(docs: DataFrame, items: DataFrame, how: str = "drop", **limits) -> DataFrame:
     """``docs`` without contaminated documents (``drop``), or with their hit spans cut out (``cut``)."""
     found = match(docs, items, **limits)
+    columns = docs.columns
     if how == "drop":
-        return found.where(~F.col("_match.contaminated")).select(*docs.columns)
+        return found.where(~F.col("_match.contaminated")).select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,6 +223,6 @@ def remove(docs: DataFrame, items: DataFrame, how: str = "drop", **limits) -> Da
                 for t, m in zip(b["text"].to_pylist(), b["_match"].to_pylist(), strict=True)
             ]
             at = b.schema.get_field_index("text")
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select(docs.columns)
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select(columns)
 
     return found.mapInArrow(run, docs.schema)

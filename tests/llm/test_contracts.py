@@ -235,3 +235,16 @@ def test_op10_held_out_accuracy_and_monotony(spark):
         more = x[2000:].copy()
         more[:, f] += 0.3
         assert (trees.probability(more) >= p - 1e-12).all()
+
+
+def test_op2_tree_rejects_impure_branches(spark):
+    pages = [(i, f"http://h.org/{'spam' if i % 2 else 'good'}/{'v2/' if i % 3 else ''}{i}.html", i) for i in range(400)]
+    pages += [(1000 + i, f"http://other.org/x/{i}", None) for i in range(5)] + [(2000, "http://h.org/spam/v2/999.html", None)]
+    labels = [(i, i % 2 == 0) for i in range(0, 400) if i % 5]
+    from factledger.llm import url_filter
+
+    found = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, label_id long"), spark.createDataFrame(labels, "label_id long, good boolean"), [])
+    rows = {r["page_id"]: r for r in found.collect()}
+    assert len(rows) == len(pages)
+    assert all(rows[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(400)) and rows[2000]["verdict"] == "block" and rows[1000]["verdict"] == "allow"
+    assert rows[1]["template"].startswith("/spam/") and rows[1000]["template"] == "/x/{n}"
