@@ -190,7 +190,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     pairs = cut(keys.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "candidates")
     known = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(known, "id", "left_semi"), "candidate-texts")
+    # a sort-merge join at every size: the list of candidates grows with the corpus
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(known.hint("merge"), "id", "left_semi"), "candidate-texts")
 
     def side(name: str) -> DataFrame:
         return classes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
@@ -236,4 +237,4 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that another one of their group stands for."""
     dropped = groups(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped.hint("merge"), docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
