@@ -125,7 +125,8 @@ def disclosing(docs: DataFrame, found: DataFrame, share: float, support: int) ->
     if pairs.isEmpty():  # no entity has a term in enough contexts: the corpus need not be counted
         return pairs.select("entity", "term")
     each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
-    frequency = each.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    # counted first and joined then: a semi-join would be pushed below the count and see every occurrence of common terms
+    frequency = each.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     total = docs.count()
     pmi = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.greatest("n_t", "n_et")))
     return pairs.join(frequency, "term").where(pmi >= share * F.log2(float(total) / F.col("n_e"))).where(F.col("n_e") < total).select("entity", "term")
