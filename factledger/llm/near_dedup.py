@@ -224,7 +224,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     strays = inside.where("stray").withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("tb") - 1)), "role": F.lit("s")}).withColumn("i", own("sb"))
     cells = targets.unionByName(strays).select("cluster", "i", "j", "role", "id", "root", "stray").join(texts, "id")
     more = cut(cells.groupBy("cluster", "i", "j").applyInPandas(_cell(size, percent), "a long, b long"), "more-links")
-    linked = components(links.union(more))
+    linked = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
     named = (
         signed.select("doc_id", "n_shingles", "digest")
         .join(classes.select("digest", F.col("id").alias("_class")), "digest", "left")
