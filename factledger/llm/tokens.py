@@ -59,6 +59,23 @@ def chunks(text: str) -> list[str]:
 STOPS = frozenset(".,")
 
 
+class Memory:
+    """Ids of strings seen lately: what isn't asked for while half of the room fills up is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        ids = self.young.get(key)
+        if ids is None:
+            if len(self.young) > self.most // 2:
+                self.young, self.old = {}, self.young
+            ids = self.old.get(key)
+            if ids is not None:
+                self.young[key] = ids
+        return ids
+
+
 class Encoder:
     """A tokenizer file with bounded memories of chunks and of words inside them."""
 
@@ -74,8 +91,7 @@ class Encoder:
         self.by_space = Tokenizer(self.tokenizer.model)
         self.by_space.pre_tokenizer = WhitespaceSplit()
         self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.chunks, self.words = Memory(most), Memory(2 * most)
 
     @staticmethod
     def _split(chunk: str) -> tuple[str, ...]:
@@ -94,7 +110,7 @@ class Encoder:
         """Letters after at most one space are one pre-token: the tokenizer's model takes all of them in one call."""
         plain, letters, rest = [], [], []
         for w in words:
-            if not w[w[0] == " " :].isalpha():
+            if not w[w[:1] == " " :].isalpha():
                 rest.append(w)
             else:
                 plain.append(w)
@@ -118,15 +134,14 @@ class Encoder:
         known = self.chunks.get
         found = [known(c) for c in distinct]
         missing = [k for k, ids in enumerate(found) if ids is None]
-        if len(self.chunks) + len(missing) > self.most:
-            self.chunks = {}
-        if len(self.words) > 2 * self.most:
-            self.words = {"": b""}
         split = [self._split(distinct[k]) for k in missing]
-        words = list({w for p in split for w in p if w not in self.words})
-        self.words.update(zip(words, self._encode(words), strict=True))
+        words = list({w for p in split for w in p})
+        ids = dict(zip(words, map(self.words.get, words), strict=True))
+        new = [w for w, x in ids.items() if x is None]
+        for w, x in zip(new, self._encode(new), strict=True):
+            ids[w] = self.words.young[w] = x
         for k, p in zip(missing, split, strict=True):
-            self.chunks[distinct[k]] = found[k] = b"".join([self.words[w] for w in p])
+            self.chunks.young[distinct[k]] = found[k] = b"".join([ids[w] for w in p])
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
