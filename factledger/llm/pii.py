@@ -3,11 +3,12 @@ r"""Personal data by patterns, and information-theoretic sanitisation of what gi
 Base spans: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping for each
 kind. Their values are the protected entities.
 
-Terms: the words within ``WINDOW`` code points of an entity are its context. Equal contexts count once, so copies of a
-document prove nothing. Over the corpus, a term t discloses an entity e as far as pointwise mutual information
-PMI(e; t) = log2(p(e, t) / (p(e) p(t))) comes near to the entity's own information IC(e) = -log2 p(e). A term with
-PMI >= ``share`` * IC in at least ``support`` contexts of the entity is marked beside it, with the kind ``term``. p(t) is the
-term's document frequency over all documents.
+Terms: the whole words within ``WINDOW`` code points of an entity are its context. Everything is counted in distinct texts,
+so copies of a document prove nothing. Over the corpus, a term t discloses an entity e as far as pointwise mutual information
+PMI(e; t) = log2(p(e | t) / p(e)) comes near to the entity's own information IC(e) = -log2 p(e). p(e | t) is smoothed: as if
+``prior`` more texts with the term had been seen in which the entity is as frequent as anywhere. So rare entities count too,
+and the fewer texts speak for a term, the less it proves. A term with PMI >= ``share`` * IC is marked beside the entity, with
+the kind ``term``, unless it overlaps a base span.
 
 Defined results: null texts are empty; null doc_ids and repeated rows are handled row by row; an empty table gives an
 empty result; only doc_id and text are read.
@@ -82,6 +83,10 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def _with_context(kind: str) -> Column:
+    """Valid spans, with the words around them; a character more on each side shows which words are cut."""
+    after = lambda s: F.substring(F.col("_t"), s["end"], F.lit(WINDOW + 2))
+    before = lambda s: F.substring(F.col("_t"), F.greatest(s["start"] - WINDOW, F.lit(1)), F.least(s["start"], F.lit(WINDOW + 1)) + 1)
+    first = lambda s: F.greatest(s["start"] - WINDOW - 1, F.lit(0))
     return F.transform(
         F.filter(f"_{kind}", lambda s: valid(kind, s["value"])),
         lambda s: F.struct(
@@ -89,71 +94,83 @@ def _with_context(kind: str) -> Column:
             s["start"].alias("start"),
             s["end"].alias("end"),
             s["value"].alias("value"),
-            F.greatest(s["start"] - WINDOW, F.lit(0)).alias("from"),
-            F.substring(F.col("_t"), F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))).alias("before"),
-            F.substring(F.col("_t"), s["end"] + 1, F.lit(WINDOW)).alias("after"),
+            F.concat(
+                _words(before(s), first(s), F.greatest(s["start"] - WINDOW, F.lit(0)), s["start"]),
+                _words(after(s), s["end"] - 1, s["end"], s["end"] + WINDOW),
+            ).alias("words"),
         ),
     )
 
 
+def _words(part: Column, offset: Column, low: Column, high: Column) -> Column:
+    """array<struct<term, start, end>>: words of a part of the text from ``offset`` that lie between ``low`` and ``high``."""
+    placed = F.transform(matches(part, WORD), lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + offset).alias("start"), (m["end"] + offset).alias("end")))
+    return F.filter(placed, lambda w: (w["start"] >= low) & (w["end"] <= high))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _t, the text, and _key, which equal texts share."""
+    rows = docs.withColumn("_t", F.coalesce("text", F.lit("")))
+    return rows.withColumn("_key", F.unhex(F.sha2(F.col("_t").cast("binary"), 256)))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id and base (array of kind, start, end, value, and the text before and after), read once and written."""
-    text = F.coalesce("text", F.lit(""))
+    """_key and base (array of kind, start, end, value, words) for each distinct text that has spans, written."""
     gates = {"email": F.contains("_t", F.lit("@")), "ip": F.contains("_t", F.lit(".")), "card": F.lit(True), "phone": F.contains("_t", F.lit("+"))}
     none = F.array().cast("array<struct<start: int, end: int, value: string>>")
-    rows = docs.select("doc_id", text.alias("_t"))
+    rows = keyed(docs.select("text")).select("_t", "_key")
     rows = rows.withColumns({f"_{k}": F.when(gates[k], matches(F.col("_t"), PATTERNS[k])).otherwise(none) for k in KINDS})
+    found = rows.where(" OR ".join(f"size(_{k}) > 0" for k in KINDS))
     spans = F.concat(*(_with_context(kind) for kind in KINDS))
-    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", spans.alias("base")), "pii")
+    return cut(found.select("_key", spans.alias("base")).where("size(base) > 0").dropDuplicates(["_key"]), "pii")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, share: float, support: int) -> DataFrame:
-    """entity, term: what exceeds the disclosure threshold."""
-    entity = F.concat_ws(":", "s.kind", F.lower("s.value"))
-    contexts = found.select(F.explode("base").alias("s")).select(entity.alias("entity"), F.lower("s.before").alias("b"), F.lower("s.after").alias("a")).distinct()
-    sizes = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    words = F.array_distinct(F.concat(F.regexp_extract_all("b", F.lit(WORD), F.lit(0)), F.regexp_extract_all("a", F.lit(WORD), F.lit(0))))
+def disclosing(docs: DataFrame, occurrences: DataFrame, share: float, prior: float) -> DataFrame:
+    """entity, term: what exceeds the disclosure threshold. ``occurrences`` has _key, entity and words."""
+    sizes = occurrences.select("_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = (
-        contexts.join(sizes.select("entity"), "entity", "left_semi")
-        .select("entity", F.explode(words).alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_et"))
-        .where(F.col("n_et") >= support)
-    )
+        occurrences.select("_key", "entity", F.explode("words.term").alias("term")).distinct()
+        .groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    )
     pairs = cut(pairs.join(sizes, "entity"), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    if pairs.isEmpty():  # no entity has a term in enough contexts: the corpus need not be counted
+    if pairs.isEmpty():  # no entity has a word beside it: the corpus need not be counted
         return pairs.select("entity", "term")
-    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
+    texts = keyed(docs.select("text")).select("_key", "_t").dropDuplicates(["_key"])
+    each = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), F.lower))).alias("term"))
     # counted first and joined then: a semi-join would be pushed below the count and see every occurrence of common terms
-    frequency = each.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    total = docs.count()
-    pmi = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    return pairs.join(frequency, "term").where(pmi >= share * F.log2(float(total) / F.col("n_e"))).where(F.col("n_e") < total).select("entity", "term")
+    frequency = each.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term")
+    total = float(keyed(docs.select("text")).select("_key").distinct().count())
+    p_e = F.col("n_e") / total
+    p_e_t = (F.col("n_et") + prior * p_e) / (F.col("n_t") + prior)
+    enough = F.log2(p_e_t / p_e) >= share * -F.log2(p_e)
+    return cut(pairs.join(frequency, "term").where(F.col("n_e") < total).where(enough).select("entity", "term"), "pii-terms")
 
 
-def find(docs: DataFrame, share: float = 0.8, support: int = 3) -> DataFrame:
-    """row, doc_id, base and terms (arrays of kind, start, end) for each row of ``docs`` (doc_id, text)."""
+def find(docs: DataFrame, share: float = 0.8, prior: float = 1.0) -> DataFrame:
+    """doc_id, base and terms (arrays of kind, start, end), and the sanitised text for each row of ``docs`` (doc_id, text)."""
     found = base_spans(docs)
-    risky = disclosing(docs, found, share, support)
-    occurrences = found.select("row", F.explode("base").alias("s")).withColumn("entity", F.concat_ws(":", "s.kind", F.lower("s.value")))
-    shifted = lambda part, offset: F.transform(matches(F.lower(part), WORD), lambda m: F.struct((m["start"] + offset).alias("start"), (m["end"] + offset).alias("end"), m["value"].alias("term")))
+    occurrences = found.select("_key", F.explode("base").alias("s")).select("_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), "s.words")
+    risky = disclosing(docs, occurrences, share, prior)
     near = (
-        occurrences.join(risky.select("entity").distinct(), "entity", "left_semi")
-        .select("row", "entity", F.explode(F.concat(shifted(F.col("s.before"), F.col("s.from")), shifted(F.col("s.after"), F.col("s.end")))).alias("m"))
-        .select("row", "entity", "m.start", "m.end", "m.term")
+        occurrences.select("_key", "entity", F.explode("words").alias("w"))
+        .select("_key", "entity", "w.term", "w.start", "w.end")
         .join(risky, ["entity", "term"], "left_semi")
-        .select("row", "start", "end")
+        .select("_key", "start", "end")
         .distinct()
     )
-    terms = near.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    terms = near.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
-    return found.join(terms, "row", "left").select("row", "doc_id", base.alias("base"), F.coalesce("terms", none).alias("terms"))
+    apart = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    # written, so that the last join may deal a text with many copies to several tasks
+    spans = cut(found.select("_key", base.alias("base")).join(terms, "_key", "left").select("_key", "base", F.coalesce(apart, none).alias("terms")), "pii-spans")
+    rows = keyed(docs.select("doc_id", "text")).join(spans, "_key", "left")
+    rows = rows.select("doc_id", "_t", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
+    return rows.select("doc_id", "base", "terms", sanitised(F.col("_t"), F.concat("base", "terms")).alias("sanitised"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in brackets; of overlapping spans the first stands."""
+    """``text`` with each span replaced by its kind in brackets; overlapping spans go whole, under the kind of the first."""
     in_order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     done = F.aggregate(
         in_order,
@@ -164,6 +181,6 @@ def sanitised(text: Column, spans: Column) -> Column:
                 s["end"].alias("at"),
                 F.concat(d["out"], F.substring(text, d["at"] + 1, s["start"] - d["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
             ),
-        ).otherwise(d),
+        ).otherwise(F.struct(F.greatest(d["at"], s["end"]).alias("at"), d["out"].alias("out"))),
     )
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))

@@ -146,6 +146,33 @@ def test_op6_marks_terms_that_give_an_entity_away(spark, tmp_path):
     assert all(f"term:{docs[0][1].index('the')}:" not in rows[0] for _ in (0,))
 
 
+def test_op6_rare_entities_and_copies(spark):
+    """An entity of one text has its terms marked; copies of one text beside others neither hide nor make a term."""
+    from factledger.llm import pii
+
+    other = [(100 + i, f"the report number{i} about nothing much at all") for i in range(600)]
+    rare = [(1, "the quixtar wrote to solo@y.org about nothing")]
+    many = [(2, "zorblat wrote the letter to x@y.org")] * 400 + [(3 + i, f"zorblat wrote the {w} letter to x@y.org") for i, w in enumerate(("first", "second", "third"))]
+    cut = [(50, "x" * 10 + "overlong" + "," * 60 + " cut@y.org and bob@z.org"), (51, "solo bob")]
+    found = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(other + rare + many + cut, "doc_id long, text string")).collect()}
+    term = lambda i, word, text: any(text[t["start"] : t["end"]] == word for t in found[i]["terms"])
+    assert term(1, "quixtar", rare[0][1]) and not term(1, "the", rare[0][1]) and not term(1, "nothing", rare[0][1])
+    assert found[1]["sanitised"].startswith("the [TERM] ") and "solo@y.org" not in found[1]["sanitised"]
+    assert term(2, "zorblat", many[0][1]) and term(3, "zorblat", many[400][1]) and not term(2, "the", many[0][1])
+    assert found[2]["sanitised"].startswith("[TERM] ") and found[2]["sanitised"].endswith(" to [EMAIL]")
+    assert not any(t["start"] < 18 for t in found[50]["terms"])  # a word that the window cuts
+    assert found[50]["sanitised"].endswith(", [EMAIL] [TERM] [EMAIL]") and found[100]["sanitised"] == other[0][1]
+
+
+def test_op6_sanitised_leaves_nothing_of_overlapping_spans(spark):
+    from pyspark.sql import functions as F
+
+    from factledger.llm import pii
+
+    spans = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for k, a, b in (("card", 2, 6), ("phone", 4, 8), ("ip", 5, 6))))
+    assert spark.range(1).select(pii.sanitised(F.lit("ab3456789z"), spans).alias("x")).first()["x"] == "ab[CARD]9z"
+
+
 def test_op7_components(spark, tmp_path):
     import random
 
