@@ -78,11 +78,15 @@ def replace_first_word(text: Column, old: Column, new: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text))))
 
 
+def collapsed(quote: Column) -> Column:
+    """A quote with each white space as one space and none at its ends."""
+    return F.trim(F.regexp_replace(quote, r"\s+", " "))
+
+
 def exact_position(source: Column, quote: Column) -> Column:
     """Offset (from 0) of the quote, in the text or in the text with its white space collapsed; -1 if absent."""
     plain = F.instr(source, quote) - 1
-    collapsed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.when(plain >= 0, plain).otherwise(F.instr(collapsed(source), collapsed(quote)) - 1)
+    return F.when(plain >= 0, plain).otherwise(F.instr(F.regexp_replace(source, r"\s+", " "), collapsed(quote)) - 1)
 
 
 def word_count_estimate(text: Column) -> Column:

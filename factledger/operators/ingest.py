@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.functions import numeric
+from factledger.functions import numeric, text
 
 # fixed values: signs of cover pages and forms, and of financial substance
 SECTION_SIGNALS = (
@@ -95,6 +95,40 @@ def melt(grid: DataFrame, context: Column) -> DataFrame:
     )
 
 
+def align(items: DataFrame, docs: DataFrame, collapsed: bool = False) -> DataFrame:
+    """item_id, doc_id, position for each row of items (item_id, text) that stands word for word in a row of docs (doc_id, text).
+
+    With ``collapsed``, items that are not found so are looked for with white space collapsed (see ``exact_position``).
+    An item's first and last word may be parts of words, so its inner words, up to six of them, are its key: both sides meet
+    on the hash of as many words. Items without inner words are compared with all documents.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    hashed = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))  # noqa: E731 # plain numbers: array_distinct compares structs pair by pair
+    quotes = items.where("text IS NOT NULL").groupBy("item_id", F.col("text").alias("quote")).agg(F.count("*").alias("_copies"))
+    quotes = quotes.withColumn("_q", text.collapsed(F.col("quote"))).withColumn("_w", words("_q")).withColumn("_n", F.least(F.size("_w") - 2, F.lit(6)))
+    quotes = quotes.withColumn("key", F.when(F.col("_n") > 0, hashed(F.col("_w"), F.lit(2), F.col("_n")))).drop("_w")
+    texts = docs.where("text IS NOT NULL").withColumn("_text", F.unhex(F.md5("text")))
+    sizes = sorted(r["_n"] for r in quotes.select(F.greatest("_n", F.lit(0)).alias("_n")).distinct().collect())  # seven values at most
+    columns = ["item_id", "doc_id", "text", "quote", "_copies"]
+    found = []
+    if sizes and sizes[0] == 0:
+        one_space = texts.withColumn("_c", F.regexp_replace("text", r"\s+", " ") if collapsed else F.col("text"))
+        found.append(one_space.join(quotes.where("_n <= 0"), F.contains("_c", F.col("_q" if collapsed else "quote"))).select(columns))
+    if keyed := [n for n in sizes if n]:
+        places = lambda n: F.when(
+            F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: hashed(F.col("w"), i, n))
+        ).otherwise(F.array().cast("array<bigint>"))
+        grams = texts.select("_text", words("text").alias("w")).select("_text", F.explode(F.array_distinct(F.concat(*map(places, keyed)))).alias("key"))
+        met = grams.join(quotes.where("_n > 0"), "key").select("_text", "item_id", "quote", "_copies").distinct()
+        found.append(met.join(texts, "_text").select(columns))
+    if not found:
+        return docs.limit(0).join(items.limit(0).select("item_id"), F.lit(True)).select("item_id", "doc_id", F.lit(0).cast("long").alias("position"))
+    where = text.exact_position(F.col("text"), F.col("quote")) if collapsed else F.instr("text", F.col("quote")) - 1
+    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    placed = pairs.withColumn("position", where.cast("long")).where("position >= 0")
+    return placed.select("item_id", "doc_id", "position", F.explode(F.array_repeat("position", F.col("_copies").cast("int"))).alias("_")).drop("_")
+
+
 def pack(docs: DataFrame, per: str, budget: int) -> DataFrame:
     """Documents taken in order while they fit the group's budget; one that doesn't fit is skipped and later ones may.
 

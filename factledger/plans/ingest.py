@@ -80,19 +80,18 @@ def useful_rows(t) -> DataFrame:
 
 @query("SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS position FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def exact_align(t) -> DataFrame:
-    """Where items stand word for word in documents.
-
-    Both sides meet on the hash of six words, so only documents that share an item's first words are searched.
-    """
-    words = lambda c: F.split(c, r"\s+")
-    items = t("benchmark").select("item_id", F.col("text").alias("quote"))
-    # the first and the last word of a quote may be parts of words, so its second to seventh word are the key
-    keyed = items.withColumn("key", F.xxhash64(F.array_join(F.slice(words(F.col("quote")), 2, 6), " ")))
-    docs = t("documents").select("doc_id", "text")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 6), " ")))
-    places = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
-    found = places.join(keyed, "key").select("doc_id", "item_id", "quote").distinct().join(docs, "doc_id")
-    return found.withColumn("position", F.instr("text", F.col("quote")).cast("long") - 1).where("position >= 0").select("item_id", "doc_id", "position")
+    """Where items stand word for word in documents."""
+    return I.align(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"))
+
+
+@query(r"""
+WITH b AS (SELECT item_id, text, trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ') AS q FROM benchmark),
+d AS (SELECT doc_id, text, regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g') AS c FROM documents)
+SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN strpos(d.text, b.text) ELSE strpos(c, q) END - 1 AS position FROM b JOIN d ON contains(c, q)
+""")
+def exact_align_collapsed(t) -> DataFrame:
+    """Where items stand in documents, word for word or else with white space collapsed."""
+    return I.align(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"), collapsed=True)
 
 
 @query("SELECT doc_id, md5(text) AS content FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")

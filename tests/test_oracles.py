@@ -38,6 +38,25 @@ def test_oracle(spark, duck, name):
     assert have == want
 
 
+@pytest.mark.parametrize("name", ["exact_align", "exact_align_collapsed"])
+def test_short_and_broken_quotes(spark, tmp_path, name):
+    """Items of 0 to 8 words, cut within words, with other white space, and repeated rows."""
+    texts = ["one two three four five six seven eight nine ten", "  one two\n\nthree four  five six seven eight\tnine", "bone two threefold", "é one two é two three", "", " ", None]
+    docs = [(i, x) for i, x in enumerate(texts)] + [(0, texts[0]), (None, texts[0]), (1, texts[0])]
+    words = texts[0].split()
+    quotes = [" ".join(words[a : a + n])[c : None if c == 0 else -c] for n in range(9) for a in (0, 1) for c in (0, 1)]
+    quotes += ["one  two", "two three\nfour five six seven eight", " two three ", "  one", None, "\n", quotes[-1]]
+    items = [(i, q) for i, q in enumerate(quotes)] + [(3, quotes[3]), (None, "two three four five")]
+    con = duckdb.connect()
+    for table, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(f"{tmp_path}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    found = con.execute(plans.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    want = sorted(tuple(map(plain, r)) for r in found.fetchall())
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_queries_without_sql_are_few():
     assert sorted(plans.QUERIES.keys() - plans.ORACLES.keys()) == ["greedy_packing", "header_paths"]
 
