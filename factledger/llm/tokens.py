@@ -2,16 +2,18 @@ r"""Token-ID output: one wavelet matrix per shard, readable without unpacking.
 
 Texts are encoded with a public tokenizer file; an end id follows each document. Documents are range
 partitioned by doc_id (ties by text, null first), each partition is cut into shards of about ``shard_tokens`` ids, and a
-shard becomes one file: a small header, the doc_ids, the document lengths and one bit-plane for each bit of an id, all
-zstd-compressed. The planes with their popcounts answer access, rank (count) and select (occurrence)
-queries. The files are rows of a Parquet table in the shared folder, so they lie wherever Spark can write.
+shard becomes one file: a small header, the doc_ids, the document lengths, a rank directory and one bit-plane for each bit of
+an id. Planes are zstd-compressed in blocks, and the directory has the ones before each block, so access, rank (count)
+and select (occurrence) inflate a block or two of each plane. The files are rows of a Parquet table in the shared folder,
+so they lie wherever Spark can write.
 
 A text is encoded in chunks. Byte-level BPE never joins what stands before a space with what follows, so
 chunks between spaces are encoded alone and remembered; texts with unusual white space are cut more
 carefully. The ids are those of encoding the whole text.
 
 Defined results: null and empty texts give the end id alone; null doc_ids come first; repeated rows are
-documents of their own; an empty table gives no file; only doc_id and text are read, so other columns can't clash.
+documents of their own; a very long text is a shard of its own and is held whole by one task; an empty table gives no file;
+only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -39,7 +41,10 @@ BEFORE_SPACE = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 #: Byte-level BPE writes each byte as a letter: printable Latin-1 bytes as themselves, the others from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+OTHER = [b for b in range(256) if b not in PRINTABLE]
+LETTERS = np.arange(256, dtype="<u2")
+LETTERS[OTHER] = 256 + np.arange(len(OTHER))
+LETTERS[0] = 32  # the mark between words
 
 
 def marks(text: str) -> str | None:
@@ -52,34 +57,40 @@ def marks(text: str) -> str | None:
     return "\0".join(BEFORE_SPACE.split(text))
 
 
-def chunks(text: str) -> list[str]:
-    return BEFORE_SPACE.split(text)
-
-
 STOPS = frozenset(".,")
 
 
-class Memory:
-    """Ids of strings seen lately: what isn't asked for while half of the room fills up is forgotten."""
+def gather(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``source`` that ``picks`` name, one after the other, and the length of each."""
+    lengths = sizes[picks]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(source)) < 1 << 31 else np.int64
+    places = np.repeat((starts[picks] - (ends - lengths)).astype(kind), lengths)
+    places += np.arange(total, dtype=kind)
+    return source[places], lengths
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        ids = self.young.get(key)
-        if ids is None:
-            if len(self.young) > self.most // 2:
-                self.young, self.old = {}, self.young
-            ids = self.old.get(key)
-            if ids is not None:
-                self.young[key] = ids
-        return ids
+def _split(chunk: str) -> tuple[str, ...]:
+    """Line breaks between visible characters, and a full stop or comma after a letter, are tokens of their own."""
+    if "\n" not in chunk:
+        return (chunk[:-1], chunk[-1]) if chunk[-1:] in STOPS and chunk[-2:-1].isalpha() else (chunk,)
+    lines = chunk.split("\n")
+    if any(not x or x[0].isspace() or x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
+        return (chunk,)
+    out = list(_split(lines[0]))
+    for line in lines[1:]:
+        out += "\n", *_split(line)
+    return tuple(out)
 
 
 class Encoder:
-    """A tokenizer file with bounded memories of chunks and of words inside them."""
+    """A tokenizer file with a bounded memory of chunks: an Arrow array of them, and where their ids lie.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Each batch's distinct chunks are looked up in one call; when the memory is full, the chunks of the latest batch stay.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -91,121 +102,158 @@ class Encoder:
         self.by_space = Tokenizer(self.tokenizer.model)
         self.by_space.pre_tokenizer = WhitespaceSplit()
         self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.chunks, self.words = Memory(most), Memory(2 * most)
-
-    @staticmethod
-    def _split(chunk: str) -> tuple[str, ...]:
-        """Line breaks between visible characters, and a full stop or comma after a letter, are tokens of their own."""
-        if "\n" not in chunk:
-            return (chunk[:-1], chunk[-1]) if chunk[-1:] in STOPS and chunk[-2:-1].isalpha() else (chunk,)
-        lines = chunk.split("\n")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
-            return (chunk,)
-        out = list(Encoder._split(lines[0]))
-        for line in lines[1:]:
-            out += "\n", *Encoder._split(line)
-        return tuple(out)
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Letters after at most one space are one pre-token: the tokenizer's model takes all of them in one call."""
-        plain, letters, rest = [], [], []
-        for w in words:
-            if not w[w[:1] == " " :].isalpha():
-                rest.append(w)
-            else:
-                plain.append(w)
-                if not w.isascii():
-                    w = w.encode().decode("latin-1").translate(BYTE_LETTERS)
-                elif w[0] == " ":
-                    w = BYTE_LETTERS[32] + w[1:]
-                letters.append(w)
-        found = {w: np.array(e.ids, self.wide).tobytes() for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
-        if plain:
-            one = self.by_space.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0]
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.starts, self.sizes = np.zeros(0, self.wide), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, and each word's start and size in them.
+
+        Letters after at most one space are one pre-token: the tokenizer's model takes all of them in one call.
+        """
+        plain = np.fromiter((w[w[:1] == " " :].isalpha() for w in words), bool, len(words))
+        others = self.tokenizer.encode_batch_fast([words[k] for k in np.flatnonzero(~plain)], add_special_tokens=False)
+        sizes = np.empty(len(words), np.int64)
+        sizes[~plain] = np.fromiter((len(e.ids) for e in others), np.int64, len(others))
+        ids = np.zeros(0, self.wide)
+        if plain.any():
+            raw = np.frombuffer("\0".join([words[k] for k in np.flatnonzero(plain)]).encode(), np.uint8)
+            one = self.by_space.encode_batch_fast([LETTERS[raw].tobytes().decode("utf-16-le")], add_special_tokens=False)[0]
             ids = np.array(one.ids, self.wide)
+            gaps = np.flatnonzero(raw == 0)
             # a word ends where its letters end
-            ends = np.searchsorted(np.cumsum(self.letters[ids]), np.cumsum(list(map(len, letters)))) + 1
-            ends = (ends * ids.itemsize).tolist()
-            ids = ids.tobytes()
-            found.update(zip(plain, [ids[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        return [found[w] for w in words]
-
-    def _chunk_ids(self, distinct: list[str]) -> list[bytes]:
-        known = self.chunks.get
-        found = [known(c) for c in distinct]
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        split = [self._split(distinct[k]) for k in missing]
-        words = list({w for p in split for w in p})
-        ids = dict(zip(words, map(self.words.get, words), strict=True))
-        new = [w for w, x in ids.items() if x is None]
-        for w, x in zip(new, self._encode(new), strict=True):
-            ids[w] = self.words.young[w] = x
-        for k, p in zip(missing, split, strict=True):
-            self.chunks.young[distinct[k]] = found[k] = b"".join([ids[w] for w in p])
-        return found
+            ends = np.searchsorted(np.cumsum(self.letters[ids]), np.append(gaps, len(raw)) - np.arange(len(gaps) + 1)) + 1
+            sizes[plain] = np.diff(ends, prepend=0)
+        starts = np.empty(len(words), np.int64)
+        for some, base in ((plain, 0), (~plain, len(ids))):
+            starts[some] = base + np.cumsum(sizes[some]) - sizes[some]
+        return np.concatenate((ids, np.array(list(itertools.chain.from_iterable(e.ids for e in others)), self.wide))), starts, sizes
+
+    def _learn(self, distinct: pa.Array) -> np.ndarray:
+        """The place in the memory of each of the distinct chunks; new ones are encoded first."""
+        if len(self.known) + len(distinct) > self.most and len(self.known):
+            places = pc.drop_null(pc.index_in(distinct, value_set=self.known)).to_numpy()
+            self.ids, self.sizes = gather(self.ids, self.starts, self.sizes, places)
+            self.starts, self.known = np.cumsum(self.sizes) - self.sizes, self.known.take(pa.array(places))
+        places = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(pc.is_null(places))
+        split = [_split(c) for c in new.to_pylist()]
+        words = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        ids, starts, sizes = self._encode(words.dictionary.to_pylist())
+        ids, lengths = gather(ids, starts, sizes, words.indices.to_numpy())
+        edges = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))))]
+        self.starts = np.concatenate((self.starts, len(self.ids) + edges[:-1]))
+        self.sizes, self.ids = np.concatenate((self.sizes, np.diff(edges))), np.concatenate((self.ids, ids))
+        unseen = pc.is_null(places).to_numpy(zero_copy_only=False)
+        out = pc.fill_null(places, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[unseen] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
         marked = [marks(t) for t in texts]
-        if None in marked:
-            parts = [chunks(t) for t in texts]
-            flat, counts = pa.array(list(itertools.chain.from_iterable(parts)), pa.string()), list(map(len, parts))
-        else:
-            parts = pc.split_pattern(pa.array(marked, pa.string()), "\0")
-            flat, counts = parts.flatten(), pc.list_value_length(parts).to_numpy()
-        coded = flat.dictionary_encode()
-        found = self._chunk_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.wide().itemsize
-        every, places = np.frombuffer(b"".join(found), self.wide), coded.indices.to_numpy()
-        lengths = sizes[places]
-        ends = np.cumsum(lengths)
-        shift = (np.cumsum(sizes) - sizes)[places] - (ends - lengths)  # from a chunk's place in the output to its ids
-        ids = every[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))])
+        parts = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), "\0")
+        coded = parts.flatten().dictionary_encode()
+        places = self._learn(coded.dictionary)[coded.indices.to_numpy()]
+        ids, lengths = gather(self.ids, self.starts, self.sizes, places)
+        edges = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))]
+        counts = np.diff(edges)
+        if None in marked:  # a text that has the mark itself is encoded in one piece
+            pieces = np.split(ids, edges[1:-1])
+            for k in (k for k, m in enumerate(marked) if m is None):
+                pieces[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.wide)
+            ids, counts = np.concatenate(pieces), np.array(list(map(len, pieces)))
+        return ids, counts
+
+
+BLOCK = 1 << 16  # bits of a plane that one frame holds
+
+
+def planes_of(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
+    """Bit-planes, most significant first, each ordered by the planes above it; and the zeros of each."""
+    planes, zeros = [], []
+    for k in range(bits - 1, -1, -1):
+        ones = (ids & ids.dtype.type(1 << k)) != 0
+        planes.append(np.packbits(ones, bitorder="little"))
+        low = np.flatnonzero(~ones)
+        zeros.append(len(low))
+        ids = np.concatenate((ids[low], ids[np.flatnonzero(ones)]))
+    return planes, zeros
+
+
+def pack(ids: np.ndarray, lengths: list[int], doc_ids: list[int | None], bits: int) -> bytes:
+    """A shard's file: ``WVM2``, header length, header, then zstd frames of doc_ids, lengths, the rank directory and the planes.
+
+    A plane is cut into blocks of ``BLOCK`` bits, a frame each; the directory has the ones of a plane before each block.
+    """
+    planes, zeros = planes_of(ids, bits)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    blocks = [[p[at : at + BLOCK // 8] for at in range(0, len(p), BLOCK // 8)] for p in planes]
+    ranks = np.array([np.cumsum([0, *(int(np.bitwise_count(b).sum()) for b in p)])[: len(p)] for p in blocks], "<u4")
+    numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    parts = [squeeze(x.tobytes()) for x in (numbers, np.array(lengths, "<u4"), ranks, *itertools.chain.from_iterable(blocks))]
+    header = {"ids": len(ids), "docs": len(doc_ids), "null_ids": [k for k, d in enumerate(doc_ids) if d is None], "zeros": zeros, "parts": [len(p) for p in parts]}
+    head = json.dumps(header).encode()
+    return b"".join([b"WVM2", struct.pack("<I", len(head)), head, *parts])
 
 
 class WaveletMatrix:
-    """A sequence of ids as bit-planes, most significant first; each plane is ordered by the planes above."""
-
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.zeros = n, zeros
-        self.words, self.ranks = [], []
-        for p in planes:
-            w = np.zeros(n // 64 + 1, "<u8")
-            w.view(np.uint8)[: len(p)] = p
-            self.words.append(w)
-            self.ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(w), dtype=np.int64))))
-        self.planes = planes
-
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, zeros = [], []
-        for k in range(bits - 1, -1, -1):
-            ones = (ids & ids.dtype.type(1 << k)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
-            low = ids[~ones]
-            zeros.append(len(low))
-            ids = np.concatenate((low, ids[ones]))
-        return cls(len(ids), planes, zeros)
+    """A shard's file, read where it is asked for: a point query inflates one block or two of each plane."""
+
+    def __init__(self, file: bytes):
+        if file[:4] != b"WVM2":
+            raise ValueError("not a wavelet shard")
+        (size,) = struct.unpack("<I", file[4:8])
+        header = json.loads(file[8 : 8 + size])
+        self.file, self.n, self.zeros = file, header["ids"], header["zeros"]
+        self.ends = 8 + size + np.cumsum(header["parts"])
+        self.frames = np.concatenate(([8 + size], self.ends[:-1]))
+        self.inflate = zstandard.ZstdDecompressor().decompress
+        self.doc_ids: list[int | None] = np.frombuffer(self._frame(0), "<i8").tolist()
+        for k in header["null_ids"]:
+            self.doc_ids[k] = None
+        self.lengths = np.frombuffer(self._frame(1), "<u4")
+        self.ranks = np.frombuffer(self._frame(2), "<u4").reshape(len(self.zeros), -1).astype(np.int64)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def _frame(self, k: int) -> bytes:
+        return self.inflate(self.file[self.frames[k] : self.ends[k]])
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        """The bits of a block; the blocks asked for last are held."""
+        found = self.held.get((plane, block))
+        if found is None:
+            if len(self.held) >= 4 * len(self.zeros):
+                self.held.clear()
+            raw = np.frombuffer(self._frame(3 + plane * self.ranks.shape[1] + block), np.uint8)
+            found = self.held[plane, block] = np.unpackbits(raw, bitorder="little")[: self.n - block * BLOCK].view(bool)
+        return found
 
     def ids(self, kind: type = np.uint32) -> np.ndarray:
         """The whole sequence, from the lowest plane upwards."""
-        out = np.zeros(self.n, kind)
-        for k, (plane, zero) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+        out, blocks = np.zeros(self.n, kind), self.ranks.shape[1]
+        for k, zero in enumerate(reversed(self.zeros)):
+            first = 3 + (len(self.zeros) - 1 - k) * blocks
+            raw = np.frombuffer(b"".join(map(self._frame, range(first, first + blocks))), np.uint8)
+            ones = np.unpackbits(raw, count=self.n, bitorder="little").view(bool)
             order = np.empty(self.n, kind)
-            order[~ones] = out[:zero]
-            order[ones] = out[zero:] | kind(1 << k)
+            order[np.flatnonzero(~ones)] = out[:zero]
+            order[np.flatnonzero(ones)] = out[zero:] | kind(1 << k)
             out = order
         return out
 
     def _ones(self, k: int, at: int) -> int:
-        return int(self.ranks[k][at >> 6]) + int(int(self.words[k][at >> 6]) & ((1 << (at & 63)) - 1)).bit_count()
+        """Ones of a plane before a place."""
+        if at >= self.n:
+            return self.n - self.zeros[k]
+        block, inside = divmod(at, BLOCK)
+        return int(self.ranks[k, block]) + (int(np.count_nonzero(self._block(k, block)[:inside])) if inside else 0)
 
     def access(self, at: int) -> int:
+        """The id at a place."""
         value = 0
         for k, zero in enumerate(self.zeros):
-            one = int(self.words[k][at >> 6]) >> (at & 63) & 1
+            one = bool(self._block(k, at // BLOCK)[at % BLOCK])
             value = value << 1 | one
             ones = self._ones(k, at)
             at = zero + ones if one else at - ones
@@ -218,15 +266,15 @@ class WaveletMatrix:
         return start, end
 
     def count(self, value: int, start: int = 0, end: int | None = None) -> int:
+        """How often an id occurs between two places."""
         a, b = self._range(value, start, self.n if end is None else end)
         return b - a
 
     def _select(self, k: int, one: bool, nth: int) -> int:
         """The place of the nth (from 0) bit of that kind in a plane."""
-        have = self.ranks[k] if one else np.arange(len(self.ranks[k])) * 64 - self.ranks[k]
-        word = int(np.searchsorted(have, nth, side="right")) - 1
-        bits = np.unpackbits(self.words[k][word : word + 1].view(np.uint8), bitorder="little")
-        return word * 64 + int(np.flatnonzero(bits == one)[nth - int(have[word])])
+        have = self.ranks[k] if one else np.arange(self.ranks.shape[1]) * BLOCK - self.ranks[k]
+        block = int(np.searchsorted(have, nth, side="right")) - 1
+        return block * BLOCK + int(np.flatnonzero(self._block(k, block) == one)[nth - int(have[block])])
 
     def occurrence(self, value: int, nth: int) -> int:
         """The place of the nth (from 0) occurrence of an id."""
@@ -240,38 +288,28 @@ class WaveletMatrix:
         return at
 
 
-def pack(ids: np.ndarray, lengths: list[int], doc_ids: list[int | None], bits: int) -> bytes:
-    """A shard's file: ``WVM1``, header length, header, then compressed doc_ids, lengths and planes."""
-    matrix = WaveletMatrix.build(ids, bits)
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    parts = [squeeze(x.tobytes()) for x in (numbers, np.array(lengths, "<u4"), *matrix.planes)]
-    header = {"ids": int(matrix.n), "docs": len(doc_ids), "null_ids": [k for k, d in enumerate(doc_ids) if d is None], "zeros": matrix.zeros, "parts": [len(p) for p in parts]}
-    head = json.dumps(header).encode()
-    return b"".join([b"WVM1", struct.pack("<I", len(head)), head, *parts])
-
-
-def unpack(file: bytes) -> tuple[WaveletMatrix, np.ndarray, list[int | None]]:
-    """The matrix, the document lengths and the doc_ids of a shard's file."""
-    if file[:4] != b"WVM1":
-        raise ValueError("not a wavelet shard")
-    (size,) = struct.unpack("<I", file[4:8])
-    header, at, parts = json.loads(file[8 : 8 + size]), 8 + size, []
-    for n in header["parts"]:
-        parts.append(zstandard.ZstdDecompressor().decompress(file[at : at + n]))
-        at += n
-    doc_ids: list[int | None] = np.frombuffer(parts[0], "<i8").tolist()
-    for k in header["null_ids"]:
-        doc_ids[k] = None
-    return WaveletMatrix(header["ids"], [np.frombuffer(p, np.uint8) for p in parts[2:]], header["zeros"]), np.frombuffer(parts[1], "<u4"), doc_ids
+_ENCODERS: dict[str, Encoder] = {}
 
 
-_ENCODERS: dict[str, Encoder] = {}
+def _gathered(batches: Iterator[pa.RecordBatch], enough: int = 16 << 20) -> Iterator[tuple[list[int | None], list[str]]]:
+    """doc_ids and texts of about ``enough`` bytes: the more texts, the more of their words are the same."""
+    doc_ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for b in batches:
+        doc_ids += b["doc_id"].to_pylist()
+        texts += [t or "" for t in b["text"].to_pylist()]
+        size += b["text"].nbytes
+        if size >= enough:
+            yield doc_ids, texts
+            doc_ids, texts, size = [], [], 0
+    if texts:
+        yield doc_ids, texts
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = 500_000) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the shards; the table of files: part, shard, docs, tokens, file."""
-    small_batches(docs.sparkSession, 1024)  # more rows share more words
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
@@ -288,9 +326,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
             row = (part, shard, len(held), len(ids), pack(ids, [len(h) + 1 for h in held], doc_ids, bits))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "shard", "docs", "tokens", "file"])
 
-        for b in batches:
-            ids, counts = encoder.encode([t or "" for t in b["text"].to_pylist()])
-            for doc_id, own in zip(b["doc_id"].to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        for rows, texts in _gathered(batches):
+            ids, counts = encoder.encode(texts)
+            for doc_id, own in zip(rows, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 held.append(own)
                 doc_ids.append(doc_id)
                 size += len(own) + 1
@@ -304,13 +342,35 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
     return cut(ordered.mapInArrow(run, "part int, shard int, docs long, tokens long, file binary"), "token-shards")
 
 
+def occurrences(files: DataFrame, token: int) -> DataFrame:
+    """part, shard, doc_id, at (place in the document) of each occurrence of an id, found by rank and select in the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, shard, file in zip(b["part"].to_pylist(), b["shard"].to_pylist(), b["file"], strict=True):
+                matrix = WaveletMatrix(file.as_py())
+                at = np.array([matrix.occurrence(token, k) for k in range(matrix.count(token))], np.int64)
+                ends = np.cumsum(matrix.lengths, dtype=np.int64)
+                doc = np.searchsorted(ends, at, side="right")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part] * len(at), pa.int32()), pa.array([shard] * len(at), pa.int32()), pa.array([matrix.doc_ids[k] for k in doc], pa.int64()),
+                        pa.array(at - (ends - matrix.lengths)[doc]),
+                    ],
+                    ["part", "shard", "doc_id", "at"],
+                )
+
+    return files.select("part", "shard", "file").mapInArrow(run, "part int, shard int, doc_id long, at long")
+
+
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start (ids before it in the whole output), n_tokens, ids_crc32, from the files alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, shard, file in zip(b["part"].to_pylist(), b["shard"].to_pylist(), b["file"], strict=True):
-                matrix, lengths, doc_ids = unpack(file.as_py())
+                matrix = WaveletMatrix(file.as_py())
+                lengths, doc_ids = matrix.lengths, matrix.doc_ids
                 ids = matrix.ids(np.uint16 if len(matrix.zeros) <= 16 else np.uint32).astype("<u4")
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths

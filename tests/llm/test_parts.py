@@ -8,18 +8,39 @@ from brute import links
 from factledger.llm import near_dedup, queries, sharding, suffix_dedup, tokens
 
 
-def test_wavelet_queries():
+@pytest.mark.parametrize("block", [1 << 16, 1 << 9])
+def test_wavelet_queries(monkeypatch, block):
+    monkeypatch.setattr(tokens, "BLOCK", block)
     ids = np.random.default_rng(1).integers(0, 50_257, 3000).astype(np.uint16)
     ids[::7] = 13
-    matrix, lengths, doc_ids = tokens.unpack(tokens.pack(ids, [1000, 2000], [5, None], 16))
-    assert (matrix.ids(np.uint16) == ids).all() and lengths.tolist() == [1000, 2000] and doc_ids == [5, None]
+    matrix = tokens.WaveletMatrix(tokens.pack(ids, [1000, 2000], [5, None], 16))
+    assert (matrix.ids(np.uint16) == ids).all() and matrix.lengths.tolist() == [1000, 2000] and matrix.doc_ids == [5, None]
     assert all(matrix.access(i) == ids[i] for i in range(0, 3000, 41))
     at = np.flatnonzero(ids == 13)
     assert matrix.count(13) == len(at) and matrix.count(13, 100, 900) == (ids[100:900] == 13).sum() and matrix.count(49_999, 0, 0) == 0
     assert [matrix.occurrence(13, k) for k in range(len(at))] == at.tolist()
     with pytest.raises(IndexError):
         matrix.occurrence(13, len(at))
-    assert len(tokens.unpack(tokens.pack(ids[:0], [], [], 16))[0].ids()) == 0
+    assert len(tokens.WaveletMatrix(tokens.pack(ids[:0], [], [], 16)).ids()) == 0
+
+
+def test_a_point_query_inflates_few_blocks(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 1 << 9)
+    ids = np.random.default_rng(2).integers(0, 50_257, 40_000).astype(np.uint16)
+    matrix, inflated = tokens.WaveletMatrix(tokens.pack(ids, [len(ids)], [1], 16)), []
+    frame = matrix._frame
+    monkeypatch.setattr(matrix, "_frame", lambda k: inflated.append(k) or frame(k))
+    assert matrix.access(12_345) == ids[12_345] and len(inflated) <= 16 < 79 * 16
+    before = len(inflated)
+    assert matrix.count(int(ids[7])) == (ids == ids[7]).sum() and len(inflated) - before <= 32
+
+
+def test_occurrences_in_files(spark):
+    docs = spark.createDataFrame([(2, "a b a"), (1, None), (None, "a, b"), (3, "b" * 50)], "doc_id long, text string")
+    encoder = tokens.Encoder(queries.tokenizer_path())
+    files, token = tokens.write(docs, queries.tokenizer_path(), shard_tokens=4), encoder.tokenizer.encode(" b", add_special_tokens=False).ids[0]
+    want = sorted((str(d), k) for d, t in docs.collect() for k, i in enumerate(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids) if i == token)
+    assert sorted((str(r["doc_id"]), r["at"]) for r in tokens.occurrences(files, token).collect()) == want and len(want) == 2
 
 
 def test_chunked_encoding_is_that_of_whole_texts():
