@@ -221,14 +221,26 @@ def test_op8_bytes(spark, tmp_path, monkeypatch):
 
 
 def test_op9_law(spark):
-    rows = queries.op9_shard_bounded_ring(spark, "/root/testdata/sf0.01").collect()
-    load, slots = Counter(), defaultdict(set)
+    """Sizes, checksums, near equal shards, gapless slots and groups of equal texts, by hand."""
+    sf = "/root/testdata/sf0.01"
+    rows, texts = queries.op9_shard_bounded_ring(spark, sf).collect(), {r["doc_id"]: text_of(r).encode() for r in table(spark, sf, "documents")}
+    load, slots, homes = Counter(), defaultdict(set), defaultdict(set)
     for r in rows:
+        raw = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
         load[r["shard"]] += r["size"]
         slots[r["shard"]].add(r["slot"])
+        homes[raw].add(r["shard"])
     mean = sum(load.values()) / 40
-    assert len(load) == 40 and max(load.values()) <= 1.03 * mean and min(load.values()) >= 0.97 * mean
+    assert len(rows) == len(texts) and set(load) == set(range(40)) and max(load.values()) <= 1.03 * mean and min(load.values()) >= 0.97 * mean
     assert all(s == set(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(rows)
+    divided = [raw for raw, shards in homes.items() if len(shards) > 1]
+    assert all(len(raw) * sum(t == raw for t in texts.values()) > mean / 200 for raw in divided) and len(divided) < 0.2 * sum(n > 1 for n in Counter(texts.values()).values())
+
+
+def test_op9_awkward(spark, awkward):
+    want = Counter((r["doc_id"], len(text_of(r).encode()) + 16, zlib.crc32(text_of(r).encode())) for r in table(spark, awkward, "documents"))
+    assert Counter(tuple(r)[:3] for r in queries.op9_shard_bounded_ring(spark, awkward).collect()) == want
 
 
 def test_op10_counts(spark, awkward):
