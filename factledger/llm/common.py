@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a local one only where none is named."""
+    """This application's part of the folder that all executors share, as the cluster names it.
+
+    Where none is named, a local one serves a session in one process; on a cluster that would lose rows, so it is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    return f"{place.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``frame`` has no such column (names are compared without case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def cut(frame: DataFrame, label: str) -> DataFrame:

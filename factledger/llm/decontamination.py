@@ -12,7 +12,8 @@ number of items: with more chunks the documents are passed over once for each.
 
 Defined results: null and empty texts have no words and are never contaminated, such items never occur;
 an item without an id is known as the empty string; items that repeat an id are one item; repeated documents are judged one by
-one; empty tables give an empty result or one without hits.
+one; a very long text is streamed whole; items that share a window are all named; ``remove`` carries any other column along, whatever
+its name; empty tables give an empty result or one without hits.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, fresh, small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -145,10 +146,10 @@ def pieces(items: DataFrame, window: int, longest: int = 4096) -> DataFrame:
     )
 
 
-def match(docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), chunk_words: int = 100_000) -> DataFrame:
-    """``docs`` (all columns) with n_words, n_hit, spans, item_ids, contaminated in a struct ``_match``.
+def match(docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), chunk_words: int = 100_000, into: str = "_match") -> DataFrame:
+    """``docs`` (all columns) with n_words, n_hit, spans, item_ids, contaminated in a struct named ``into``.
 
-    Spans are in words; ``coverage`` is a fraction (numerator, denominator).
+    Spans are in words; ``coverage`` is a fraction (numerator, denominator). A column of that name gives way.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -157,22 +158,22 @@ def match(docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[i
     chunks = max(1, -(-total // chunk_words))
     cuts = cuts.withColumn("chunk", F.pmod(F.xxhash64("item", "words"), F.lit(chunks)))
     found = "struct<n_words: bigint, n_hit: bigint, spans: array<struct<start: int, end: int>>, item_ids: array<string>, contaminated: boolean>"
-    frame = docs.withColumn("_match", F.lit(None).cast(found))
+    frame = docs.withColumn(into, F.lit(None).cast(found))
     for k in range(chunks):
         rows = cuts.where(F.col("chunk") == k).select("item", "words", "whole").collect()  # about chunk_words words
         automaton = spark.sparkContext.broadcast(Automaton([(r["item"], r["words"], r["whole"]) for r in sorted(rows)], window))
-        frame = frame.mapInArrow(_pass(automaton, coverage), frame.schema)
+        frame = frame.mapInArrow(_pass(automaton, coverage, into), frame.schema)
         if chunks > 1:
             frame = cut(frame, "decontaminate")
     return frame
 
 
-def _pass(automaton, coverage: tuple[int, int]):
+def _pass(automaton, coverage: tuple[int, int], into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton.value
         for b in batches:
             out = []
-            for text, before in zip(b["text"].to_pylist(), b["_match"].to_pylist(), strict=True):
+            for text, before in zip(b["text"].to_pylist(), b[into].to_pylist(), strict=True):
                 words = WORD.findall((text or "").translate(TO_LOWER))
                 spans, items = machine.match(words)
                 if before:
@@ -183,7 +184,7 @@ def _pass(automaton, coverage: tuple[int, int]):
                     "n_words": len(words), "n_hit": hit, "spans": [{"start": s, "end": e} for s, e in spans], "item_ids": sorted(items),
                     "contaminated": hit > 0 and coverage[1] * hit >= coverage[0] * len(words),
                 })
-            at = b.schema.get_field_index("_match")
+            at = b.schema.get_field_index(into)
             yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
 
     return run
@@ -211,16 +212,16 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove(docs: DataFrame, items: DataFrame, how: str = "drop", **limits) -> DataFrame:
     """``docs`` without contaminated documents (``drop``), or with their hit spans cut out (``cut``)."""
-    found = match(docs, items, **limits)
-    columns = docs.columns
+    columns, into = docs.columns, fresh(docs, "_match")
+    found = match(docs, items, into=into, **limits)
     if how == "drop":
-        return found.where(~F.col("_match.contaminated")).select(*columns)
+        return found.where(~F.col(f"{into}.contaminated")).select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [
                 cut_spans(t, [(s["start"], s["end"]) for s in m["spans"]]) if m["contaminated"] else t
-                for t, m in zip(b["text"].to_pylist(), b["_match"].to_pylist(), strict=True)
+                for t, m in zip(b["text"].to_pylist(), b[into].to_pylist(), strict=True)
             ]
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select(columns)

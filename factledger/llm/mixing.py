@@ -14,7 +14,8 @@ Ranks come from a range partitioning by (source, size, doc_id): any source, howe
 partitions, and only one offset for each (partition, source) is summed up.
 
 Defined results: null texts have size 0; a null source is a source of its own; null doc_ids sort first;
-repeated rows are documents of their own; an empty table gives an empty result.
+repeated rows are documents of their own; ties go by the text's hash; a very long text weighs as many words as it has and may be
+taken or left whole; columns of any other name are carried along and cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,10 +57,13 @@ def offset(source: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2, seed: int = 5) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row of ``docs`` (doc_id, source, text)."""
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    """doc_id, source, size, mark, source_size, target, copies for each row of ``docs`` (doc_id, source, text).
+
+    ``mark`` is a hash of the text; it orders rows that are equal in source, size and doc_id.
+    """
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes")
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc()]
+    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc(), F.col("mark").asc()]
     # the id holds the partition above bit 33 and the row's number in it below
     placed = cut(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "mix-order")
     part = F.shiftright("_at", 33).alias("_part")
@@ -76,18 +80,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     rank = F.col("_at") + F.col("_before") + 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor(rank * rate + offset(F.col("source"), seed)) - F.floor((rank - 1) * rate + offset(F.col("source"), seed))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return ranked.select("doc_id", "source", "size", "mark", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def emit(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    taken = mix(docs, **settings).select(key.alias("_mix_key"), "source", "size", "copies")
-    # rows that repeat a doc_id are told apart by their order; nearly all have number 1
-    of_taken = Window.partitionBy("_mix_key").orderBy("source", "size", "copies")
-    of_docs = Window.partitionBy("_key").orderBy("source", "_size", "text")
-    numbered = taken.select("_mix_key", "copies", F.row_number().over(of_taken).alias("_mix_n"))
-    rows = docs.withColumns({"_key": key, "_size": word_count(F.col("text"))}).withColumn("_n", F.row_number().over(of_docs))
+    """``docs``, all columns, with each row as often as the mix takes it.
+
+    Rows are known by doc_id, source and a hash of the text; those equal in all three are told apart by their number.
+    """
+    taken = mix(docs, **settings).select(F.xxhash64("doc_id", "source", "mark").alias("other"), "copies")
+    numbered = taken.select("other", "copies", F.row_number().over(Window.partitionBy("other").orderBy("copies")).alias("nth"))
+    key = F.xxhash64("doc_id", "source", F.xxhash64("text"))
+    rows = docs.select(key.alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))  # a struct, so that no name can clash
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))
     # the difference keeps the number out of the join's keys, so the window's partitioning serves the join too
-    joined = rows.join(numbered, (F.col("_key") == F.col("_mix_key")) & (F.col("_n") - F.col("_mix_n") == 0)).where("copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    joined = rows.join(numbered, (F.col("key") == F.col("other")) & (F.col("n") - F.col("nth") == 0)).where("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
