@@ -7,18 +7,23 @@ Comparing every shard's suffix array with every other's would be quadratic in th
 by content. Each ``LENGTH``-byte window has an anchor, the ``GRAM``-byte string in it with the smallest hash; equal windows have
 equal anchors at the same place. Consecutive windows of one anchor form a run.
 
-1. Runs are dealt by their anchor's hash. Anchors that occur once are done. Of runs with the same bytes the first stays
-   and all others are repeats: copies never go further, however many there are.
+1. Each task lets only the first of runs with the same bytes through and marks the others as repeats (for runs that it met often
+   enough to remember), so a passage that a third of all documents share comes from a task once. Runs are then dealt by
+   their anchor's hash. Anchors that occur once are done. Of runs with the same bytes the first stays and all others are
+   repeats: copies never go further, however many there are.
 2. First runs whose anchor also has other runs bring their bytes to the anchor's shard. There a suffix
-   array is built by Larsson-Sadakane refinement in numpy, common prefixes of neighbours are
-   measured (Kasai's lengths, capped at ``LENGTH`` and taken for all neighbours at once), and windows that share
-   ``LENGTH`` bytes are repeats of the first of them. A shard too large for one array is cut into blocks;
-   a block's windows are looked up among those of the blocks before by binary search.
-3. Repeats come back to their documents as ranges of window starts.
+   array is built by Larsson-Sadakane refinement in numpy, common prefixes of neighbours come from Kasai's
+   algorithm, walked over all runs of the shard in lockstep, and windows that share ``LENGTH`` bytes are repeats of the
+   first of them. A shard too large for one array is cut into blocks; a block's windows are looked up among those of the
+   blocks before by binary search.
+3. An anchor with more than ``PARTS`` blocks is dealt to several shards by document. Each names the first of its windows by a
+   128-bit digest, and of equal digests all but the first are repeats: so no shard grows with the corpus.
+4. Repeats come back to their documents as ranges of window starts.
 
 Defined results: null texts are empty; a document without a doc_id is compared with nothing and kept whole; rows
 with the same doc_id and text are one document, of the same doc_id with different texts the one with the smaller text hash comes
-first; an empty table gives an empty result; other columns are not read.
+first; a very long text is cut into overlapping parts of ``PIECE`` bytes; an empty table gives an empty result; other columns are not
+read, so they cannot clash.
 """
 
 from __future__ import annotations
@@ -28,14 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, small_batches, text_bytes
 
 LENGTH, GRAM = 100, 32
-PIECE, BLOCK = 2 << 20, 4 << 20
+PIECE, BLOCK, PARTS = 2 << 20, 4 << 20, 16
+REMEMBERED = 200_000  # runs that a task remembers since they came twice
 
 
 def _words(buffer: np.ndarray, kind: str) -> np.ndarray:
@@ -95,8 +102,58 @@ def _pieces(docs: Iterator[tuple[int, int, bytes]]) -> Iterator[list[tuple[int,
         yield held
 
 
+RUN = ("anchor", "same", "doc_id", "mark", "start", "n")
+
+
+class Firsts:
+    """Of runs with equal bytes the first in document order; all others are repeats.
+
+    A batch is judged by sorting; runs that came twice in a batch are remembered, so later batches are judged with them.
+    """
+
+    def __init__(self):
+        self.held: dict[int, tuple] = {}
+
+    def __call__(self, c: dict[str, np.ndarray]) -> list[pa.RecordBatch]:
+        order = np.lexsort((c["start"], c["mark"], c["doc_id"], c["anchor"], c["same"]))
+        c = {k: v[order] for k, v in c.items()}
+        equal = lambda *names: np.logical_and.reduce([c[k][1:] == c[k][:-1] for k in names])
+        head = np.concatenate(([True], ~equal("same", "anchor")))
+        given_twice = np.concatenate(([False], equal(*RUN)))
+        several = head & np.append(~head[1:], False)
+        known = head & np.fromiter((k in self.held for k in c["same"].tolist()), bool, len(head)) if self.held else np.zeros(len(head), bool)
+        repeat = ~head & ~given_twice
+        out, late = head & ~several & ~known, []
+        for at in np.flatnonzero(several | known).tolist():
+            new = tuple(int(c[k][at]) for k in RUN)
+            old = self.held.setdefault(new[1], new)
+            if old[0] != new[0] or old is new:  # another anchor under the same hash goes on alone
+                out[at] = old is not new
+            elif old[2:5] != new[2:5]:
+                first, other = sorted((old, new), key=lambda r: r[2:])
+                self.held[new[1]] = first
+                late.append(other)
+        found = [self._rows([c[k][out] for k in RUN], False), self._rows([c[k][repeat] for k in RUN], True)]
+        if late:
+            found.append(self._rows([np.array(v, np.int64) for v in zip(*late, strict=True)], True))
+        return found + (self.rest() if len(self.held) > REMEMBERED else [])
+
+    def rest(self) -> list[pa.RecordBatch]:
+        rows, self.held = list(self.held.values()), {}
+        return [self._rows([np.array(v, np.int64) for v in zip(*rows, strict=True)], False)] if rows else []
+
+    @staticmethod
+    def _rows(columns: list[np.ndarray], repeat: bool) -> pa.RecordBatch:
+        kinds = (pa.int64(),) * 5 + (pa.int32(),)
+        # repeats are judged: they are dealt evenly, by where they stand
+        deal = columns[2] * 1_000_003 + columns[4] if repeat else columns[0]
+        arrays = [pa.array(v.astype(np.int32) if t == pa.int32() else v, t) for v, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(deal), pa.array(np.full(len(deal), repeat))], [*RUN, "deal", "repeat"])
+
+
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = (d for b in batches for d in zip(b["doc_id"].to_pylist(), b["mark"].to_pylist(), text_bytes(b["text"]), strict=True))
+    firsts = Firsts()
     for batch in _pieces(docs):
         joined = b"".join(p for *_, p in batch)
         ends = np.cumsum([len(p) for *_, p in batch])
@@ -105,19 +162,22 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.searchsorted(ends, first, side="right")
         of = lambda k: np.array([d[k] for d in batch], np.int64)[doc]
         same = [xxhash.xxh3_64_intdigest(joined[p:e]) for p, e in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(anchor.view(np.int64)), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(of(0)), pa.array(of(1)),
-                pa.array(first - starts[doc] + of(2)), pa.array(count.astype(np.int32)),
-            ],
-            ["anchor", "same", "doc_id", "mark", "start", "n"],
-        )
+        if len(first):
+            yield from firsts({
+                "anchor": anchor.view(np.int64), "same": np.array(same, np.uint64).view(np.int64), "doc_id": of(0), "mark": of(1),
+                "start": first - starts[doc] + of(2), "n": count.astype(np.int64),
+            })
+    yield from firsts.rest()
 
 
 def _judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs in; out go repeats, and first runs whose anchor has other runs too (``open``)."""
+    """Runs in, sorted; out go repeats, and first runs whose anchor has other runs too (``open``)."""
     last, waiting = None, None  # the row before; the first run of its anchor while no other is known
-    for b in batches:
+    for rows in batches:
+        known = rows.filter(rows["repeat"]).select(list(RUN))
+        if len(known):
+            yield _with_open(known, False)
+        b = rows.filter(pc.invert(rows["repeat"])).select(list(RUN))
         if not len(b):
             continue
         c = {k: b[k].to_numpy() for k in b.schema.names}
@@ -148,34 +208,40 @@ def _with_open(b: pa.RecordBatch, value: bool) -> pa.RecordBatch:
 
 
 def _take_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "doc_id", "mark", "start", "n", "bytes"]
+    names = ["anchor", "part", "doc_id", "mark", "start", "n", "bytes"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     for b in batches:
         out: list[list] = [[] for _ in names]
         for doc_id, mark, raw, places in zip(b["doc_id"].to_pylist(), b["mark"].to_pylist(), text_bytes(b["text"]), b["places"].to_pylist(), strict=True):
             for p in places:
-                row = (p["anchor"], doc_id, mark, p["start"], p["n"], raw[p["start"] : p["start"] + p["n"] + LENGTH - 1])
+                row = (p["anchor"], p["part"], doc_id, mark, p["start"], p["n"], raw[p["start"] : p["start"] + p["n"] + LENGTH - 1])
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
 
 
-def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes sorted by at least their first ``depth`` bytes: 8-byte words first, then only groups that are still equal, by
-    the rank of what follows, at doubled lengths."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes in order: by 8-byte words first, then only groups that are still equal, by the rank of what follows, at doubled
+    lengths (Larsson-Sadakane refinement)."""
     n = len(text)
     word = _words(np.concatenate((text, np.zeros(8, np.uint8))), ">u8").astype(np.uint64)
     order = np.argsort(word, kind="stable")
-    new = np.concatenate(([True], word[order[1:]] != word[order[:-1]]))
+    # beyond the end stand zeros that aren't there: the shorter of such suffixes comes first
+    tail = np.minimum(n - order, 8)
+    new = np.concatenate(([True], (word[order[1:]] != word[order[:-1]])))
+    tie = np.flatnonzero(~new & ((tail < 8) | (np.concatenate(([8], tail[:-1])) < 8)))
+    if len(tie):
+        order = order[np.lexsort((np.minimum(n - order, 8), np.cumsum(new)))]
+        tail = np.minimum(n - order, 8)
+        new = np.concatenate(([True], (word[order[1:]] != word[order[:-1]]) | (tail[1:] != tail[:-1])))
     rank = np.empty(n, np.int64)
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = group
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     have = 8
-    while have < depth:
+    while True:
         edge = np.append(new, True)
-        alone = edge[:-1] & edge[1:]
-        at = np.flatnonzero(~alone)
+        at = np.flatnonzero(~(edge[:-1] & edge[1:]))
         if not len(at):
-            break
+            return order
         some = order[at]
         after = some + have
         key = rank[some] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
@@ -185,26 +251,64 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         new[at] = np.concatenate(([True], key[1:] != key[:-1]))
         rank[some] = np.maximum.accumulate(np.where(new[at], at, 0))
         have *= 2
-    return order
 
 
-def common_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, most: int = LENGTH) -> np.ndarray:
-    """Common prefix of the suffixes at ``left`` and ``right``, up to ``most``."""
-    word = _words(np.concatenate((text, np.zeros(most + 16, np.uint8))), "<u8")
-    out = np.zeros(len(left), np.int64)
-    going = np.arange(len(left))
-    for k in range(0, most, 8):
+def _alike(word: np.ndarray, left: np.ndarray, right: np.ndarray, have: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix of the suffixes at ``left`` and ``right``, up to ``most``, given that ``have`` bytes agree."""
+    out = np.minimum(have, most)
+    going = np.flatnonzero(out < most)
+    while len(going):
+        k = out[going]
         differ = word[left[going] + k] ^ word[right[going] + k]
         lowest = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes before the first that differs
         out[going] = np.minimum(k + np.where(differ == 0, 8, lowest), most)
-        going = going[differ == 0]
+        going = going[(differ == 0) & (out[going] < most)]
+    return out
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, begin: np.ndarray, count: np.ndarray, most: int = LENGTH) -> np.ndarray:
+    """Kasai's walk: the common prefix, up to ``most``, of the suffix at begin + t (t < count) and the one before it in ``order``.
+
+    A suffix shares with its predecessor at most one byte less than the suffix one place to the left did, so only what
+    comes after is compared. All runs are walked at once, one place a step. Zero elsewhere, and for the first of all.
+    """
+    word = _words(np.concatenate((text, np.zeros(most + 16, np.uint8))), "<u8")
+    before = np.empty(len(text), np.int64)
+    before[order[1:]], before[order[:1]] = order[:-1], -1
+    out = np.zeros(len(text), np.int64)
+    lanes = np.argsort(-count, kind="stable")
+    begin, count = begin[lanes], count[lanes]
+    active = np.searchsorted(-count, -np.arange(int(count[0]) if len(count) else 0), side="left")  # lanes with more than t places
+    have = np.zeros(len(begin), np.int64)
+    for t, lanes_left in enumerate(active.tolist()):
+        here = begin[:lanes_left] + t
+        other = before[here]
+        have = np.where(other < 0, 0, _alike(word, here, np.maximum(other, 0), np.where(other < 0, most, np.maximum(have[:lanes_left] - 1, 0)), most))
+        out[here] = have
     return out
 
 
+def equal_to_previous(text: np.ndarray, order: np.ndarray, window_at: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For the windows in ``order``: whether each has ``LENGTH`` bytes in common with the window before.
+
+    Suffixes that are no windows may stand between two; the few that come under consideration are compared directly.
+    """
+    word = _words(np.concatenate((text, np.zeros(LENGTH + 16, np.uint8))), "<u8")
+    spots = np.flatnonzero(window_at[order] >= 0)
+    full = shared[order] >= LENGTH
+    same = full[spots[1:]]
+    gap = np.flatnonzero(same & (spots[1:] > spots[:-1] + 1))
+    if len(gap):
+        left, right = order[spots[gap]], order[spots[gap + 1]]
+        same[gap] = _alike(word, left, right, np.zeros(len(gap), np.int64), LENGTH) >= LENGTH
+    return same
+
+
 def repeats(rows: list[tuple], known: dict | None = None) -> list[tuple[int, int, int, int]]:
     """(doc_id, mark, start, n) ranges of windows that start earlier elsewhere; rows are (doc_id, mark, start, n, bytes).
 
-    ``known`` carries the windows of earlier blocks of the same anchor, sorted, for binary search.
+    ``known`` carries the windows of earlier blocks of the same anchor, sorted, for binary search, and gets the first ones of
+    this block as ``fresh``: (doc_id, mark, start, digest).
     """
     text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
     begin = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows])[:-1])).astype(np.int64)
@@ -216,9 +320,10 @@ def repeats(rows: list[tuple], known: dict | None = None) -> list[tuple[int, int
     start = np.array([r[2] for r in rows], np.int64)[owner] + step
     window_at = np.full(len(text), -1, np.int64)
     window_at[place] = np.arange(len(place))
-    order = window_at[suffix_array(text)]
+    suffixes = suffix_array(text)
+    same = equal_to_previous(text, suffixes, window_at, common_prefixes(text, suffixes, begin, counts))
+    order = window_at[suffixes]
     order = order[order >= 0]
-    same = common_prefixes(text, place[order[:-1]], place[order[1:]]) >= LENGTH
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(np.concatenate(([0], ~same)))
     ranked = np.lexsort((start, mark, doc, group))
@@ -229,11 +334,12 @@ def repeats(rows: list[tuple], known: dict | None = None) -> list[tuple[int, int
         heads = ranked[first]
         windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[place[heads]]
         own = np.column_stack((windows, np.ones(len(heads), np.uint8))).view(f"S{LENGTH + 1}").ravel()  # the last byte keeps final zeros
-        if known:
+        if "windows" in known:
             at = np.minimum(np.searchsorted(known["windows"], own), len(known["windows"]) - 1)
             again[heads[known["windows"][at] == own]] = True  # blocks come in document order
-        fresh = own[~again[heads]]
-        known["windows"] = np.sort(np.concatenate((known["windows"], fresh)) if known else fresh)
+        fresh = ~again[heads]
+        known["fresh"] = [(*where, xxhash.xxh3_128_digest(w.tobytes())) for *where, w in zip(doc[heads[fresh]].tolist(), mark[heads[fresh]].tolist(), start[heads[fresh]].tolist(), windows[fresh], strict=True)]
+        known["windows"] = np.sort(np.concatenate((known["windows"], own[fresh])) if "windows" in known else own[fresh])
     hit = np.flatnonzero(again)
     if not len(hit):
         return []
@@ -243,40 +349,49 @@ def repeats(rows: list[tuple], known: dict | None = None) -> list[tuple[int, int
 
 
 def _match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by anchor and document; arrays are built over whole anchors, or over blocks of a large one."""
+    """Runs sorted by anchor, part and document; arrays are built over whole anchors, or over blocks of a large one.
+
+    Out go repeats, and for anchors in several parts (part >= 0) the first windows with their digests.
+    """
     whole: list[tuple] = []  # rows of finished anchors
     rows: list[tuple] = []  # rows of the current one
     whole_size = size = 0
-    anchor, known = None, None
+    anchor, part, known = None, -1, None
+
+    def batch(columns: list, digests: list | None = None) -> pa.RecordBatch:
+        arrays = [pa.array(v, pa.int64()) for v in columns] + [pa.array(digests or [None] * len(columns[0]), pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "start", "n", "digest"])
 
-    def done(some: list[tuple], earlier: dict | None = None) -> pa.RecordBatch:
-        columns = list(zip(*repeats(some, earlier), strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["doc_id", "mark", "start", "n"])
+    def done(some: list[tuple], earlier: dict | None = None) -> Iterator[pa.RecordBatch]:
+        yield batch(list(zip(*repeats(some, earlier), strict=True)) or [[]] * 4)
+        if earlier and part >= 0 and earlier["fresh"]:
+            doc, mark, start, digest = zip(*earlier["fresh"], strict=True)
+            yield batch([doc, mark, start, [1] * len(doc)], list(digest))
 
     for b in batches:
-        for key, *row in zip(*(b[k].to_pylist() for k in ("anchor", "doc_id", "mark", "start", "n", "bytes")), strict=True):
-            if key != anchor:
+        for key, own, *row in zip(*(b[k].to_pylist() for k in ("anchor", "part", "doc_id", "mark", "start", "n", "bytes")), strict=True):
+            if (key, own) != (anchor, part):
                 if known is not None:
-                    yield done(rows, known)
+                    yield from done(rows, known)
                 else:
                     whole += rows
                     whole_size += size
                 if whole_size >= BLOCK:
-                    yield done(whole)
+                    yield from done(whole)
                     whole, whole_size = [], 0
-                anchor, known, rows, size = key, None, [], 0
+                anchor, part, known, rows, size = key, own, {} if own >= 0 else None, [], 0
             elif size >= BLOCK:
                 known = {} if known is None else known
-                yield done(rows, known)
+                yield from done(rows, known)
                 rows, size = [], 0
             rows.append(tuple(row))
             size += len(row[4])
     if known is not None:
-        yield done(rows, known)
+        yield from done(rows, known)
     else:
         whole += rows
     if whole:
-        yield done(whole)
+        yield from done(whole)
 
 
 def removed(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -296,17 +411,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     named = marked.where("doc_id IS NOT NULL")
-    found = named.mapInArrow(_find_runs, "anchor long, same long, doc_id long, mark long, start long, n int")
-    order = ["anchor", "same", "doc_id", "mark", "start"]
-    judged = cut(
-        found.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_judge_runs, "anchor long, same long, doc_id long, mark long, start long, n int, open boolean"),
-        "runs",
-    )
+    run = "anchor long, same long, doc_id long, mark long, start long, n int"
+    found = named.mapInArrow(_find_runs, f"{run}, deal long, repeat boolean")
+    judged = cut(found.repartition("deal").sortWithinPartitions("anchor", "same", "doc_id", "mark", "start").mapInArrow(_judge_runs, f"{run}, open boolean"), "runs")
     by_doc = marked.repartition("doc_id", "mark")
-    opened = judged.where("open").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("places"))
-    bytes_of = by_doc.dropDuplicates(["doc_id", "mark"]).join(opened, ["doc_id", "mark"]).mapInArrow(_take_bytes, "anchor long, doc_id long, mark long, start long, n int, bytes binary")
-    matched = bytes_of.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "mark", "start").mapInArrow(_match_runs, "doc_id long, mark long, start long, n long")
-    all_places = judged.where("NOT open").select("doc_id", "mark", "start", F.col("n").cast("long").alias("n")).unionByName(matched)
+    opened = judged.where("open").select("anchor", "doc_id", "mark", "start", "n")
+    sizes = opened.groupBy("anchor").agg(F.sum(F.col("n") + LENGTH - 1).alias("bytes")).where(F.col("bytes") > PARTS * BLOCK)
+    parts = cut(sizes.select("anchor", F.ceil(F.col("bytes") / (PARTS * BLOCK)).alias("parts")), "large-anchors")
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "mark"), F.col("parts")), F.lit(-1)).cast("int").alias("part")
+    opened = opened.join(parts, "anchor", "left").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", part, "start", "n")).alias("places"))
+    bytes_of = by_doc.dropDuplicates(["doc_id", "mark"]).join(opened, ["doc_id", "mark"]).mapInArrow(_take_bytes, "anchor long, part int, doc_id long, mark long, start long, n int, bytes binary")
+    in_order = bytes_of.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "mark", "start")
+    matched = cut(in_order.mapInArrow(_match_runs, "doc_id long, mark long, start long, n long, digest binary"), "matched-runs")
+    earlier = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id", "mark", "start")) > 1  # a row for each part at most
+    across = matched.where("digest IS NOT NULL").withColumn("again", earlier).where("again").select("doc_id", "mark", "start", "n")
+    within = matched.where("digest IS NULL").select("doc_id", "mark", "start", "n")
+    all_places = judged.where("NOT open").select("doc_id", "mark", "start", F.col("n").cast("long").alias("n")).unionByName(within).unionByName(across)
     places = all_places.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     return by_doc.join(places, ["doc_id", "mark"], "left")
 

@@ -214,8 +214,8 @@ def test_op8_bytes(spark, tmp_path, monkeypatch):
             seen.add(raw[p : p + 100])
         kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
         want[i] = (len(raw), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
-    for block in (suffix_dedup.BLOCK, 2000):  # the second cuts anchors' groups into blocks
-        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    for parts in (16, 0.0001):  # the second deals anchors to several tasks
+        monkeypatch.setattr(suffix_dedup, "PARTS", parts)
         have = {r["doc_id"]: tuple(r)[1:] for r in queries.op8_suffix_array_dedup(spark, str(tmp_path)).collect()}
         assert have == want
 

@@ -57,13 +57,17 @@ def test_chunked_encoding_is_that_of_whole_texts():
 
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(4)
-    text = np.concatenate([rng.integers(97, 100, 300), np.full(150, 97), rng.integers(97, 99, 200)]).astype(np.uint8)
+    text = np.concatenate([rng.integers(97, 100, 300), np.full(350, 97), rng.integers(97, 99, 200), np.zeros(20)]).astype(np.uint8)
     order, raw = suffix_dedup.suffix_array(text), text.tobytes()
-    assert sorted(order.tolist()) == list(range(len(text)))
-    assert all(raw[a : a + 100] <= raw[b : b + 100] for a, b in zip(order, order[1:], strict=False))
-    for a, b, n in zip(order, order[1:], suffix_dedup.common_prefixes(text, order[:-1], order[1:]), strict=False):
-        if max(a, b) + 100 <= len(raw):
-            assert n == next((k for k in range(100) if raw[a + k] != raw[b + k]), 100)
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    begin, count = np.array([0, 300, 500, 800]), np.array([250, 120, 300, 70])
+    found = suffix_dedup.common_prefixes(text, order, begin, count)
+    places = {b + t for b, n in zip(begin, count, strict=True) for t in range(n)}
+    for a, b in zip(order.tolist(), order[1:].tolist(), strict=False):
+        if b in places:
+            assert min(found[b], len(raw) - max(a, b)) == next((k for k in range(min(100, len(raw) - max(a, b))) if raw[a + k] != raw[b + k]), min(100, len(raw) - max(a, b)))
+        else:
+            assert found[b] == 0
 
 
 def test_runs_of_equal_windows_have_equal_anchors():
@@ -79,6 +83,37 @@ def test_runs_of_equal_windows_have_equal_anchors():
         assert len({of[int(s) + n + p] for s, n in zip(starts, (0, 37, 150), strict=True)}) == 1
 
 
+@pytest.mark.parametrize(("block", "remembered", "piece"), [(4 << 20, 200_000, 2 << 20), (2000, 3, 2000), (300, 0, 700)])
+def test_repeats_in_small_blocks(monkeypatch, block, remembered, piece):
+    """The tasks' work without Spark: runs are remembered or not, arrays are whole or cut into blocks that binary search merges."""
+    import random
+
+    import pyarrow as pa
+
+    for name, value in (("BLOCK", block), ("REMEMBERED", remembered), ("PIECE", piece)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    random.seed(9)
+    passage = "".join(random.choice("abcd \n") for _ in range(300)).encode()
+    own = lambda n: bytes(random.choice(b"abcd ") for _ in range(random.randint(0, n)))
+    texts = [own(200) + passage[random.randint(0, 150) : random.randint(150, 300)] + own(30) + passage[:120] for _ in range(40)] + [b"x" * 350, passage, passage]
+    order = [*range(0, len(texts), 2), *range(1, len(texts), 2)]
+    docs = pa.table({"doc_id": order, "mark": [0] * len(order), "text": [texts[i] for i in order]})
+    batches = lambda table: table.combine_chunks().to_batches(max_chunksize=7)
+    table = lambda found: pa.Table.from_batches(list(found)).sort_by([(k, "ascending") for k in ("anchor", "same", "doc_id", "mark", "start")])
+    judged = table(suffix_dedup._judge_runs(batches(table(suffix_dedup._find_runs(batches(docs)))))).to_pylist()
+    rows = sorted((r["anchor"], -1, r["doc_id"], 0, r["start"], r["n"], texts[r["doc_id"]][r["start"] : r["start"] + r["n"] + 99]) for r in judged if r["open"])
+    opened = pa.table(dict(zip(("anchor", "part", "doc_id", "mark", "start", "n", "bytes"), zip(*rows, strict=True), strict=True)))
+    matched = [r for b in suffix_dedup._match_runs(batches(opened)) for r in b.to_pylist()]
+    have = {(r["doc_id"], p) for r in [*matched, *(r for r in judged if not r["open"])] for p in range(r["start"], r["start"] + r["n"])}
+    seen, want = set(), set()
+    for i, raw in enumerate(texts):
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                want.add((i, p))
+            seen.add(raw[p : p + 100])
+    assert have == want
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(6)
     a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
