@@ -3,32 +3,36 @@ r"""Quality rules: gradient-boosted trees over document statistics, with monoton
 Words are runs of ``[^\x20\x09-\x0D]``. Each document gets its statistics in one pass over its whole text; the trees
 are fitted on at most ``sample_rows`` labelled documents (those with the smallest hash of doc_id), flattened
 into numpy node arrays and applied to every document. Features in ``RISING`` can only raise the
-estimated share of bad documents.
+estimated share of bad documents. Bad is a document of quality 0 or, where ``labels`` has the column, a toxic one. Counts of
+characters can't tell the latter, so one statistic is the number of harsh words: those (letters only, lower-cased) that stand in
+toxic documents of the sample many times as often as in its others, ``HARSH`` words at most.
 
 A document is rejected by the base rule (under 20 words, or over 30 % of its words in repeated 8-word
 windows) or by the trees. Defined results: null texts have no words and are rejected; labels that are null are
-ignored; without labels of both kinds the base rule decides alone; repeated rows are judged one by one;
+ignored; without labels of both kinds the base rule decides alone; repeated rows are judged one by one; ties for the sample
+go by the labels themselves; a very long text is counted whole; ``keep_good`` carries any other column along, whatever its name;
 an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, text_bytes
+from .common import cut, mix64, small_batches, text_bytes
 
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
+EDGES = bytes(b for b in range(128) if not chr(b).isalpha())
 UPPER, DIGITS, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?.,;:"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks", "n_bars")
-FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "distinct", "upper", "digits", "marks", "bars", "line_words")
-RISING = ("symbols", "dup_lines", "repeats")
-WINDOW = 8
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks", "n_bars", "n_harsh")
+FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "distinct", "upper", "digits", "marks", "bars", "line_words", "harsh")
+RISING = ("symbols", "dup_lines", "repeats", "harsh")
+WINDOW, HARSH = 8, 1000
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> tuple[int, int]:
@@ -66,7 +70,12 @@ def repeated_lines(lines: list[bytes]) -> int:
     return again
 
 
-def statistics(raw: bytes) -> list[int]:
+def bare(words: Iterable[bytes]) -> list[bytes]:
+    """Words without what isn't a letter at their ends, in lower case (ASCII)."""
+    return [w.lower().strip(EDGES) for w in words]
+
+
+def statistics(raw: bytes, harsh: frozenset[bytes] = frozenset()) -> list[int]:
     """The counts named in ``COUNTS``; bytes.split() and lower() know ASCII only, as the word rule does."""
     words, lines = raw.split(), raw.split(b"\n")
     solid = raw.translate(None, SPACE)
@@ -75,6 +84,7 @@ def statistics(raw: bytes) -> list[int]:
     return [
         len(words), len(solid.decode("utf-8", "replace")), without(SYMBOLS), repeated_lines(lines), repeats,
         len(lines), distinct, without(UPPER), without(DIGITS), without(MARKS), solid.count(b"|"),
+        sum(map(harsh.__contains__, bare(words))) if harsh else 0,
     ]
 
 
@@ -83,7 +93,7 @@ def features(counts: np.ndarray) -> np.ndarray:
     words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
     return np.column_stack([
         np.log1p(c["n_words"]), c["word_chars"] / words, c["n_symbols"] / chars, c["n_dup_lines"] / np.maximum(c["n_lines"], 1), c["n_repeat_words"] / words,
-        c["n_distinct"] / words, c["n_upper"] / chars, c["n_digits"] / chars, c["n_marks"] / chars, c["n_bars"] / words, c["n_words"] / np.maximum(c["n_lines"], 1),
+        c["n_distinct"] / words, c["n_upper"] / chars, c["n_digits"] / chars, c["n_marks"] / chars, c["n_bars"] / words, c["n_words"] / np.maximum(c["n_lines"], 1), np.minimum(c["n_harsh"], 10),
     ])
 
 
@@ -99,6 +109,7 @@ class Trees:
     value: np.ndarray
     depth: int
     base: float
+    harsh: frozenset[bytes] = frozenset()
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
@@ -167,28 +178,43 @@ def _raw(trees: Trees, x: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _statistics_of(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _statistics_of(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...], harsh: frozenset[bytes] = frozenset()) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        counts = np.array([statistics(t) for t in text_bytes(b["text"])], np.int64).reshape(-1, len(COUNTS))
+        counts = np.array([statistics(t, harsh) for t in text_bytes(b["text"])], np.int64).reshape(-1, len(COUNTS))
         yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), *map(pa.array, counts.T)], [*keep, *COUNTS])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Trees | None:
-    """Trees for the share of bad documents (quality 0), from at most ``sample_rows`` labelled documents."""
+    """Trees for the share of bad documents (quality 0 or toxic), from at most ``sample_rows`` labelled documents."""
     small_batches(docs.sparkSession)
-    order = F.xxhash64(F.lit(10), "doc_id")
-    some = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").orderBy(order, "quality").limit(sample_rows)
-    held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most sample_rows pairs of numbers
-    schema = ", ".join(["quality int", *(f"{c} long" for c in COUNTS)])
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)).cast("int") if "toxic" in labels.columns else F.lit(0)
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality"), toxic.alias("toxic")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    some = known.orderBy(F.xxhash64(F.lit(10), "doc_id"), "quality", "toxic").limit(sample_rows)
+    held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most sample_rows rows of numbers
+    held = cut(held.select("text", "quality", "toxic"), "labelled")
+    harsh = harsh_words(held)
+    schema = ", ".join(["quality int", "toxic int", *(f"{c} long" for c in COUNTS)])
     rows = (
-        held.select("text", F.col("quality").cast("int").alias("quality"))
-        .mapInArrow(lambda it: _statistics_of(it, ("quality",)), schema)
-        .orderBy(F.xxhash64(*COUNTS), "quality").limit(sample_rows).collect()
+        held.mapInArrow(lambda it: _statistics_of(it, ("quality", "toxic"), harsh), schema)
+        .orderBy(F.xxhash64(*COUNTS), "quality", "toxic").limit(sample_rows).collect()
     )
-    bad = np.array([r["quality"] == 0 for r in rows], np.float64)
+    bad = np.array([r["quality"] == 0 or r["toxic"] == 1 for r in rows], np.float64)
     if len(bad) < 50 or not 0 < bad.sum() < len(bad):
         return None
-    return fit(features(np.array([r[1:] for r in rows], np.int64)), bad, tuple(map(FEATURES.index, RISING)))
+    return replace(fit(features(np.array([r[2:] for r in rows], np.int64)), bad, tuple(map(FEATURES.index, RISING))), harsh=harsh)
+
+
+def harsh_words(labelled: DataFrame, least: int = 8, times: float = 20.0) -> frozenset[bytes]:
+    """Words that ``least`` toxic documents of the sample have and that are ``times`` as frequent in them as in the others."""
+    sizes = labelled.groupBy("toxic").count().collect()
+    n = {r["toxic"]: r["count"] for r in sizes}
+    if not n.get(1) or not n.get(0):
+        return frozenset()
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])[a-z]{3,}(?![a-z])"), F.lit(0)))).alias("word")
+    counts = labelled.select("toxic", word).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("yes"), F.count_if(F.col("toxic") == 0).alias("no"))
+    ratio = (F.col("yes") / n[1]) / ((F.col("no") + 0.5) / n[0])
+    found = counts.where((F.col("yes") >= least) & (ratio >= times)).orderBy(F.desc(ratio), "word").limit(HARSH)
+    return frozenset(r["word"].encode() for r in found.select("word").collect())
 
 
 def verdicts(counts: np.ndarray, trees: Trees | None, reject_above: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +231,7 @@ def judge(docs: DataFrame, trees: Trees | None, reject_above: float = 0.5) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _statistics_of(batches, ("doc_id",)):
+        for b in _statistics_of(batches, ("doc_id",), trees.harsh if trees else frozenset()):
             counts = np.column_stack([b[c].to_numpy() for c in COUNTS]) if len(b) else np.zeros((0, len(COUNTS)), np.int64)
             failed, bad, kept = verdicts(counts, trees, reject_above)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(failed), pa.array(bad), pa.array(kept)], [*b.schema.names, "base_failed", "bad", "kept"])
@@ -220,7 +246,7 @@ def keep_good(docs: DataFrame, trees: Trees | None, reject_above: float = 0.5) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = np.array([statistics(t) for t in text_bytes(b["text"])], np.int64).reshape(-1, len(COUNTS))
+            counts = np.array([statistics(t, trees.harsh if trees else frozenset()) for t in text_bytes(b["text"])], np.int64).reshape(-1, len(COUNTS))
             yield b.filter(pa.array(verdicts(counts, trees, reject_above)[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -180,7 +180,7 @@ def op9_shard_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    trees = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), sample_rows=20_000)
+    trees = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), sample_rows=20_000)
     return quality.judge(docs, trees).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "bad")
 
 

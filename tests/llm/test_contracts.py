@@ -260,22 +260,43 @@ def test_op10_counts(spark, awkward):
 
 
 def test_op10_held_out_accuracy_and_monotony(spark):
+    """Fitted on a part of the labelled documents, judged on the rest: bad ones, toxic ones and clean ones."""
+    import re
+
     import numpy as np
 
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
-    rows = docs.select("text", "quality").orderBy("doc_id").limit(3000).collect()
-    counts = np.array([quality.statistics(r["text"].encode()) for r in rows])
-    x, bad = quality.features(counts), np.array([r["quality"] == 0 for r in rows], float)
-    rising = tuple(map(quality.FEATURES.index, quality.RISING))
-    trees = quality.fit(x[:2000], bad[:2000], rising)
-    p = trees.probability(x[2000:])
-    assert ((p > 0.5) == (bad[2000:] > 0)).mean() > 0.98
-    for f in rising:
-        more = x[2000:].copy()
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    trees = quality.train(docs, labels.where("doc_id % 3 > 0"))
+    held = docs.join(labels.where("doc_id % 3 = 0"), "doc_id").select("text", "quality", "toxic").collect()
+    counts = np.array([quality.statistics(r["text"].encode(), trees.harsh) for r in held])
+    x, poor = quality.features(counts), np.array([r["quality"] == 0 for r in held])
+    p = trees.probability(x)
+    rude = np.array([r["toxic"] == 1 and any(w.decode() in re.findall("[a-z]+", r["text"].lower()) for w in trees.harsh) for r in held])
+    clean = np.array([r["quality"] == 1 and r["toxic"] == 0 for r in held])
+    assert (p[poor] > 0.5).mean() > 0.9 and (p[rude] > 0.5).mean() > 0.9 and rude.sum() > 0.6 * sum(r["toxic"] for r in held)
+    assert (p[clean] > 0.5).mean() < 0.02
+    assert (quality.verdicts(counts, trees, 0.5)[1] == p).all()
+    for f in map(quality.FEATURES.index, quality.RISING):
+        more = x.copy()
         more[:, f] += 0.3
         assert (trees.probability(more) >= p - 1e-12).all()
 
 
+def test_op10_verdict_is_that_of_the_nodes(spark):
+    """kept against a walk through the nodes, row by row."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    trees, texts = quality.train(docs, labels.select("doc_id", "quality", "toxic")), {r["doc_id"]: text_of(r) for r in docs.collect()}
+    for r in queries.op10_quality_boosted_trees(spark, sf).collect():
+        row, total = quality.features(__import__("numpy").array([quality.statistics(texts[r["doc_id"]].encode(), trees.harsh)]))[0], trees.base
+        for node in trees.roots.tolist():
+            while trees.left[node] != node:
+                node = int(trees.left[node] if row[trees.feature[node]] <= trees.cut[node] else trees.right[node])
+            total += trees.value[node]
+        assert r["kept"] == (not r["base_failed"] and total <= 0)
+
+
 def test_op2_tree_rejects_impure_branches(spark):
     pages = [(i, f"http://h.org/{'spam' if i % 2 else 'good'}/{'v2/' if i % 3 else ''}{i}.html", i) for i in range(400)]
     pages += [(1000 + i, f"http://other.org/x/{i}", None) for i in range(5)] + [(2000, "http://h.org/spam/v2/999.html", None)]
@@ -287,3 +308,66 @@ def test_op2_tree_rejects_impure_branches(spark):
     assert len(rows) == len(pages)
     assert all(rows[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(400)) and rows[2000]["verdict"] == "block" and rows[1000]["verdict"] == "allow"
     assert rows[1]["template"].startswith("/spam/") and rows[1000]["template"] == "/x/{n}"
+
+
+def test_op2_against_a_tree_by_hand(spark):
+    """Templates, purities and verdicts of random sites against a walk in Python; deep and shallow paths, few and many labels."""
+    import random
+
+    from factledger.llm import url_filter
+
+    random.seed(11)
+    pages, labels = [], []
+    for i in range(1500):
+        host, section = random.choice("abc"), random.choice(["x", "y", "spam"])
+        deep = "/".join(random.choice("pq") for _ in range(random.choice([0, 0, 1, 2, 30])))
+        slug = random.choice(["s1", "t", "u"]) + random.choice(["", "", "/"])
+        pages.append((i, f"http://{host}.org/{section}/{deep}{'/' if deep else ''}{slug}", i if random.random() < 0.6 else None))
+        if random.random() < 0.8:
+            labels.append((i, random.random() < (0.1 if section == "spam" and host != "c" else 0.9)))
+    good = dict(labels)
+    rows = [(h, tuple(re.sub("[0-9]+", "{n}", s) for s in u.split("/")[3:]), good.get(i) if n is not None else None) for i, u, n in pages for h in [u.split("/")[2]]]
+    names = {}
+
+    def walk(node, level, name):
+        names.update({k: name for k in node if len(rows[k][1]) == level})
+        going = [k for k in node if len(rows[k][1]) > level]
+        stats = lambda ks: (sum(rows[k][2] is not None for k in ks), sum(rows[k][2] is True for k in ks))
+        branches, (all_l, all_g) = defaultdict(list), stats(going)
+        children = {s: [k for k in going if rows[k][1][level] == s] for s in {rows[k][1][level] for k in going}}
+        for s, ks in children.items():
+            l, g = stats(ks)
+            literal = len(children) == 1
+            if len(ks) >= 20 and l and all_l - l:
+                p = all_g / all_l
+                error = (p * (1 - p) * (1 / l + 1 / (all_l - l))) ** 0.5
+                literal |= error > 0 and abs(g / l - (all_g - g) / (all_l - l)) > 2.58 * error
+            branches[s if literal else "*"] += ks
+        for s, ks in branches.items():
+            walk(ks, level + 1, f"{name}/{s}")
+
+    share = sum(r[2] is True for r in rows) / sum(r[2] is not None for r in rows)
+    smooth = lambda ks, toward: (sum(rows[k][2] is True for k in ks) + 5 * toward) / (sum(rows[k][2] is not None for k in ks) + 5)
+    want = {}
+    for host in sorted({r[0] for r in rows}):
+        mine = [k for k, r in enumerate(rows) if r[0] == host]
+        walk(mine, 0, "")
+        for name in {names[k] for k in mine}:
+            purity = smooth([k for k in mine if names[k] == name], smooth(mine, share))
+            want.update({k: (name, round(purity, 9), "block" if purity < 0.6 * share else "allow") for k in mine if names[k] == name})
+    found = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, label_id long"), spark.createDataFrame(labels, "label_id long, good boolean"), [])
+    assert {r["page_id"]: (r["template"], round(r["purity"], 9), r["verdict"]) for r in found.collect()} == want
+    assert {v for _, _, v in want.values()} == {"allow", "block"} and any("spam" in t and v == "block" for t, _, v in want.values())
+
+
+def test_op2_rules_by_hand(spark):
+    sf, rules = "/root/testdata/sf0.01", [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    want = Counter()
+    for r in table(spark, sf, "pages"):
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", r["url"] or "", re.S)
+        host, path = (lower(m[1]), m[2]) if m else ("", "")
+        fits = [(len(x), -k, x, v) for k, (v, x) in enumerate(rules) for h, _, p in [x.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        want[r["page_id"], host, path, max(fits)[2] if fits else None, max(fits)[3] if fits else None] += 1
+    found = queries.op2_url_template_tree(spark, sf).collect()
+    assert Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in found) == want
+    assert all(r["verdict"] in ("allow", "block") for r in found)
