@@ -10,12 +10,15 @@ PMI(e; t) = log2(p(e | t) / p(e)) comes near to the entity's own information IC(
 and the fewer texts speak for a term, the less it proves. A term with PMI >= ``share`` * IC is marked beside the entity, with
 the kind ``term``, unless it overlaps a base span.
 
-Defined results: null texts are empty; null doc_ids and repeated rows are handled row by row; an empty table gives an
-empty result; only doc_id and text are read.
+Defined results: null texts are empty; null doc_ids and repeated rows are handled row by row; a very long text is searched whole,
+in time linear in its length and spans; spans that start together go by their end, then by kind; an empty table gives an empty result;
+only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +36,36 @@ PATTERNS = {
 }
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 WORD = r"\p{L}{3,}"
-WINDOW = 64
+WINDOW, PIECE, CHUNK = 64, 128, 1024
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often a function of array elements asks for it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> in code points, end exclusive."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    """array<struct<start, end, value>> in code points, end exclusive.
+
+    Places are running sums. An array that is appended to is copied each time, so the sums go by pieces of ``PIECE`` matches:
+    first the length of each piece, then the places inside, which is linear in the matches.
+    """
     empty = F.array().cast("array<struct<start: int, end: int, value: string>>")
-    step = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda done, x: F.struct(
-            (done["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.array_append(
-                done["spans"],
-                F.struct(
-                    (done["at"] + F.length(x["g"])).alias("start"), (done["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")
-                ),
-            ).alias("spans"),
-        ),
-        lambda done: done["spans"],
-    )
-    return F.when(F.size(found) > 0, step).otherwise(empty)
+    size = lambda x: F.length(x["g"]) + F.length(x["m"])
+
+    def inside(piece: Column, begin: Column) -> Column:
+        span = lambda at, x: F.struct((at + F.length(x["g"])).alias("start"), (at + size(x)).alias("end"), x["m"].alias("value"))
+        step = lambda done, x: F.struct((done["at"] + size(x)).alias("at"), F.array_append(done["spans"], span(done["at"], x)).alias("spans"))
+        return F.aggregate(piece, F.struct(begin.alias("at"), empty.alias("spans")), step, lambda done: done["spans"])
+
+    def places(zipped: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / PIECE).cast("int")), lambda i: F.slice(zipped, i * PIECE + 1, F.lit(PIECE)))
+        sums = lambda ps: F.transform(ps, lambda piece: F.aggregate(piece, F.lit(0), lambda n, x: n + size(x)))
+        begins = lambda ps: F.aggregate(sums(ps), F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+        return F.when(F.size(zipped) == 0, empty).otherwise(let(pieces, lambda ps: let(begins(ps), lambda bs: F.flatten(F.zip_with(ps, F.slice(bs, F.lit(1), F.size(ps)), inside)))))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda m: let(F.arrays_zip(m.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("g")), places))
 
 
 def luhn(digits: Column) -> Column:
@@ -82,10 +93,10 @@ def valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _with_context(kind: str) -> Column:
+def _with_context(kind: str, chunks: Column) -> Column:
     """Valid spans, with the words around them; a character more on each side shows which words are cut."""
-    after = lambda s: F.substring(F.col("_t"), s["end"], F.lit(WINDOW + 2))
-    before = lambda s: F.substring(F.col("_t"), F.greatest(s["start"] - WINDOW, F.lit(1)), F.least(s["start"], F.lit(WINDOW + 1)) + 1)
+    after = lambda s: _part(chunks, s["end"], F.lit(WINDOW + 2))
+    before = lambda s: _part(chunks, F.greatest(s["start"] - WINDOW, F.lit(1)), F.least(s["start"], F.lit(WINDOW + 1)) + 1)
     first = lambda s: F.greatest(s["start"] - WINDOW - 1, F.lit(0))
     return F.transform(
         F.filter(f"_{kind}", lambda s: valid(kind, s["value"])),
@@ -102,6 +113,12 @@ def _with_context(kind: str) -> Column:
     )
 
 
+def _part(chunks: Column, start: Column, length: Column) -> Column:
+    """A short part of the text from a place (from 1), by way of its chunks: places in a long text are slow to walk to."""
+    chunk = F.floor((start - 1) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, chunk + 1, F.lit(2)), ""), start - chunk * CHUNK, length)
+
+
 def _words(part: Column, offset: Column, low: Column, high: Column) -> Column:
     """array<struct<term, start, end>>: words of a part of the text from ``offset`` that lie between ``low`` and ``high``."""
     placed = F.transform(matches(part, WORD), lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + offset).alias("start"), (m["end"] + offset).alias("end")))
@@ -121,7 +138,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     rows = keyed(docs.select("text")).select("_t", "_key")
     rows = rows.withColumns({f"_{k}": F.when(gates[k], matches(F.col("_t"), PATTERNS[k])).otherwise(none) for k in KINDS})
     found = rows.where(" OR ".join(f"size(_{k}) > 0" for k in KINDS))
-    spans = F.concat(*(_with_context(kind) for kind in KINDS))
+    chunks = F.regexp_extract_all("_t", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    spans = let(chunks, lambda c: F.concat(*(_with_context(kind, c) for kind in KINDS)))
     return cut(found.select("_key", spans.alias("base")).where("size(base) > 0").dropDuplicates(["_key"]), "pii")
 
 
