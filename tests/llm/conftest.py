@@ -14,7 +14,7 @@ def awkward(spark, tmp_path_factory):
         (10, LONG + " tail", "en", "b", 9),
     ]
     extra = "doc_id long, text string, lang string, source string, n_chars long"
-    clash = {c: "'x'" for c in ("n_words", "kept", "size", "shard", "slot", "id", "row", "n", "digest", "mark", "places", "copies", "target", "rank", "bands", "start", "item_id", "quality", "_match_x")}
+    clash = {c: "'x'" for c in ("n_words", "kept", "size", "shard", "slot", "id", "row", "n", "digest", "mark", "places", "copies", "target", "rank", "bands", "start", "item_id", "quality", "_match", "_dropped", "key", "nth", "_key", "_n", "_copy")}
     frame = spark.createDataFrame(docs, extra)
     frame.selectExpr("*", *(f"{v} AS {k}" for k, v in clash.items())).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (5, 0, None), (None, 1, 1), (6, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")

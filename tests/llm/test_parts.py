@@ -1,11 +1,15 @@
 """Data structures beneath the operators."""
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from brute import links
-from factledger.llm import near_dedup, queries, sharding, suffix_dedup, tokens
+from brute import links, lower
+from factledger.llm import decontamination, mixing, near_dedup, quality, queries, sharding, suffix_dedup, tokens
 
 
 @pytest.mark.parametrize("block", [1 << 16, 1 << 9])
@@ -163,18 +167,111 @@ def test_shards_of_rows(spark):
     assert sum(found[i]["shard"] != grown[i]["shard"] for i in found) < 0.4 * len(found)  # hashing anew would move eight ninths
 
 
-def test_pipeline_stages(spark):
-    """Each stage's decisions, by brute force on its own input."""
-    sf = "/root/testdata/sf0.001"
-    docs, inputs = spark.read.parquet(f"{sf}/documents.parquet"), {}
+def written(spark, sf_dir):
+    """Each stage's input, and the last one's output."""
+    inputs, docs = {}, spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         inputs[name] = docs
-        docs = near_dedup.cut(stage(spark, docs, sf), name)
+        docs = near_dedup.cut(stage(spark, docs, sf_dir), name)
         assert name == "token_output" or docs.columns == inputs[name].columns
+    return inputs, docs
+
+
+def contaminated(text, items):
+    """Hit words and all words of a text, by windows of 13 words."""
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    grams = {tuple(w[i : i + 13]) for w in map(word, items) if w for i in range(max(1, len(w) - 12))}
+    words, hit = word(text), set()
+    for n in {len(g) for g in grams}:
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+    return len(hit), len(words)
+
+
+def test_pipeline_stages(spark):
+    """Each stage's decisions, by brute force on its own input."""
+    sf = "/root/testdata/sf0.001"
+    inputs, out = written(spark, sf)
     ids = {n: [r["doc_id"] for r in d.select("doc_id").collect()] for n, d in inputs.items()}
-    assert set(ids["minhash_near_dedup"]) < set(ids["quality_rules"])
-    texts = {r["doc_id"]: r["text"] for r in inputs["minhash_near_dedup"].collect()}
-    want = links(texts, 5)
-    assert sorted(ids["benchmark_decontamination"]) == sorted(i for i, (_, root) in want.items() if root == i)
-    assert set(ids["source_mixing"]) <= set(ids["benchmark_decontamination"])
-    assert set(ids["token_output"]) <= set(ids["source_mixing"]) and docs.count() == len(ids["token_output"])
+    texts = {n: {r["doc_id"]: r["text"] or "" for r in d.collect()} for n, d in inputs.items()}
+    # quality: the base rule and a walk through the fitted nodes
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
+    trees, want = quality.train(inputs["quality_rules"], labels), []
+    for i in ids["quality_rules"]:
+        counts = quality.statistics(texts["quality_rules"][i].encode(), trees.harsh if trees else frozenset())
+        bad = 0.0
+        if trees:
+            row, bad = quality.features(np.array([counts]))[0], trees.base
+            for node in trees.roots.tolist():
+                while trees.left[node] != node:
+                    node = int(trees.left[node] if row[trees.feature[node]] <= trees.cut[node] else trees.right[node])
+                bad += trees.value[node]
+        if counts[0] >= 20 and 100 * counts[4] <= 30 * counts[0] and bad <= 0:
+            want.append(i)
+    assert sorted(ids["minhash_near_dedup"]) == sorted(want) and len(want) < len(ids["quality_rules"])
+    found = links(texts["minhash_near_dedup"], 5)
+    assert sorted(ids["benchmark_decontamination"]) == sorted(i for i, (_, root) in found.items() if root == i)
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hits = {i: contaminated(t, items) for i, t in texts["benchmark_decontamination"].items()}
+    assert sorted(ids["source_mixing"]) == sorted(i for i, (h, n) in hits.items() if not (h and 20 * h >= n))
+    # mixing: what each source takes is near its target, and no document comes more than twice
+    copies, sources = Counter(ids["token_output"]), {r["doc_id"]: r["source"] for r in inputs["source_mixing"].collect()}
+    size = {i: len(t.split()) for i, t in texts["source_mixing"].items()}
+    total, weight, source_size, target = sum(size.values()), {}, Counter(), {}
+    for k, s in enumerate(sorted(set(sources.values()))):
+        weight[s] = (3, 1, 2)[k % 3]
+    for i, s in sources.items():
+        source_size[s] += size[i]
+    left, going = 1.5 * total, set(weight)
+    while full := {s for s in going if 2 * source_size[s] <= left * weight[s] / sum(weight[x] for x in going)}:
+        target |= {s: 2 * source_size[s] for s in full}
+        left, going = left - sum(2 * source_size[s] for s in full), going - full
+    target |= {s: left * weight[s] / sum(weight[x] for x in going) for s in going}
+    taken, largest = Counter(), Counter()
+    for i, n in copies.items():
+        taken[sources[i]] += n * size[i]
+    for i, s in sources.items():
+        largest[s] = max(largest[s], size[i])
+    assert max(copies.values()) <= 2 and all(abs(taken[s] - target[s]) <= 2 * largest[s] + 1 for s in target)
+    # tokens: ids of whole texts, one document after the other
+    tokenizer, at, rows = tokens.Encoder(queries.tokenizer_path()).tokenizer, 0, []
+    for i in sorted(ids["token_output"]):
+        own = [*tokenizer.encode(texts["token_output"][i], add_special_tokens=False).ids, 2]
+        rows.append((i, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+        at += len(own)
+    assert sorted(map(tuple, out.collect())) == rows
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty):
+    inputs, out = written(spark, awkward)
+    kept = {n: [r["doc_id"] for r in d.collect()] for n, d in inputs.items()}
+    assert {7, 10} & set(kept["source_mixing"]) and len(kept["source_mixing"]) <= len(kept["benchmark_decontamination"]) <= len(kept["minhash_near_dedup"])
+    assert out.count() == len(kept["token_output"])
+    assert all(d.count() == 0 for d in written(spark, empty)[0].values()) and corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_columns_named_like_results_stay(spark):
+    """Every filtering operator hands on columns with names of its own results and helpers."""
+    names = ("copies", "size", "mark", "key", "row", "nth", "_match", "_dropped", "n_words", "kept", "_copy", "digest", "target", "_key", "_n")
+    rows = [(i, f"word{i} " * 30 + "and so on", "a", *("x" * k for k in range(len(names)))) for i in range(4)] + [(None, "no id " * 20, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    whole = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    for found in (mixing.emit(docs), near_dedup.keep_one(docs), decontamination.remove(docs, items), decontamination.remove(docs, items, how="cut"), quality.keep_good(docs, None)):
+        assert found.columns == docs.columns
+        assert all(tuple(r)[2:] == whole[r["doc_id"]][2:] for r in found.collect())
+    assert {r["doc_id"] for r in decontamination.remove(docs, items).collect()} == {1, 2, 3, None}
+
+
+def test_near_duplicates_at_other_thresholds(spark):
+    import random
+
+    random.seed(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(random.choice(["x", "y", w]) if random.random() < 0.03 * (i % 9) else w for w in base[: 40 + i % 20]) for i in range(50)}
+    for percent in (60, 90):
+        found = near_dedup.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=1, percent=percent).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == links(texts, 1, percent)
+    with pytest.raises(ValueError):
+        near_dedup.band_rows(5)
