@@ -1,7 +1,10 @@
 """A training corpus from ``documents``: quality, near-duplicates, decontamination, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's
-docs. All but the last return the columns of ``documents``.
+docs. All but the last return the columns of ``documents``, those of unknown names too.
+
+Defined results: null and empty texts go with the quality rules; rows without a doc_id are linked with no others and are
+mixed and written like all; rows that repeat a doc_id stay or go together in the near-duplicate stage; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from factledger.llm.queries import tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the trees reject go."""
-    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
