@@ -162,12 +162,56 @@ def op7_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=2, percent=80)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d
+), t AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id
+), m AS (
+  SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+"""
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"))
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d)
+), r AS (
+  SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1
+), i AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true)::INT AS new FROM r
+), k AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i
+), s AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM k GROUP BY doc_id, k
+), g AS (
+  SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+), m AS (
+  SELECT g.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS last
+  FROM g JOIN d USING (doc_id) GROUP BY g.doc_id
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id)
+"""
+
+
 def op9_shard_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -196,4 +240,4 @@ QUERIES = {
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
     "op10_quality_boosted_trees": op10_quality_boosted_trees,
 }
-ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL}
+ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL, "op7_minhash_odd_sketch": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL}
