@@ -3,16 +3,28 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
-def test_entry_works_without_the_training_data_subpackage(tmp_path):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_entry_works_without_the_training_data_subpackage(tmp_path, left):
     shutil.copytree(ROOT / "factledger", tmp_path / "factledger", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", *left):
+        shutil.copy(ROOT / name, tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and o.keys() <= q.keys(); assert 'pipeline' not in q"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
+def test_another_missing_module_is_an_error(tmp_path):
+    shutil.copytree(ROOT / "factledger", tmp_path / "factledger", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(ROOT / name, tmp_path)
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, timeout=120).returncode == 1
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in (ROOT / "factledger").rglob("*.py"):
         if "llm" not in path.parts:
