@@ -70,3 +70,60 @@ def softmax(logits: Column) -> Column:
 
 def posterior_mean(hits: Column, n: Column, a: float = 1e-6, b: float = 1.0) -> Column:
     return (F.lit(a) + hits) / (F.lit(a) + F.lit(b) + n)
+
+
+# fixed values: what a suffix multiplies by
+SCALES = {"million": 1e6, "mn": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "trillion": 1e12, "tn": 1e12, "t": 1e12}
+SCALED_NUMBER = rf"(-?\d+\.?\d*)(?![.\d])\s*({'|'.join(sorted(SCALES, key=len, reverse=True))})?\b"
+
+
+def canonical(value: Column) -> Column:
+    """A number as text: whole ones without a point, others with four decimals."""
+    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(F.format_string("%.4f", value))
+
+
+def number_values(text: Column) -> Column:
+    """Distinct values of the numbers in a text, as they stand and multiplied by their suffix; money signs, commas and % go."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "$%,", "  ")
+    found = F.arrays_zip(F.regexp_extract_all(plain, F.lit(SCALED_NUMBER), F.lit(1)).alias("n"), F.regexp_extract_all(plain, F.lit(SCALED_NUMBER), F.lit(2)).alias("s"))
+    by = F.create_map(*(F.lit(x) for pair in SCALES.items() for x in pair))
+    both = F.transform(found, lambda x: F.array(x["n"].cast("double"), x["n"].cast("double") * F.coalesce(F.try_element_at(by, x["s"]), F.lit(1.0))))
+    return F.array_distinct(F.flatten(both))
+
+
+def number_set(text: Column) -> Column:
+    """The same as sorted canonical texts."""
+    return F.array_sort(F.array_distinct(F.transform(number_values(text), canonical)))
+
+
+def values_match(gold: Column, answer: Column) -> Column:
+    """Within half a percent (0.015 where the gold value is zero), or within one percent after a factor of a hundred either way."""
+    near = lambda g, p, of, share: F.abs(g - p) / F.abs(of) <= share
+    scaled = near(gold, answer, gold, 0.005) | near(gold * 100, answer, gold * 100, 0.01) | near(gold, answer * 100, gold, 0.01)
+    return F.when(gold == 0, F.abs(gold - answer) < 0.015).otherwise(scaled)
+
+
+def clean_number(text: Column) -> Column:
+    """A double from ``10%`` (0.1), ``(500)`` (-500), ``$1,200``; null where nothing numeric is left."""
+    s = F.regexp_replace(F.trim(text), "[,$€£\\s]", "")
+    negative, percent = s.rlike(r"^\(.*\)$"), F.endswith(F.regexp_replace(s, r"[()]", ""), F.lit("%"))
+    value = to_number(F.regexp_replace(s, "[()%]", ""))
+    value = F.when(percent, value / 100).otherwise(value)
+    return F.when(negative, -value).otherwise(value)
+
+
+def result_text(value: Column) -> Column:
+    """Whole numbers as integers, others with two decimals at most."""
+    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(F.round(value, 2).cast("string"))
+
+
+def derivable_from(target: Column, values: Column, share: float = 0.01) -> Column:
+    """Whether a number comes from two of ``values``: sum, difference, change in percent, share in percent, or ratio."""
+    near = lambda x: F.abs(x - target) <= F.greatest(F.abs(target) * share, F.lit(0.01))
+    ratio = lambda x, y: F.try_divide(x, y)
+    ways = lambda x, y: F.coalesce(
+        near(x + y) | near(x - y) | F.coalesce(near(ratio(x - y, F.abs(y)) * 100) | near(ratio(x, y) * 100) | near(ratio(x, y)), F.lit(False)), F.lit(False)
+    )
+    places = F.sequence(F.lit(1), F.size(values))
+    pair = lambda i: F.exists(places, lambda j: (i != j) & ways(F.element_at(values, i), F.element_at(values, j)))
+    return F.when(F.size(values) < 2, F.lit(False)).otherwise(F.exists(places, pair))

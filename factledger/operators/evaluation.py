@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.functions import numeric
-
-# fixed values: answers that decline
-REFUSALS = ("not available", "no information", "cannot answer", "not found", "insufficient", "does not mention", "does not state", "not in context")
-
+from factledger.functions import numeric, text
 
 def pairs(rows: DataFrame) -> DataFrame:
     """family, kind, pool and the predictions of parent and child, from (family, role, pool, kind, pred)."""
@@ -91,3 +87,55 @@ def ema(rows: DataFrame, per: str, order: str, value: str, span: int) -> DataFra
     )
     rolled = rows.groupBy(per).agg(points.alias("points")).withColumn("ema", folded)
     return rolled.select(per, F.explode(F.arrays_zip(F.col("points.at").alias("at"), F.col("ema").alias("ema"))).alias("x")).select(per, F.col("x.at").alias(order), "x.ema")
+
+
+def exact_match(answer: Column, gold: Column, label: Column, lookup: Column) -> Column:
+    """Whether an answer is right: an unfounded question must be declined; numbers match within tolerances; where the gold answer
+    has no number, or the question is a look-up, its text may be contained or share 70 % of its words."""
+    said, wanted = numeric.number_values(answer), numeric.number_values(gold)
+    by_number = F.exists(wanted, lambda g: F.exists(said, lambda p: numeric.values_match(g, p)))
+    plain = text.without_citations(answer)
+    clean = F.lower(F.trim(F.regexp_replace(gold, r"(?i)\s*[(\[\-].*?(\$|usd|nzd|eur|gbp|£|€|¥|\d).*$", "")))
+    of = lambda t: F.filter(text.words(t), lambda w: ~w.isin(*text.SMALL_WORDS))
+    by_text = F.contains(plain, clean) | F.coalesce(text.overlap(of(clean), of(plain)) >= 0.7, F.lit(False))
+    right = by_number | ((F.coalesce(lookup, F.lit(False)) | (F.size(wanted) == 0)) & by_text)
+    judged = F.when(label == "Unfounded", text.contains_any(answer, text.REFUSALS)).otherwise(right)
+    return F.when(F.coalesce(answer, F.lit("")) == "", False).otherwise(F.coalesce(judged, F.lit(False)))
+
+
+def golden_chunks(samples: DataFrame, chunks: DataFrame, fallback: int = 3) -> DataFrame:
+    """record, chunk: a record's chunks that share a number with its answer or trace, contain the answer, or a fifth of its words.
+
+    ``samples`` has (record, target, trace), ``chunks`` (record, chunk, text). A record without any gets all of its chunks, if
+    they are ``fallback`` at most.
+    """
+    evidence = F.array_union(numeric.number_set(F.col("target")), numeric.number_set(F.col("trace")))
+    asked = samples.select("record", "target", evidence.alias("evidence"), F.filter(text.words(F.col("target")), lambda w: ~w.isin(*text.SMALL_WORDS) & (F.length(w) > 3)).alias("asked"))
+    shares = F.arrays_overlap("evidence", numeric.number_set(F.col("text")))
+    says = (F.col("target") != "") & F.contains(F.lower("text"), F.lower("target"))
+    like = F.coalesce(text.overlap(F.col("asked"), text.words(F.col("text"))) >= 0.2, F.lit(False))
+    judged = chunks.join(asked, "record").select("record", "chunk", F.coalesce(shares | says | like, F.lit(False)).alias("gold"))
+    counts = judged.groupBy("record").agg(F.count_if("gold").alias("n"), F.count("*").alias("all"))
+    kept = judged.join(counts, "record").where(F.col("gold") | ((F.col("n") == 0) & (F.col("all") <= fallback)))
+    return kept.select("record", "chunk")
+
+
+def hallucinated(answer: Column, context: Column, query: Column, correct: Column, retrieved: Column) -> Column:
+    """Whether a wrong answer has a number that neither context nor query has and that two of the context's don't give; never where
+    retrieval failed."""
+    said, known = numeric.number_values(F.regexp_replace(answer, "(?s)```.*?```", "")), numeric.number_values(context)
+    free = F.array_union(F.array_union(known, numeric.number_values(query)), F.array(F.lit(0.0), F.lit(1.0), F.lit(100.0)))
+    made_up = F.exists(said, lambda n: ~F.array_contains(free, n) & ~numeric.derivable_from(n, known))
+    return retrieved & ~correct & made_up
+
+
+def with_global(rates: DataFrame, per: str, n: str, rate: str) -> DataFrame:
+    """``rates`` with a row ``global``: the mean of all strata, weighted by their sizes."""
+    whole = rates.agg(F.lit("global").alias(per), F.sum(n).alias(n), F.try_divide(F.sum(F.col(n) * F.col(rate)), F.sum(n)).alias(rate))
+    return rates.select(per, n, F.round(rate, 6).alias(rate)).unionByName(whole.withColumn(rate, F.round(rate, 6)))
+
+
+def means_of(rows: DataFrame, per: str, part: str) -> DataFrame:
+    """n and the mean of each column whose name contains ``part``, as text, by ``per``; N/A where there is no value."""
+    mean = lambda c: F.coalesce(F.round(F.try_divide(F.sum(c).cast("double"), F.count(c)), 6).cast("string"), F.lit("N/A")).alias(c)
+    return rows.groupBy(per).agg(F.count("*").alias("n"), *(mean(c) for c in rows.columns if part in c))
