@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.plans import evaluation, factory, ingest, ledger, scoring
+from factledger.plans import evaluation, factory, grounding, ingest, ledger, scoring
 
-QUERIES = ledger.QUERIES | ingest.QUERIES | factory.QUERIES | evaluation.QUERIES | scoring.QUERIES
-ORACLES = ledger.ORACLES | ingest.ORACLES | factory.ORACLES | evaluation.ORACLES | scoring.ORACLES
+QUERIES = ledger.QUERIES | ingest.QUERIES | factory.QUERIES | evaluation.QUERIES | scoring.QUERIES | grounding.QUERIES
+ORACLES = ledger.ORACLES | ingest.ORACLES | factory.ORACLES | evaluation.ORACLES | scoring.ORACLES | grounding.ORACLES
