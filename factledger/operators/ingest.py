@@ -95,12 +95,13 @@ def melt(grid: DataFrame, context: Column) -> DataFrame:
     )
 
 
-def align(items: DataFrame, docs: DataFrame, collapsed: bool = False) -> DataFrame:
+def align(items: DataFrame, docs: DataFrame, collapsed: bool = False, most_sent: int = 50_000) -> DataFrame:
     """item_id, doc_id, position for each row of items (item_id, text) that stands word for word in a row of docs (doc_id, text).
 
     With ``collapsed``, items that are not found so are looked for with white space collapsed (see ``exact_position``).
     An item's first and last word may be parts of words, so its inner words, up to six of them, are its key: both sides meet
-    on the hash of as many words. Items without inner words are compared with all documents.
+    on the hash of as many words. Items without inner words are compared with all documents. Up to ``most_sent`` items are sent to
+    the tasks, so no document's words are shuffled; more are joined by their keys.
     """
     words = lambda c: F.split(c, r"\s+")
     hashed = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))  # noqa: E731 # plain numbers: array_distinct compares structs pair by pair
@@ -108,7 +109,8 @@ def align(items: DataFrame, docs: DataFrame, collapsed: bool = False) -> DataFra
     quotes = quotes.withColumn("_q", text.collapsed(F.col("quote"))).withColumn("_w", words("_q")).withColumn("_n", F.least(F.size("_w") - 2, F.lit(6)))
     quotes = quotes.withColumn("key", F.when(F.col("_n") > 0, hashed(F.col("_w"), F.lit(2), F.col("_n")))).drop("_w")
     texts = docs.where("text IS NOT NULL").withColumn("_text", F.unhex(F.md5("text")))
-    sizes = sorted(r["_n"] for r in quotes.select(F.greatest("_n", F.lit(0)).alias("_n")).distinct().collect())  # seven values at most
+    kinds = quotes.groupBy(F.greatest("_n", F.lit(0)).alias("_n")).agg(F.count("*").alias("rows")).collect()  # seven rows at most
+    sizes, few = sorted(r["_n"] for r in kinds), sum(r["rows"] for r in kinds) <= most_sent
     columns = ["item_id", "doc_id", "text", "quote", "_copies"]
     found = []
     if sizes and sizes[0] == 0:
@@ -119,7 +121,8 @@ def align(items: DataFrame, docs: DataFrame, collapsed: bool = False) -> DataFra
             F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: hashed(F.col("w"), i, n))
         ).otherwise(F.array().cast("array<bigint>"))
         grams = texts.select("_text", words("text").alias("w")).select("_text", F.explode(F.array_distinct(F.concat(*map(places, keyed)))).alias("key"))
-        met = grams.join(quotes.where("_n > 0"), "key").select("_text", "item_id", "quote", "_copies").distinct()
+        keys = quotes.where("_n > 0").select("key", "item_id", "quote", "_copies")
+        met = grams.join(F.broadcast(keys) if few else keys, "key").select("_text", "item_id", "quote", "_copies").distinct()
         found.append(met.join(texts, "_text").select(columns))
     if not found:
         return docs.limit(0).join(items.limit(0).select("item_id"), F.lit(True)).select("item_id", "doc_id", F.lit(0).cast("long").alias("position"))

@@ -10,49 +10,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.functions import text
+from factledger.operators.ledger import first_of, top_of
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 16_384) -> DataFrame:
     """query_id, vec_id, similarity: the k most cosine-similar vectors of each query, both sides (id, embedding).
 
-    Queries go in blocks of about ``block`` vectors, so what is sent to tasks is bounded; a task keeps k candidates for
-    each query. Ties on the rounded similarity go by id. The query itself is left out; null and zero vectors have no similarity.
+    Queries go in blocks of about ``block`` vectors, one after the other, so what the driver holds and sends to tasks is bounded. A
+    task keeps the best k of all its rows for each query. Ties on the rounded similarity go by id. The query itself is left
+    out; null and zero vectors have no similarity. Several blocks need a checkpoint folder.
     """
-    blocks = max(1, -(-queries.count() // block))
-    coded = queries.where("id IS NOT NULL AND embedding IS NOT NULL").withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    coded = queries.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding")
+    blocks = max(1, -(-coded.count() // block))
+    coded = coded.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     found = None
     for b in range(blocks):
-        rows = coded.where(F.col("_block") == b).select("id", "embedding").collect()
+        rows = coded.where(F.col("_block") == b).select("id", "embedding").collect()  # about ``block`` rows
         part = vectors.select("id", "embedding").mapInArrow(_block_search([(r["id"], r["embedding"]) for r in rows], k, digits), "query_id long, vec_id long, similarity double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+        part = part.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+        part = part.checkpoint() if blocks > 1 else part
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    return found
 
 
-def _block_search(queries: list[tuple], k: int, digits: int):
+def _block_search(queries: list[tuple], k: int, digits: int, tile: int = 512):
     ids = np.array([q for q, _ in queries], np.int64)
     asked = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.sqrt((asked * asked).sum(1))
+        best, names = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
         for b in batches:
             keep = [i for i, v in enumerate(b["embedding"].to_pylist()) if v is not None]
-            if not keep or not len(ids):
-                continue
-            b = b.take(pa.array(keep))
-            own = b["id"].to_numpy(zero_copy_only=False)
-            matrix = np.array(b["embedding"].to_pylist(), np.float64)
-            scale = lengths[:, None] * np.sqrt((matrix * matrix).sum(1))[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.round(asked @ matrix.T / scale, digits)
-            score[(scale == 0) | (ids[:, None] == own[None, :])] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            best = score[rows, order.ravel()]
-            good = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows][good]), pa.array(own[order.ravel()][good]), pa.array(best[good])], ["query_id", "vec_id", "similarity"]
-            )
+            for at in range(0, len(keep) if len(ids) else 0, tile):
+                rows = b.take(pa.array(keep[at : at + tile]))
+                own = rows["id"].to_numpy(zero_copy_only=False)
+                matrix = np.array(rows["embedding"].to_pylist(), np.float64)
+                scale = lengths[:, None] * np.sqrt((matrix * matrix).sum(1))[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.round(asked @ matrix.T / scale, digits)
+                score[(scale == 0) | (ids[:, None] == own[None, :])] = -np.inf
+                better = np.flatnonzero(score.max(1) >= best[:, -1])  # the others keep what they have
+                every = np.hstack((best[better], score[better]))
+                known = np.hstack((names[better], np.broadcast_to(own, (len(better), len(own)))))
+                order = np.lexsort((known, -every), axis=1)[:, :k]
+                best[better], names[better] = np.take_along_axis(every, order, 1), np.take_along_axis(known, order, 1)
+        good = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[good.ravel()]), pa.array(names[good]), pa.array(best[good])], ["query_id", "vec_id", "similarity"])
 
     return run
 
@@ -60,14 +65,55 @@ def _block_search(queries: list[tuple], k: int, digits: int):
 def gate(queries: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """query_id, id, recall for candidates that have at least ``threshold`` of a query's distinct tokens.
 
-    An equi-join on tokens, counted up: only pairs with a token in common are ever formed.
+    A candidate that has enough of n tokens has one of the rarest n - ceil(threshold * n) + 1: only those are joined, and what
+    they find is confirmed on whole token sets. Queries without tokens ask for nothing here (see ``gated`` for given pairs).
     """
-    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("text"))).alias("q"))
-    sizes = asked.select("query_id", F.size("q").alias("n_tokens")).where("n_tokens > 0")
-    have = candidates.select("id", F.explode(F.array_distinct(text.tokens(text.strip_context(F.col("text"))))).alias("token"))
-    hits = asked.select("query_id", F.explode("q").alias("token")).join(have, "token").groupBy("query_id", "id").agg(F.count("*").alias("n"))
-    recall = F.col("n") / F.col("n_tokens")
-    return hits.join(sizes, "query_id").where(recall >= threshold).select("query_id", "id", F.round(recall, 6).alias("recall"))
+    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("text"))).alias("q")).where(F.size("q") > 0)
+    have = candidates.select("id", F.array_distinct(text.tokens(text.strip_context(F.col("text")))).alias("w"))
+    each = have.select("id", F.explode("w").alias("token"))
+    wanted = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("token"))
+    frequency = each.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "token")
+    ranked = wanted.join(frequency, "token", "left").withColumn("_n", F.row_number().over(rarest))
+    few = ranked.where(F.col("_n") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("query_id", "token")
+    pairs = few.join(each, "token").select("query_id", "id").distinct()
+    both = pairs.join(asked, "query_id").join(have, "id")
+    recall = F.size(F.array_intersect("q", "w")) / F.size("q")
+    return both.where(recall >= threshold).select("query_id", "id", F.round(recall, 6).alias("recall"))
+
+
+def gated(pairs: DataFrame, threshold: float = text.GATE_THRESHOLD) -> DataFrame:
+    """The (query, text) pairs that pass the gate; a query without tokens lets all pass."""
+    return pairs.where(text.passes_gate(text.tokens(F.col("query")), F.col("text"), threshold))
+
+
+def union_of_legs(legs: list[DataFrame], per: str, key: str) -> DataFrame:
+    """Rows of several legs by (per, key); of equal keys the first leg's row stays."""
+    every = None
+    for n, leg in enumerate(legs):
+        numbered = leg.withColumn("leg", F.lit(n))
+        every = numbered if every is None else every.unionByName(numbered)
+    return first_of(every, [per, key], "leg")
+
+
+def related_chunks(hits: DataFrame, chunks: DataFrame, per: str, limit: int = 2) -> DataFrame:
+    """For each related entity of a group's hits the first ``limit`` chunks of that entity."""
+    asked = hits.where("related IS NOT NULL").select(per, "related").distinct()
+    return top_of(asked.join(chunks, F.col("related") == F.col("entity")), [per, "related"], limit, "id")
+
+
+def without_bleed(chunks: DataFrame, origins: DataFrame, prefix: Column) -> DataFrame:
+    """``chunks`` with ``bleed``; chunks whose known origins have none with the prefix are bleed, unknown ones are not."""
+    first = origins.groupBy("id").agg(F.collect_set("record").alias("_records"))
+    joined = chunks.join(first, "id", "left")
+    foreign = F.size("_records") > 0
+    return joined.withColumn("bleed", F.coalesce(foreign & ~F.exists("_records", lambda r: F.startswith(r, prefix)), F.lit(False))).drop("_records")
+
+
+def context_of(periods: DataFrame, record: str, year: str = r"^\d{4}$") -> DataFrame:
+    """Each record's latest year and the one before; 2025 where no period is a year."""
+    latest = F.max(F.when(F.col("period").rlike(year), F.col("period")))
+    return periods.groupBy(record).agg(F.coalesce(latest, F.lit("2025")).alias("anchor")).withColumn("last_year", (F.col("anchor").cast("int") - 1).cast("string"))
 
 
 def rank_chunks(chunks: DataFrame, linked: DataFrame, keywords: list[str], per: str, limit: int = 5) -> DataFrame:
