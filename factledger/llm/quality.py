@@ -204,8 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Tree
     return replace(fit(features(np.array([r[2:] for r in rows], np.int64)), bad, tuple(map(FEATURES.index, RISING))), harsh=harsh)
 
 
-def harsh_words(labelled: DataFrame, least: int = 8, times: float = 20.0) -> frozenset[bytes]:
-    """Words that ``least`` toxic documents of the sample have and that are ``times`` as frequent in them as in the others."""
+def harsh_words(labelled: DataFrame, share: float = 0.05, least: int = 8, times: float = 20.0) -> frozenset[bytes]:
+    """Words that a ``share`` of the sample's toxic texts have (``least`` of them at any rate) and that are ``times`` as frequent in
+    them as in the others. Texts are counted once, and the share is more than a group of like texts has: or else any
+    word of a document that was copied often would do.
+    """
+    labelled = labelled.dropDuplicates(["text", "toxic"])  # at most the sample's rows
     sizes = labelled.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in sizes}
     if not n.get(1) or not n.get(0):
@@ -213,7 +217,7 @@ def harsh_words(labelled: DataFrame, least: int = 8, times: float = 20.0) -> fro
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])[a-z]{3,}(?![a-z])"), F.lit(0)))).alias("word")
     counts = labelled.select("toxic", word).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("yes"), F.count_if(F.col("toxic") == 0).alias("no"))
     ratio = (F.col("yes") / n[1]) / ((F.col("no") + 0.5) / n[0])
-    found = counts.where((F.col("yes") >= least) & (ratio >= times)).orderBy(F.desc(ratio), "word").limit(HARSH)
+    found = counts.where((F.col("yes") >= max(least, share * n[1])) & (ratio >= times)).orderBy(F.desc(ratio), "word").limit(HARSH)
     return frozenset(r["word"].encode() for r in found.select("word").collect())
 
 
