@@ -167,14 +167,14 @@ def weighted_rates(t) -> DataFrame:
 
 @query("""
 WITH x AS (
-  SELECT user_id % 5 AS run, user_id, round(avg(value) FILTER (event_type = 'view'), 4) AS a, round(avg(value) FILTER (event_type = 'purchase'), 4) AS b FROM events GROUP BY user_id
+  SELECT user_id % 5 AS run, user_id, sum(value::DECIMAL(18,2)) FILTER (event_type = 'view') AS a, sum(value::DECIMAL(18,2)) FILTER (event_type = 'purchase') AS b FROM events GROUP BY user_id
 )
-SELECT run, count(*) AS n, coalesce(round(sum(a::DECIMAL(18,4))::DOUBLE / count(a), 6)::VARCHAR, 'N/A') AS tokens_a, coalesce(round(sum(b::DECIMAL(18,4))::DOUBLE / count(b), 6)::VARCHAR, 'N/A') AS tokens_b FROM x GROUP BY run
+SELECT run, count(*) AS n, coalesce(round(sum(a)::DOUBLE / count(a), 6)::VARCHAR, 'N/A') AS tokens_a, coalesce(round(sum(b)::DOUBLE / count(b), 6)::VARCHAR, 'N/A') AS tokens_b FROM x GROUP BY run
 """)
 def run_means(t) -> DataFrame:
     """Means of every token column of each run; missing values don't count, and a column without any is N/A."""
-    mean = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 4).cast("decimal(18,4)")
-    rows = t("events").groupBy((F.col("user_id") % 5).alias("run"), "user_id").agg(mean("view").alias("tokens_a"), mean("purchase").alias("tokens_b"))
+    total = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("value").cast("decimal(18,2)")))
+    rows = t("events").groupBy((F.col("user_id") % 5).alias("run"), "user_id").agg(total("view").alias("tokens_a"), total("purchase").alias("tokens_b"))
     return S.means_of(rows, "run", "tokens")
 
 
