@@ -8,7 +8,9 @@ of its words; ``remove`` drops such documents, or cuts the hit spans out of them
 
 Items are cut into pieces that overlap by ``window - 1`` words, and pieces are dealt to chunks of about
 ``chunk_words`` words. One chunk's automaton is broadcast at a time, so its size does not depend on the
-number of items: with more chunks the documents are passed over once for each.
+number of items. With more chunks the documents are passed over once by a sieve, a Bloom filter of all windows
+(64 bits a word, 128 MB at most; a fuller one only lets more documents through), and written once; only those that may hold a window are streamed through
+each chunk's automaton, which alone decides.
 
 Defined results: null and empty texts have no words and are never contaminated, such items never occur;
 an item without an id is known as the empty string; items that repeat an id are one item; repeated documents are judged one by
@@ -20,13 +22,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small_batches
+from .common import cut, fresh, mix64, small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -135,6 +138,49 @@ class Automaton:
         return spans, items
 
 
+class Sieve:
+    """Bloom filter of window hashes: a document without any of them has no hit; with one it may have."""
+
+    def __init__(self, window: int, words: int, marks: int = 4):
+        self.window, self.marks, self.sizes = window, marks, set()
+        self.bits = np.zeros(1 << (min(30, max(16, (64 * words).bit_length())) - 3), np.uint8)
+
+    @staticmethod
+    def _codes(words: list[str]) -> np.ndarray:
+        return np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+    @staticmethod
+    def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
+        n = len(codes) - size + 1
+        rolled = np.zeros(n, np.uint64)
+        for j in range(size):
+            rolled = mix64(rolled + codes[j : j + n])
+        return rolled
+
+    def _place(self, hashes: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+        slots = mix64(hashes + np.uint64(mark)) & np.uint64(8 * len(self.bits) - 1)
+        return slots >> np.uint64(3), (slots & np.uint64(7)).astype(np.uint8)
+
+    def add(self, words: list[str]) -> None:
+        size = min(self.window, len(words))
+        self.sizes.add(size)
+        hashes = self._hashes(self._codes(words), size)
+        for mark in range(self.marks):
+            byte, bit = self._place(hashes, mark)
+            np.bitwise_or.at(self.bits, byte, np.left_shift(np.uint8(1), bit))
+
+    def lets_through(self, words: list[str]) -> bool:
+        codes = self._codes(words)
+        for size in self.sizes:
+            hashes = self._hashes(codes, size) if len(words) >= size else codes[:0]
+            for mark in range(self.marks):
+                byte, bit = self._place(hashes, mark)
+                hashes = hashes[(self.bits[byte] >> bit & 1).astype(bool)]
+            if len(hashes):
+                return True
+        return False
+
+
 def pieces(items: DataFrame, window: int, longest: int = 4096) -> DataFrame:
     """item, words, whole: each item's words, cut with an overlap where there are many."""
     words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(SQL_WORD), F.lit(0))
@@ -159,13 +205,44 @@ def match(docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[i
     cuts = cuts.withColumn("chunk", F.pmod(F.xxhash64("item", "words"), F.lit(chunks)))
     found = "struct<n_words: bigint, n_hit: bigint, spans: array<struct<start: int, end: int>>, item_ids: array<string>, contaminated: boolean>"
     frame = docs.withColumn(into, F.lit(None).cast(found))
+    if chunks == 1:
+        return frame.mapInArrow(_pass(spark.sparkContext.broadcast(Automaton(_rows(cuts), window)), coverage, into), frame.schema)
+    cuts = cut(cuts.repartitionByRange("chunk").sortWithinPartitions("chunk"), "pieces")
+    sieve = Sieve(window, total)
     for k in range(chunks):
-        rows = cuts.where(F.col("chunk") == k).select("item", "words", "whole").collect()  # about chunk_words words
-        automaton = spark.sparkContext.broadcast(Automaton([(r["item"], r["words"], r["whole"]) for r in sorted(rows)], window))
-        frame = frame.mapInArrow(_pass(automaton, coverage, into), frame.schema)
-        if chunks > 1:
-            frame = cut(frame, "decontaminate")
-    return frame
+        for _, words, _ in _rows(cuts.where(F.col("chunk") == k)):
+            sieve.add(words)
+    through = fresh(frame, "_through")
+    marked = frame.withColumn(through, F.lit(False))
+    marked = cut(marked.mapInArrow(_sift(spark.sparkContext.broadcast(sieve), into, through), marked.schema), "sifted")
+    suspects = marked.where(F.col(through)).drop(through)
+    for k in range(chunks):
+        automaton = spark.sparkContext.broadcast(Automaton(_rows(cuts.where(F.col("chunk") == k)), window))
+        suspects = cut(suspects.mapInArrow(_pass(automaton, coverage, into), frame.schema), "decontaminate")
+    return marked.where(~F.col(through)).drop(through).unionByName(suspects)
+
+
+def _rows(chunk: DataFrame) -> list[tuple[str, list[str], bool]]:
+    """One chunk's pieces, about ``chunk_words`` words, in a fixed order."""
+    return [(r["item"], r["words"], r["whole"]) for r in sorted(chunk.select("item", "words", "whole").collect())]
+
+
+def _sift(sieve, into: str, through: str):
+    """Documents as without hits, and whether they may have one after all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, passed = [], []
+            for text in b["text"].to_pylist():
+                words = WORD.findall((text or "").translate(TO_LOWER))
+                out.append({"n_words": len(words), "n_hit": 0, "spans": [], "item_ids": [], "contaminated": False})
+                passed.append(sieve.value.lets_through(words))
+            for name, values in ((into, out), (through, passed)):
+                at = b.schema.get_field_index(name)
+                b = b.set_column(at, b.schema.field(at), pa.array(values, b.schema.field(at).type))
+            yield b
+
+    return run
 
 
 def _pass(automaton, coverage: tuple[int, int], into: str):

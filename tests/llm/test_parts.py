@@ -275,3 +275,26 @@ def test_near_duplicates_at_other_thresholds(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == links(texts, 1, percent)
     with pytest.raises(ValueError):
         near_dedup.band_rows(5)
+
+
+@pytest.mark.parametrize("window", [1, 3, 13])
+def test_the_sieve_lets_every_window_through(window):
+    rng = np.random.default_rng(7)
+    texts = [[f"w{k}" for k in rng.integers(0, 50, n)] for n in rng.integers(0, 60, 400)]
+    sieve = decontamination.Sieve(window, 2000)
+    items = [t for t in texts[:40] if t]
+    for words in items:
+        sieve.add(words)
+    windows = {tuple(t[a : a + min(window, len(t))]) for t in items for a in range(max(1, len(t) - window + 1))}
+    holds = [any(tuple(t[a : a + n]) in windows for n in {len(w) for w in windows} for a in range(len(t) - n + 1)) for t in texts]
+    passed = [sieve.lets_through(t) for t in texts]
+    assert all(p for h, p in zip(holds, passed, strict=True) if h)
+    assert sum(passed) - sum(holds) <= 40
+
+
+def test_many_chunks_find_what_one_finds(spark, awkward, empty):
+    for folder in (awkward, empty):
+        docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+        one, many = (decontamination.match(docs, items, window=4, chunk_words=n, into="found_here") for n in (100_000, 7))
+        assert one.columns == many.columns
+        assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
