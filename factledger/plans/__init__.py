@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.plans import evaluation, factory, grounding, ingest, ledger, records, scoring
+from factledger.plans import evaluation, factory, grounding, ingest, ledger, records, review, scoring
 
-QUERIES = ledger.QUERIES | ingest.QUERIES | factory.QUERIES | evaluation.QUERIES | scoring.QUERIES | grounding.QUERIES | records.QUERIES
-ORACLES = ledger.ORACLES | ingest.ORACLES | factory.ORACLES | evaluation.ORACLES | scoring.ORACLES | grounding.ORACLES | records.ORACLES
+QUERIES = ledger.QUERIES | ingest.QUERIES | factory.QUERIES | evaluation.QUERIES | scoring.QUERIES | grounding.QUERIES | records.QUERIES | review.QUERIES
+ORACLES = ledger.ORACLES | ingest.ORACLES | factory.ORACLES | evaluation.ORACLES | scoring.ORACLES | grounding.ORACLES | records.ORACLES | review.ORACLES

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import warnings
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factledger.schema import LEDGER
@@ -63,3 +69,86 @@ def write_splits(rows: DataFrame, path: str) -> None:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The old rows with those of equal keys replaced."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def read_routed(spark: SparkSession, path: str, schema: str, pools: dict[str, str]) -> DataFrame:
+    """All JSON-lines files of a folder with ``pool`` by label (any case) and ``file``; other labels and malformed lines go."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(path)
+    names = F.create_map(*(F.lit(x) for pair in pools.items() for x in pair))
+    routed = rows.withColumns({"pool": F.try_element_at(names, F.lower(F.trim("label"))), "file": F.element_at(F.split(F.input_file_name(), "/"), -1)})
+    return routed.where("pool IS NOT NULL")
+
+
+def read_checkpoint(spark: SparkSession, path: str, row: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a checkpoint log of chunks: the ids that are done, their accepted rows (``row`` is their schema), and proposed and
+    accepted counts of text chunks. Lines without an id, a count or rows are passed over."""
+    lines = spark.read.schema(f"chunk_id string, block_type string, proposed_count long, accepted_rows array<struct<{row}>>").json(path)
+    whole = lines.where("chunk_id IS NOT NULL AND proposed_count IS NOT NULL AND accepted_rows IS NOT NULL")
+    text = F.coalesce("block_type", F.lit("TEXT")) == "TEXT"
+    total = lambda c: F.coalesce(F.sum(F.when(text, c)), F.lit(0))
+    counts = whole.agg(total(F.col("proposed_count")).alias("proposed"), total(F.size("accepted_rows").cast("long")).alias("accepted"))
+    return whole.select("chunk_id").distinct(), whole.select(F.inline("accepted_rows")), counts
+
+
+def read_csv_parts(spark: SparkSession, parts: dict[str, str], schema: str | None = None) -> DataFrame:
+    """CSV files with headers (quoted fields may hold line ends), each with its kind in ``doc_type``."""
+    read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    frames = [(read.schema(schema) if schema else read).csv(path).withColumn("doc_type", F.lit(kind)) for kind, path in parts.items()]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Elements of JSON arrays, one array a file."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_pages(spark: SparkSession, path: str, question: str) -> DataFrame:
+    """A row for each question of nested pages: its table (rows of cells), its paragraphs in order, and the question's fields."""
+    schema = f"table struct<uid: string, table: array<array<string>>>, paragraphs array<struct<uid: string, order: int, text: string>>, questions array<struct<{question}>>"
+    texts = F.transform(F.array_sort(F.transform("paragraphs", lambda p: F.struct(p["order"], p["text"]))), lambda p: p["text"])
+    return read_json_array(spark, path, schema).select(F.col("table.table").alias("table"), texts.alias("paragraphs"), F.inline("questions"))
+
+
+def read_zipped_json(spark: SparkSession, path: str, schema: str, members: str = ".json") -> DataFrame:
+    """Elements of JSON arrays in zip archives, with the ``member`` they come from. A task holds one archive's members, one after the other."""
+
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b["content"].to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in sorted(n for n in archive.namelist() if n.endswith(members)):
+                        yield pa.RecordBatch.from_pydict({"member": [name], "json": [archive.read(name).decode()]}, pa.schema([("member", pa.string()), ("json", pa.string())]))
+
+    files = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unzip, "member string, json string")
+    return files.select("member", F.inline(F.from_json("json", f"array<struct<{schema}>>")))
+
+
+def _settings(config: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in config.items() for x in pair))
+
+
+def write_envelope(results: DataFrame, config: dict[str, str], path: str) -> None:
+    """JSON lines ``{"_config": ..., "results": [...]}``: every result with the settings it was made with."""
+    results.select(_settings(config).alias("_config"), F.array(F.struct("*")).alias("results")).write.mode("overwrite").json(path)
+
+
+def read_envelope(spark: SparkSession, path: str, schema: str, config: dict[str, str], retry: Column | None = None, lines: bool = False) -> DataFrame:
+    """Results of envelopes, one a file or one a line; those that ``retry`` marks are left out, to be made again.
+
+    Warns where results were made with other settings, or none.
+    """
+    envelopes = spark.read.schema(f"_config map<string, string>, results array<struct<{schema}>>").option("multiLine", not lines).json(path)
+    entries = lambda m: F.array_sort(F.map_entries(m))
+    if envelopes.where(F.coalesce(entries(F.col("_config")) != entries(_settings(config)), F.lit(True))).limit(1).count():
+        warnings.warn(f"results in {path} were made with other settings", stacklevel=2)
+    rows = envelopes.select(F.inline("results"))
+    return rows if retry is None else rows.where(~F.coalesce(retry, F.lit(False)))
+
+
+def link_rows(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``chunks`` (chunk_id) with ``row_ids``, the ledger rows that came from each, sorted; empty where there are none."""
+    linked = ledger.groupBy(F.col("source_chunk_id").alias("chunk_id")).agg(F.array_sort(F.collect_set("row_id")).alias("row_ids"))
+    return chunks.drop("row_ids").join(linked, "chunk_id", "left").withColumn("row_ids", F.coalesce("row_ids", F.array().cast("array<string>")))
