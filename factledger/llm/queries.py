@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, near_dedup, pii, quality, sharding, suffix_dedup, tokens, url_filter
+from . import chat, decontamination, merkle, mixing, near_dedup, pii, quality, sharding, suffix_dedup, tokens, url_filter
 from .common import cut, table
 
 
@@ -228,6 +228,68 @@ def op10_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, trees).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "bad")
 
 
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tampered leaf is there only where the record was tampered with."""
+    docs = table(spark, sf_dir, "documents", *FIELDS)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = merkle.leaf(*(F.translate(c, upper, lower) if c == "text" else F.col(c) for c in FIELDS))
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*map(F.col, FIELDS)).alias("digest"), F.when(chosen, tampered).alias("tampered"))
+    proved = merkle.manifest(leaves, "lang", ["doc_id"], "digest", keep=["doc_id", "tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"))
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof().alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)
+), d AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    xor(list_reduce(list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM documents, crc
+), l AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN h % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS tampered FROM d
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM l
+), t AS (
+  SELECT 0 AS level, tree, i, n, leaf AS digest FROM r
+  UNION ALL
+  SELECT level + 1, tree, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY level, tree, i // 8, n
+), s AS (
+  SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS level, i, n, subroot AS digest FROM s
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 8, n
+), b AS (
+  SELECT top, tree, level, i, digest FROM (SELECT 0 AS top, tree, level, i, n, digest FROM t UNION ALL SELECT 1, '', level, i, n, digest FROM u) WHERE n > 1
+), c AS (
+  SELECT top, tree, level, i, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+  FROM b WINDOW w AS (PARTITION BY top, tree, level, i // 8 ORDER BY i)
+), f AS (
+  SELECT tree, i AS row, 0 AS level, i, coalesce(tampered, leaf) AS digest, '' AS proof FROM r
+  UNION ALL
+  SELECT f.tree, row, f.level + 1, f.i // 8, sha256(before || digest || behind), proof || before || behind FROM f JOIN c ON c.top = 0 AND c.tree = f.tree AND c.level = f.level AND c.i = f.i
+), g AS (
+  SELECT tree, row, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM f GROUP BY tree, row
+), k AS (
+  SELECT g.tree, row, 0 AS level, s.i, digest, proof FROM g JOIN s USING (tree)
+  UNION ALL
+  SELECT k.tree, row, k.level + 1, k.i // 8, sha256(before || digest || behind), proof || before || behind FROM k JOIN c ON c.top = 1 AND c.level = k.level AND c.i = k.i
+), e AS (
+  SELECT tree, row, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM k GROUP BY tree, row
+)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM r JOIN s USING (tree) JOIN e ON e.tree = r.tree AND e.row = r.i
+"""
+
+
 QUERIES = {
     "op1_decontaminate_automaton": op1_decontaminate_automaton,
     "op2_url_template_tree": op2_url_template_tree,
@@ -239,5 +301,6 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
     "op10_quality_boosted_trees": op10_quality_boosted_trees,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL, "op7_minhash_odd_sketch": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL}
+ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL, "op7_minhash_odd_sketch": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op12_merkle_manifest": OP12_SQL}

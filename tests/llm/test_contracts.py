@@ -37,7 +37,7 @@ def text_of(row):
 def test_sql(spark, name):
     path = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet')")
     frame = queries.QUERIES[name](spark, path)
     found = con.execute(queries.ORACLES[name])
