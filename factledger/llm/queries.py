@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, merkle, mixing, near_dedup, pii, quality, sharding, suffix_dedup, tokens, url_filter
+from . import chat, decontamination, merkle, mixing, near_dedup, pii, quality, sharding, suffix_dedup, tokens, url_filter, warc
 from .common import cut, table
 
 
@@ -290,6 +290,27 @@ FROM r JOIN s USING (tree) JOIN e ON e.tree = r.tree AND e.row = r.i
 """
 
 
+def op13_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are measured on what is read back; revisits are read by their headers alone."""
+    path = warc.write(warc.records(table(spark, sf_dir, "pages", "page_id", "url", "html"), least=0))
+    page = F.regexp_extract("refers_to", "^urn:page:(-?[0-9]+):", 1)
+    whole = warc.read(spark, path).where("record_type = 'response'").withColumn("bytes", F.octet_length("payload").cast("long"))
+    heads = warc.read(spark, path, payload="false").where("record_type = 'revisit'").withColumn("bytes", F.col("http_length"))
+    refers = F.when(page != "", page).cast("long").alias("refers_to")
+    return whole.unionByName(heads).select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", refers)
+
+
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(html), {1 + 10 * k}, 10))::BIGINT >> {35 - 5 * j}) & 31)::INT), 1)" for k in range(4) for j in range(8))
+OP13_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), r AS (
+  SELECT page_id, html, row_number() OVER w AS turn, first_value(page_id) OVER w AS last FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST)
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_B32} AS payload_digest, CASE WHEN turn = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN turn > 1 THEN last END AS refers_to FROM r
+"""
+
+
 QUERIES = {
     "op1_decontaminate_automaton": op1_decontaminate_automaton,
     "op2_url_template_tree": op2_url_template_tree,
@@ -302,5 +323,6 @@ QUERIES = {
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
     "op10_quality_boosted_trees": op10_quality_boosted_trees,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_warc_source": op13_warc_source,
 }
-ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL, "op7_minhash_odd_sketch": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL, "op7_minhash_odd_sketch": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_warc_source": OP13_SQL}
