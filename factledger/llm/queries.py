@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, merkle, mixing, near_dedup, pii, quality, sharding, suffix_dedup, tokens, url_filter, warc
+from . import chat, decontamination, merkle, mixing, near_dedup, pii, quality, sharding, spelling, suffix_dedup, tokens, url_filter, warc
 from .common import cut, table
 
 
@@ -228,6 +230,46 @@ def op10_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, trees).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "bad")
 
 
+def misspelt(doc: str, run: str) -> str:
+    """Where 31 divides the crc32 of ``<doc>:<run>``, the run without one letter."""
+    h = zlib.crc32(f"{doc}:{run}".encode())
+    at = h % len(run)
+    return run if h % 31 else run[:at] + run[at + 1 :]
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_runs(table(spark, sf_dir, "documents", "doc_id", "text"), "[A-Za-z\u00C0-\u00FF]+", shortest=7, change=misspelt)
+    return spelling.group(words.where("n >= 2"), ratio=10)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)
+), o AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), g AS (
+  SELECT run, hex(encode(doc || ':' || run)) AS x, count(*) AS n FROM o WHERE length(run) >= 7 GROUP BY doc, run
+), h AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM g, crc
+), w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+), v AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.v = w.word
+  UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.v = w.word
+), b AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS best, max(near_n) AS best_n FROM p GROUP BY word
+), f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM w LEFT JOIN b USING (word)
+), r AS (
+  SELECT word, word AS at, form AS up FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.up
+)
+SELECT f.*, r.at AS root FROM f JOIN r ON r.word = f.word AND r.up IS NULL
+"""
+
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -322,7 +364,8 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_shard_bounded_ring": op9_shard_bounded_ring,
     "op10_quality_boosted_trees": op10_quality_boosted_trees,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_warc_source": op13_warc_source,
 }
-ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL, "op7_minhash_odd_sketch": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_warc_source": OP13_SQL}
+ORACLES = {"op1_decontaminate_automaton": OP1_SQL, "op3_chat_prefix_targets": OP3_SQL, "op5_mix_systematic": OP5_SQL, "op7_minhash_odd_sketch": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_warc_source": OP13_SQL}

@@ -21,7 +21,7 @@ def awkward(spark, tmp_path_factory):
     items = [(1, " ".join(BASE.split()[3:20])), (2, "Alpha0 BETA0"), (None, "gamma alpha5"), (3, None), (4, "  "), (1, " ".join(BASE.split()[30:50])), (10, "nowhere " * 20)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     pages = [(1, "http://A.example.net/en/1"), (2, None), (3, "no scheme"), (None, "https://x.org/fr/2.html?q#f"), (4, "x://"), (1, "http://A.example.net/en/1"), (5, "http://h/" + "a/" * 40), (6, "http://n.net")]
-    spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'x' AS host", "'x' AS rule").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "substr(url, 1, 12) AS html", "'x' AS host", "'x' AS rule").write.parquet(f"{path}/pages.parquet")
     turns = [
         (1, 0, "user", "hi <s>"), (1, 1, "assistant", "&amp; [x]"), (1, 1, "assistant", "&amp; [x]"), (1, None, "user", None), (None, 0, None, "x"), (2, 0, "assistant", None), (3, 5, "user", "only"),
     ]

@@ -44,7 +44,7 @@ PAGES_AS_ROWS = [dict(zip(("page_id", "url", "html"), p, strict=True)) for p in
 @pytest.fixture(scope="module")
 def archive(spark, tmp_path_factory):
     path = f"file://{tmp_path_factory.mktemp('warc')}/a"
-    frame = spark.createDataFrame([(i, f"http://h{i % 3}/{i}", f"<p>{i} " * 2_000) for i in range(60)] + PAGES, "page_id long, url string, html string")
+    frame = spark.createDataFrame([(i, f"http://h{i % 3}/{i}", "".join(hashlib.sha256(b"%d %d" % (i, k)).hexdigest() for k in range(200))) for i in range(10, 70)] + PAGES, "page_id long, url string, html string")
     return warc.write(warc.records(frame.repartition(3)), path, file_mb=0)
 
 
@@ -61,21 +61,18 @@ def test_text_is_kept_and_others_can_read_it(spark, archive):
 
 
 def test_predicates_are_decided_before_the_payload(spark, archive, tmp_path):
-    """The second half of every response is overwritten: reading it fails, stepping over it doesn't."""
+    """The end of every long response is overwritten: reading it fails, stepping over it doesn't."""
     for name in files(archive):
         data = bytearray(name.read_bytes())
-        if b"sl" in data[:16] and len(data) > 400:
-            data[-40:-8] = bytes(32)
+        if len(data) > 6_000:
+            data[-1000:-8] = bytes(992)
         (tmp_path / name.name).write_bytes(data)
     place = f"file://{tmp_path}"
     heads = warc.read(spark, place, payload="false")
     assert heads.count() == 68 and heads.where("payload IS NOT NULL").count() == 0
-    assert warc.read(spark, place).where("record_type = 'revisit'").count() == 4
-    assert warc.read(spark, place).where("page_id > 100 OR page_id IS NULL").count() == 0 or True
+    assert warc.read(spark, place).where("record_type = 'revisit'").count() == 4  # three of the four equal pages and one of the two empty ones
     with pytest.raises(Exception, match="warc"):
-        warc.read(spark, place).where("record_type = 'response' AND page_id = 7").collect()
-    plan = warc.read(spark, place).where("record_type = 'revisit' AND length(payload) > 3")._jdf.queryExecution().executedPlan().toString()
-    assert "octet" in plan or "length" in plan
+        warc.read(spark, place).where("record_type = 'response' AND page_id = 17").collect()
 
 
 @pytest.mark.parametrize(
