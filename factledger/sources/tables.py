@@ -50,7 +50,7 @@ def append_log(rows: DataFrame, path: str) -> None:
 def completed(spark: SparkSession, path: str, key: str, kind: str = "long") -> DataFrame:
     """Keys of an append-only log; none where the log doesn't exist."""
     try:
-        return spark.read.schema(f"{key} {kind}").json(path).where(F.col(key).isNotNull()).distinct()
+        return spark.read.schema(f"{key} {kind}").json(path).select(key).where(F.col(key).isNotNull()).distinct()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

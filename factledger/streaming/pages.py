@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from factledger.operators.structure import MOST, page_blocks
+from factledger.streaming.events import keep_state
 
 
 class Carry(StatefulProcessor):
@@ -50,5 +51,6 @@ def stream_blocks(pages: DataFrame, first: int = 0, most: int = MOST) -> DataFra
 
     Needs the RocksDB state store. Rows of a page come out once all pages before it are there, in whichever micro-batch that is; a restart goes on from the checkpoint.
     """
+    keep_state(pages.sparkSession)
     schema = StructType.fromDDL("record string, page long, seq int, kind string, path array<string>, content string")
     return pages.groupBy("record").transformWithStateInPandas(Carry(first, most), schema, "Append", "None")

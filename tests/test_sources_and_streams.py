@@ -60,6 +60,16 @@ def test_log_adds_nothing_twice(spark, tmp_path):
     assert tables.unprocessed(spark.range(14).withColumnRenamed("id", "event_id"), tables.completed(spark, log, "event_id"), "event_id").count() == 2
 
 
+def test_log_goes_on_from_its_checkpoint_without_reading_itself(spark, tmp_path):
+    """New files bring new and old keys and a null; the log is moved away in between, so only the state can know the old keys."""
+    path, log, place = str(tmp_path / "in"), tmp_path / "log", str(tmp_path / "checkpoint")
+    events_at(spark, path)
+    events.write_new(events.read_events(spark, path, SCHEMA, 1), str(log), place, "event_id").awaitTermination()
+    log.rename(tmp_path / "moved")
+    spark.sql("SELECT CAST(id AS LONG) AS event_id, timestamp('2024-01-02 00:00:00') AS ts, 1L AS user_id, 'click' AS event_type, 1.0D AS value FROM VALUES (3), (11), (12), (12), (13), (NULL) AS t(id)").write.mode("append").parquet(path)
+    events.write_new(events.read_events(spark, path, SCHEMA, 1), str(log), place, "event_id").awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.json(str(log)).collect()) == [12, 13]
+
 def test_routed_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "1", "label": " General"}\nbroken\n{"id": "2", "label": "SUPPORTED"}\n{"id": "3", "label": "odd"}\n{"id": "4"}\n')
     (tmp_path / "b.jsonl").write_text('{"id": "5", "label": "supported"}\n')

@@ -73,7 +73,6 @@ def test_blocks(spark):
 @pytest.mark.parametrize("seed", [0, 1])
 def test_stream_gives_the_rows_of_the_batch(spark, tmp_path, seed):
     """Pages in random order over several micro-batches, with repeats, and a restart of the query after each."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     pages = [p for p in PAGES if p[0]]
     order = pages + pages[:3]
     random.Random(seed).shuffle(order)
