@@ -5,7 +5,7 @@ are fitted on at most ``sample_rows`` labelled documents (those with the smalles
 into numpy node arrays and applied to every document. Features in ``RISING`` can only raise the
 estimated share of bad documents. Bad is a document of quality 0 or, where ``labels`` has the column, a toxic one. Counts of
 characters can't tell the latter, so one statistic is the number of harsh words: those (letters only, lower-cased) that stand in
-toxic documents of the sample many times as often as in its others, ``HARSH`` words at most.
+toxic documents of the sample many times as often as in its others; the sample bounds their number.
 
 A document is rejected by the base rule (under 20 words, or over 30 % of its words in repeated 8-word
 windows) or by the trees. Defined results: null texts have no words and are rejected; labels that are null are
@@ -32,7 +32,7 @@ UPPER, DIGITS, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?.,;:"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks", "n_bars", "n_harsh")
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "distinct", "upper", "digits", "marks", "bars", "line_words", "harsh")
 RISING = ("symbols", "dup_lines", "repeats", "harsh")
-WINDOW, HARSH = 8, 1000
+WINDOW = 8
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> tuple[int, int]:
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Tree
         .orderBy(F.xxhash64(*COUNTS), "quality", "toxic").limit(sample_rows).collect()
     )
     bad = np.array([r["quality"] == 0 or r["toxic"] == 1 for r in rows], np.float64)
-    if len(bad) < 50 or not 0 < bad.sum() < len(bad):
+    if not 0 < bad.sum() < len(bad):
         return None
     return replace(fit(features(np.array([r[2:] for r in rows], np.int64)), bad, tuple(map(FEATURES.index, RISING))), harsh=harsh)
 
@@ -217,7 +217,7 @@ def harsh_words(labelled: DataFrame, share: float = 0.05, least: int = 8, times:
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])[a-z]{3,}(?![a-z])"), F.lit(0)))).alias("word")
     counts = labelled.select("toxic", word).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("yes"), F.count_if(F.col("toxic") == 0).alias("no"))
     ratio = (F.col("yes") / n[1]) / ((F.col("no") + 0.5) / n[0])
-    found = counts.where((F.col("yes") >= max(least, share * n[1])) & (ratio >= times)).orderBy(F.desc(ratio), "word").limit(HARSH)
+    found = counts.where((F.col("yes") >= max(least, share * n[1])) & (ratio >= times))
     return frozenset(r["word"].encode() for r in found.select("word").collect())
 
 
