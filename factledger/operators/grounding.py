@@ -6,46 +6,58 @@ import difflib
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from factledger.functions import numeric, text
+from factledger.functions.similarity import common_length, letter_bits
 from factledger.operators.ledger import first_of
 
 WINDOW, LEAST_OVERLAP, LEAST_RECALL, ACCEPTED = 20, 0.55, 0.85, 0.60
 # fixed values: signs that a quote is a piece of the extraction schema, and of tables whose first column names companies
 SCHEMA_SIGNS = ("metric_name", "num_value", "unit_normalized", "grounding_quote", "text_nuance")
 ENTITY_SIGNS = ("corp", "inc", "index", "company", "group", "peer", "industry")
+TOKEN = re.compile(r"\w+|\S")
 RULE_LINE = r"^\|?\s*:?-+:?\s*\|"
 
 
 def fuzzy_interval(quote: str, source: str) -> tuple[int, int] | None:
-    """Where the window of a source that recalls most of a quote's characters stands, if that is ``LEAST_RECALL`` or more."""
-    asked = Counter(w.lower() for w in re.findall(r"\w+|\S", quote))
-    places = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\w+|\S", source)]
-    width = min(max(sum(asked.values()), WINDOW), len(places))
-    if not asked or not width:
+    """Where the window of a source that recalls most of a quote's characters stands, if that is ``LEAST_RECALL`` or more; the first of the best.
+
+    Windows without enough of the quote's tokens go by counting, over all windows at once. What a window recalls is the size of its
+    matching blocks; a common subsequence is never shorter, so blocks are looked for only where that could beat the best so far.
+    """
+    asked = Counter(w.lower() for w in TOKEN.findall(quote))
+    places = [(m.start(), m.end()) for m in TOKEN.finditer(source)]
+    total = sum(asked.values())
+    width = min(max(total, WINDOW), len(places))
+    if not total or not width:
         return None
-    best, where = 0.0, None
-    seen = Counter(w.lower() for w, _, _ in places[:width])
-    for i in range(len(places) - width + 1):
-        if i:  # the window moves on by a token
-            seen[places[i - 1][0].lower()] -= 1
-            seen[places[i + width - 1][0].lower()] += 1
-        if sum(min(n, seen[w]) for w, n in asked.items()) < LEAST_OVERLAP * sum(asked.values()):
+    codes = {w: i for i, w in enumerate(asked)}
+    lowered = [codes.get(source[a:z].lower(), -1) for a, z in places]
+    shared = np.zeros(len(places) - width + 1, np.int64)
+    at = np.array(lowered)
+    for word, code in codes.items():
+        seen = np.concatenate(([0], np.cumsum(at == code)))
+        shared += np.minimum(seen[width:] - seen[:-width], asked[word])
+    bits, best, where = letter_bits(quote), 0, None
+    for i in np.flatnonzero(shared / total >= LEAST_OVERLAP).tolist():
+        window = " ".join(source[a:z] for a, z in places[i : i + width])
+        most = common_length(bits, len(quote), window)
+        if most <= best or most / len(quote) < LEAST_RECALL:
             continue
-        blocks = difflib.SequenceMatcher(None, quote, " ".join(w for w, _, _ in places[i : i + width]), autojunk=False).get_matching_blocks()
-        recall = sum(b.size for b in blocks) / len(quote)
-        if recall > best:
-            best, where = recall, (places[i][1], places[i + width - 1][2])
-    return where if best >= LEAST_RECALL else None
+        found = sum(b.size for b in difflib.SequenceMatcher(None, quote, window, autojunk=False).get_matching_blocks())
+        if found > best and found / len(quote) >= LEAST_RECALL:
+            best, where = found, (places[i][0], places[i + width - 1][1])
+    return where
 
 
 @F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 def _fuzzy(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
-    found = [fuzzy_interval(q, s) or (None, None) for q, s in zip(quotes, sources, strict=True)]
+    found = [fuzzy_interval(q or "", s or "") or (None, None) for q, s in zip(quotes, sources, strict=True)]
     return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
 
 
@@ -61,8 +73,10 @@ def ground(facts: DataFrame) -> DataFrame:
 
     A quote is looked for word for word, then with white space collapsed, then by its longest number, then as a window of
     like words; the last runs for those that the others leave only. Its metric must be supported by the source or its section.
+    Null sources hold nothing, so their facts are UNALIGNED, as are facts without a quote; null metrics have no support.
     """
     quote = F.trim(F.coalesce("grounding_quote", F.lit("")))
+    given, facts = facts.columns, facts.withColumns({"_given": F.col("source"), "source": F.coalesce("source", F.lit(""))})
     exact, partial = text.exact_position(F.col("source"), quote), text.partial_position(F.col("source"), quote)
     placed = facts.withColumns({"_quote": quote, "_exact": exact, "_partial": partial})
     placed = placed.withColumn("_kind", F.when(F.col("_quote") == "", "UNALIGNED").when(F.col("_exact") >= 0, "EXACT").when(F.col("_partial") >= 0, "PARTIAL"))
@@ -80,7 +94,7 @@ def ground(facts: DataFrame) -> DataFrame:
     status = F.when(sure.isNull(), "UNALIGNED").otherwise(F.col("_kind"))
     none = F.lit(None).cast("int")
     out = {"alignment_status": status, "start": F.when(sure.isNull(), none).otherwise(F.col("start")), "end": F.when(sure.isNull(), none).otherwise(F.col("end")), "confidence": F.coalesce(sure, F.lit(0.0))}
-    return both.withColumns(out).drop("_quote", "_exact", "_partial", "_kind")
+    return both.withColumns(out).withColumn("source", F.col("_given")).select(*given, *out)
 
 
 def merge_passes(facts: DataFrame, per: list[str]) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.functions import text
+from factledger.functions.similarity import token_set
 from factledger.operators import factory
 from factledger.operators.ledger import first_of
 
 # fixed values: what scale and unit words become; of alternatives one is drawn by the record's hash
 DRIFT = (("million", ("billion", "thousand")), ("billion", ("million", "trillion")), ("percent", ("basis points", "dollars")), ("usd", ("eur",)))
+SPAN_RATIO = 60  # fixed value: how like an error span has to be
 POOLS = ("pairs_short", "pairs_long", "natural_fake", "natural_true", "axiom")
 
 
@@ -59,14 +61,18 @@ def family_of(parent: Column, original: Column, record: Column) -> Column:
     return F.coalesce(filled(parent), filled(original), factory.family_id(record))
 
 
-def validity(mode: Column, injected: Column, span: Column, label: Column, teacher: Column) -> Column:
-    """Whether a teacher's verdict confirms a record, by its target's mode.
+def validity(mode: Column, injected: Column, span: Column, label: Column, teacher: Column, kind: Column | None = None, reasoning: Column | None = None) -> Column:
+    """Whether a teacher's verdict confirms a record, by its target's mode; false for any other mode and for nulls.
 
-    strict_injection_match: unfounded, and the span names the injected value; label_consistency: the same label;
-    trust_teacher and generate_only: always.
+    strict_injection_match: unfounded, and the error span is like the injected value (a token-set ratio over 60) or the reasoning names it; attacks of an
+    irrelevancy ``kind`` need no span. label_consistency: the same label. trust_teacher: unfounded. generate_only: always.
     """
-    hit = (F.initcap(teacher) == "Unfounded") & F.contains(F.lower(span), F.lower(injected))
-    return F.coalesce(F.when(mode == "strict_injection_match", hit).when(mode == "label_consistency", F.initcap(teacher) == F.initcap(label)).otherwise(F.lit(True)), F.lit(False))
+    unfounded, value = F.initcap(teacher) == "Unfounded", F.lower(injected)
+    like = F.coalesce(token_set(value, F.lower(span)) > SPAN_RATIO, F.lit(False))
+    named = F.lit(False) if reasoning is None else F.coalesce(F.contains(F.lower(reasoning), value), F.lit(False))
+    free = F.lit(False) if kind is None else F.coalesce(F.contains(kind, F.lit("irrelevancy")), F.lit(False))
+    rules = F.when(mode == "strict_injection_match", unfounded & (free | like | named)).when(mode == "label_consistency", F.initcap(teacher) == F.initcap(label))
+    return F.coalesce(rules.when(mode == "trust_teacher", unfounded).when(mode == "generate_only", F.lit(True)), F.lit(False))
 
 
 def action(valid: Column, otherwise: Column) -> Column:

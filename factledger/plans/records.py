@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factledger.functions.similarity import token_set
 from factledger.operators import records as P
 from factledger.operators import retrieval as R
 from factledger.plans.common import Registry
@@ -80,6 +81,37 @@ def verdict_actions(t) -> DataFrame:
     return rows.select("doc_id", "valid", P.action(F.col("valid"), F.when(k % 5 == 0, "review").when(k % 5 == 1, "keep").otherwise("discard")).alias("status"))
 
 
+SQL_SPANS = """
+  SELECT a.p_partkey, lower(a.p_name || ' ' || a.p_type || ' ' || a.p_size::VARCHAR) AS x, lower('the ' || b.p_type || ' ' || b.p_name || ' of ' || b.p_brand) AS y, b.p_brand || ': ' || a.p_name AS why,
+    b.p_size % 3 = 0 AS fake FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1
+"""
+
+
+@query(f"""
+WITH p AS ({SQL_SPANS}), s AS (
+  SELECT *, list_sort(list_distinct(string_split(x, ' '))) AS tx, list_sort(list_distinct(string_split(y, ' '))) AS ty FROM p
+), d AS (
+  SELECT *, array_to_string(list_filter(tx, lambda w: list_contains(ty, w)), ' ') AS b, array_to_string(list_filter(tx, lambda w: NOT list_contains(ty, w)), ' ') AS l, array_to_string(list_filter(ty, lambda w: NOT list_contains(tx, w)), ' ') AS r FROM s
+), m AS (
+  SELECT *, (1::HUGEINT << length(l)) - 1 AS every, length(b) + (b <> '')::INT AS glue, length(l) + length(r) AS n FROM d
+), c AS (
+  SELECT *, length(l) - bit_count(list_reduce(list_transform(string_split(r, ''), lambda c: coalesce(list_sum(list_transform(range(length(l)), lambda i: CASE WHEN substr(l, i + 1, 1) = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END)), 0)::HUGEINT),
+    lambda row, hit: ((row + (row & hit)) | (row - (row & hit))) & every, every)) AS common FROM m
+), q AS (
+  SELECT *, CASE WHEN b <> '' AND (l = '' OR r = '') THEN 100::DOUBLE ELSE greatest(100 - 100 * (n - 2 * common)::DOUBLE / (2 * glue + n), CASE WHEN b <> '' THEN greatest(100 - 100 * (1 + length(l))::DOUBLE / (length(b) + glue + length(l)), 100 - 100 * (1 + length(r))::DOUBLE / (length(b) + glue + length(r))) ELSE 0 END) END AS ratio FROM c
+)
+SELECT p_partkey, round(ratio, 6) AS ratio, fake AND (ratio > 60 OR contains(lower(why), x)) AS valid FROM q
+""")
+def span_ratios(t) -> DataFrame:
+    """How like an injected value and a named error span are as sets of words, and whether that confirms an attack."""
+    a, b = t("part"), t("part").select((F.col("p_partkey") - 1).alias("p_partkey"), *(F.col(c).alias(f"b_{c}") for c in ("p_name", "p_type", "p_brand", "p_size")))
+    put = F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))
+    span = F.concat(F.lit("the "), "b_p_type", F.lit(" "), "b_p_name", F.lit(" of "), "b_p_brand")
+    teacher = F.when(F.col("b_p_size") % 3 == 0, "unfounded").otherwise("Supported")
+    valid = P.validity(F.lit("strict_injection_match"), put, span, F.lit("x"), teacher, reasoning=F.concat("b_p_brand", F.lit(": "), "p_name"))
+    return a.join(b, "p_partkey").select("p_partkey", F.round(token_set(F.lower(put), F.lower(span)), 6).alias("ratio"), valid.alias("valid"))
+
+
 @query("""
 WITH r AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'verified' END AS status, toxic = 1 AS ok FROM labels)
 SELECT id, status FROM r WHERE (status = 'review' OR (status IS NULL AND NOT ok)) AND id % 6 <> 0

@@ -1,10 +1,11 @@
 import difflib
+import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from factledger.functions import numeric, text
+from factledger.functions import numeric, similarity, text
 from factledger.operators import evaluation, grounding
 
 
@@ -68,3 +69,75 @@ def test_useful_facts(spark):
     rows = [(1.0, None, None, "", None, None), (None, "2020", None, "", None, None), (None, None, "n", "", None, None), (None, None, None, "a 1", None, None), (None, None, None, "", "m", "USD"), (None, " ", "", "x", "m", None)]
     facts = spark.createDataFrame(rows, "num_value double, period_end string, text_nuance string, grounding_quote string, metric_name string, unit string")
     assert grounding.useful(facts).count() == 5
+
+
+def interval_by_hand(quote, source):
+    """Every window, in order, by its matching blocks."""
+    want = Counter(w.lower() for w in re.findall(r"\w+|\S", quote))
+    places = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\w+|\S", source)]
+    width, best, where = min(max(sum(want.values()), 20), len(places)), 0.0, None
+    for i in range(len(places) - width + 1 if want and width else 0):
+        window = places[i : i + width]
+        have = Counter(w.lower() for w, _, _ in window)
+        if sum(min(n, have[w]) for w, n in want.items()) / sum(want.values()) >= 0.55:
+            text = " ".join(w for w, _, _ in window)
+            recall = sum(b.size for b in difflib.SequenceMatcher(None, quote, text, autojunk=False).get_matching_blocks()) / len(quote)
+            if recall > best:
+                best, where = recall, (window[0][1], window[-1][2])
+    return where if best >= 0.85 else None
+
+
+def test_like_words_equal_every_window_by_hand():
+    rnd, found = random.Random(7), 0
+    for _ in range(400):
+        words = [rnd.choice(["net", "sales", "rose", "to", "$", "4", "5.2", "of", "the", "Income", "über", "taxes", ",", "in"]) for _ in range(rnd.randint(0, 70))]
+        source = rnd.choice([" ", "  ", "\n"]).join(words)
+        at = rnd.randint(0, max(0, len(words) - 1))
+        quote = list(" ".join(words[at : at + rnd.randint(1, 25)]))
+        for _ in range(rnd.randint(0, 6)):
+            if quote:
+                quote[rnd.randrange(len(quote))] = rnd.choice("xe 4")
+        quote = "".join(quote)
+        found += interval_by_hand(quote, source) is not None
+        assert grounding.fuzzy_interval(quote, source) == interval_by_hand(quote, source), (quote, source)
+    assert found > 100
+    assert grounding.fuzzy_interval("income of taxes rose in the net sale", "words " * 300_000 + "income of taxes rose in the net sales today") is not None
+
+
+def test_grounding_of_nulls_and_very_short_and_long_sources(spark):
+    rows = [("revenue of 5", None), (None, "revenue of 5"), (None, None), ("", ""), ("revenue of 5", ""), ("revenue", "r"), ("no such", "é"), ("Revenue was high", "Revenue was  high " * 50_000)]
+    facts = spark.createDataFrame([(q, s, "Revenue", None, None) for q, s in rows] + [("a b", "a b", None, None, "x")], "grounding_quote string, source string, metric_name string, text_nuance string, section string")
+    out = [(r["grounding_quote"], r["source"], r["alignment_status"], r["confidence"]) for r in grounding.ground(facts.withColumn("_quote2", F.lit(1))).collect()]
+    assert len(out) == 9 and {s for q, s, status, c in out if status == "UNALIGNED" and c == 0.0} >= {None, "", "r", "é"}
+    assert [status for q, s, status, _ in out if s and len(s) > 100] == ["EXACT"]
+    assert sum(s is None for _, s, _, _ in out) == 2
+
+
+def ratio_by_hand(a, b):
+    """Insertions and deletions by the usual table."""
+    def apart(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, before = [i], row
+            for j, d in enumerate(y, 1):
+                row.append(before[j - 1] if c == d else 1 + min(before[j], row[-1]))
+        return row[-1]
+
+    a, b = set(a.split()), set(b.split())
+    if not a or not b:
+        return 0
+    both, left, right = (" ".join(sorted(x)) for x in (a & b, a - b, b - a))
+    if both and (not left or not right):
+        return 100
+    joined = lambda x: " ".join(filter(None, (both, x)))
+    rate = lambda d, x, y: 100 - 100 * d / (len(x) + len(y))
+    scores = [rate(apart(left, right), joined(left), joined(right))]
+    return max(scores + [rate(apart(both, joined(x)), both, joined(x)) for x in (left, right) if both])
+
+
+def test_token_set_ratio():
+    rnd = random.Random(2)
+    for _ in range(2000):
+        a, b = (" ".join("".join(rnd.choice("abc9é") for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(0, 5))) for _ in "ab")
+        assert abs(similarity.token_set_ratio(a, b) - ratio_by_hand(a, b)) < 1e-9, (a, b)
+    assert similarity.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100 and similarity.token_set_ratio("x" * 300, "y" * 300) == 0
