@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,39 +96,54 @@ def melt(grid: DataFrame, context: Column) -> DataFrame:
     )
 
 
+SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def quote_key(quote: str) -> tuple[int, int, str]:
+    """(words, characters, key) that every text with the quote has, whatever stands around it: the quote's inner words (up to six), since its first and last
+    may be parts of words; of a quote of one or two words, the first four characters at most of the longer one; nothing of a quote without words."""
+    words = SPACES.split(quote.strip(" \t\n\x0b\f\r"))
+    if len(words) > 2:
+        inner = words[1:-1][:6]
+        return len(inner), 0, " ".join(inner)
+    piece = max(words, key=len)[:4]
+    return 0, len(piece), piece
+
+
+def text_keys(text: str, kinds: list[tuple[int, int]], wanted: set[str] | None) -> list[str]:
+    """The keys of these kinds (words, characters) that a text has, each once; only the ``wanted`` ones if there are any given."""
+    out, words = set(), SPACES.split(text)
+    for n, chars in kinds:
+        if n:
+            starts = range(len(words) - n + 1)
+            out.update(" ".join(words[i : i + n]) for i in starts)
+        else:
+            out.update(text[i : i + chars] for i in range(len(text) - chars + 1))
+        if wanted is not None:
+            out &= wanted
+    return list(out)
+
+
 def align(items: DataFrame, docs: DataFrame, collapsed: bool = False, most_sent: int = 50_000) -> DataFrame:
     """item_id, doc_id, position for each row of items (item_id, text) that stands word for word in a row of docs (doc_id, text).
 
     With ``collapsed``, items that are not found so are looked for with white space collapsed (see ``exact_position``).
-    An item's first and last word may be parts of words, so its inner words, up to six of them, are its key: both sides meet
-    on the hash of as many words. Items without inner words are compared with all documents. Up to ``most_sent`` items are sent to
-    the tasks, so no document's words are shuffled; more are joined by their keys.
+    Both sides meet on ``quote_key``, however short an item is, so a document meets only items that it may hold. The keys of up to ``most_sent`` items are sent to
+    the tasks and looked up where a text is read; more are joined by their keys. Only an item without any word meets every document: an empty one is in all of them.
     """
-    words = lambda c: F.split(c, r"\s+")
-    hashed = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))  # noqa: E731 # plain numbers: array_distinct compares structs pair by pair
+    spark = docs.sparkSession
     quotes = items.where("text IS NOT NULL").groupBy("item_id", F.col("text").alias("quote")).agg(F.count("*").alias("_copies"))
-    quotes = quotes.withColumn("_q", text.collapsed(F.col("quote"))).withColumn("_w", words("_q")).withColumn("_n", F.least(F.size("_w") - 2, F.lit(6)))
-    quotes = quotes.withColumn("key", F.when(F.col("_n") > 0, hashed(F.col("_w"), F.lit(2), F.col("_n")))).drop("_w")
+    keyed = F.pandas_udf(lambda q: pd.DataFrame(q.map(quote_key).tolist(), columns=["n", "c", "key"]), "n int, c int, key string")
+    quotes = quotes.withColumn("_k", keyed("quote")).select("item_id", "quote", "_copies", "_k.*")
+    kinds = [(r["n"], r["c"]) for r in quotes.select("n", "c").distinct().collect()]  # eleven at most
+    sent = [r["key"] for r in quotes.select("key").distinct().limit(most_sent + 1).collect()]
+    few = len(sent) <= most_sent
+    wanted = spark.sparkContext.broadcast(set(sent)) if few else None
+    keys_of = F.pandas_udf(lambda t: t.map(lambda x: text_keys(x, kinds, wanted.value if few else None)), "array<string>")
     texts = docs.where("text IS NOT NULL").withColumn("_text", F.unhex(F.md5("text")))
-    kinds = quotes.groupBy(F.greatest("_n", F.lit(0)).alias("_n")).agg(F.count("*").alias("rows")).collect()  # seven rows at most
-    sizes, few = sorted(r["_n"] for r in kinds), sum(r["rows"] for r in kinds) <= most_sent
-    columns = ["item_id", "doc_id", "text", "quote", "_copies"]
-    found = []
-    if sizes and sizes[0] == 0:
-        one_space = texts.withColumn("_c", F.regexp_replace("text", r"\s+", " ") if collapsed else F.col("text"))
-        found.append(one_space.join(quotes.where("_n <= 0"), F.contains("_c", F.col("_q" if collapsed else "quote"))).select(columns))
-    if keyed := [n for n in sizes if n]:
-        places = lambda n: F.when(
-            F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: hashed(F.col("w"), i, n))
-        ).otherwise(F.array().cast("array<bigint>"))
-        grams = texts.select("_text", words("text").alias("w")).select("_text", F.explode(F.array_distinct(F.concat(*map(places, keyed)))).alias("key"))
-        keys = quotes.where("_n > 0").select("key", "item_id", "quote", "_copies")
-        met = grams.join(F.broadcast(keys) if few else keys, "key").select("_text", "item_id", "quote", "_copies").distinct()
-        found.append(met.join(texts, "_text").select(columns))
-    if not found:
-        return docs.limit(0).join(items.limit(0).select("item_id"), F.lit(True)).select("item_id", "doc_id", F.lit(0).cast("long").alias("position"))
+    met = texts.select("_text", F.explode(keys_of("text")).alias("key"))
     where = text.exact_position(F.col("text"), F.col("quote")) if collapsed else F.instr("text", F.col("quote")) - 1
-    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    pairs = met.join(quotes.select("key", "item_id", "quote", "_copies"), "key").select("_text", "item_id", "quote", "_copies").distinct().join(texts, "_text")
     placed = pairs.withColumn("position", where.cast("long")).where("position >= 0")
     return placed.select("item_id", "doc_id", "position", F.explode(F.array_repeat("position", F.col("_copies").cast("int"))).alias("_")).drop("_")
 

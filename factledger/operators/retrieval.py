@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,70 +14,93 @@ from factledger.functions import text
 from factledger.operators.ledger import first_of, top_of
 
 
+FOUND = "query_id long, vec_id long, similarity double"
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 16_384) -> DataFrame:
     """query_id, vec_id, similarity: the k most cosine-similar vectors of each query, both sides (id, embedding).
 
     Queries go in blocks of about ``block`` vectors, one after the other, so what the driver holds and sends to tasks is bounded. A
     task keeps the best k of all its rows for each query. Ties on the rounded similarity go by id. The query itself is left
-    out; null and zero vectors have no similarity. Several blocks need a checkpoint folder.
+    out; null and zero vectors have no similarity, nor have two of different lengths. Without queries nothing is read. Several blocks need a checkpoint folder.
     """
     coded = queries.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding")
-    blocks = max(1, -(-coded.count() // block))
+    blocks = -(-coded.count() // block)
+    if not blocks:
+        return queries.sparkSession.createDataFrame([], FOUND)
     coded = coded.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = None
+    found = []
     for b in range(blocks):
         rows = coded.where(F.col("_block") == b).select("id", "embedding").collect()  # about ``block`` rows
-        part = vectors.select("id", "embedding").mapInArrow(_block_search([(r["id"], r["embedding"]) for r in rows], k, digits), "query_id long, vec_id long, similarity double")
+        part = vectors.select("id", "embedding").mapInArrow(_block_search([(r["id"], r["embedding"]) for r in rows], k, digits), FOUND)
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
         part = part.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
-        part = part.checkpoint() if blocks > 1 else part
-        found = part if found is None else found.unionByName(part)
-    return found
+        found.append(part.checkpoint() if blocks > 1 else part)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _block_search(queries: list[tuple], k: int, digits: int, tile: int = 512):
-    ids = np.array([q for q, _ in queries], np.int64)
-    asked = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    by_length: dict[int, list[tuple]] = {}
+    for q in queries:
+        by_length.setdefault(len(q[1]), []).append(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = np.sqrt((asked * asked).sum(1))
-        best, names = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        tops = {n: _Top(rows, k, digits) for n, rows in by_length.items()}
         for b in batches:
-            keep = [i for i, v in enumerate(b["embedding"].to_pylist()) if v is not None]
-            for at in range(0, len(keep) if len(ids) else 0, tile):
-                rows = b.take(pa.array(keep[at : at + tile]))
-                own = rows["id"].to_numpy(zero_copy_only=False)
-                matrix = np.array(rows["embedding"].to_pylist(), np.float64)
-                scale = lengths[:, None] * np.sqrt((matrix * matrix).sum(1))[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = np.round(asked @ matrix.T / scale, digits)
-                score[(scale == 0) | (ids[:, None] == own[None, :])] = -np.inf
-                better = np.flatnonzero(score.max(1) >= best[:, -1])  # the others keep what they have
-                every = np.hstack((best[better], score[better]))
-                known = np.hstack((names[better], np.broadcast_to(own, (len(better), len(own)))))
-                order = np.lexsort((known, -every), axis=1)[:, :k]
-                best[better], names[better] = np.take_along_axis(every, order, 1), np.take_along_axis(known, order, 1)
-        good = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[good.ravel()]), pa.array(names[good]), pa.array(best[good])], ["query_id", "vec_id", "similarity"])
+            embedded = b["embedding"].to_pylist()
+            for n, top in tops.items():
+                keep = [i for i, v in enumerate(embedded) if v is not None and len(v) == n]
+                for at in range(0, len(keep), tile):
+                    some = keep[at : at + tile]
+                    top.add(b["id"].take(pa.array(some)).to_numpy(zero_copy_only=False), np.array([embedded[i] for i in some], np.float64).reshape(len(some), n))
+        for top in tops.values():
+            yield top.rows()
 
     return run
 
 
+class _Top:
+    """The best k rows so far for each of some queries of one length."""
+
+    def __init__(self, queries: list[tuple], k: int, digits: int):
+        self.ids, self.asked = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+        self.k, self.digits, self.lengths = k, digits, np.sqrt((self.asked * self.asked).sum(1))
+        self.best, self.names = np.full((len(queries), k), -np.inf), np.zeros((len(queries), k), np.int64)
+
+    def add(self, own: np.ndarray, matrix: np.ndarray) -> None:
+        scale = self.lengths[:, None] * np.sqrt((matrix * matrix).sum(1))[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round(self.asked @ matrix.T / scale, self.digits)
+        score[(scale == 0) | (self.ids[:, None] == own[None, :])] = -np.inf
+        better = np.flatnonzero(score.max(1) >= self.best[:, -1])  # the others keep what they have
+        every = np.hstack((self.best[better], score[better]))
+        known = np.hstack((self.names[better], np.broadcast_to(own, (len(better), len(own)))))
+        order = np.lexsort((known, -every), axis=1)[:, : self.k]
+        self.best[better], self.names[better] = np.take_along_axis(every, order, 1), np.take_along_axis(known, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        good = np.isfinite(self.best)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.k)[good.ravel()]), pa.array(self.names[good]), pa.array(self.best[good])], ["query_id", "vec_id", "similarity"])
+
+
 def gate(queries: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """query_id, id, recall for candidates that have at least ``threshold`` of a query's distinct tokens.
 
     A candidate that has enough of n tokens has one of the rarest n - ceil(threshold * n) + 1: only those are joined, and what
-    they find is confirmed on whole token sets. Queries without tokens ask for nothing here (see ``gated`` for given pairs).
+    they find is confirmed on whole token sets. Of the candidates' tokens only those that some query has are counted and moved; texts are taken
+    apart once for that, and once more if they are to be confirmed. A query without tokens passes every text (see ``gated``, which
+    decides given pairs); over a corpus that is no answer, so here it finds none.
     """
     asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("text"))).alias("q")).where(F.size("q") > 0)
-    have = candidates.select("id", F.array_distinct(text.tokens(text.strip_context(F.col("text")))).alias("w"))
-    each = have.select("id", F.explode("w").alias("token"))
+    parts = lambda c: F.array_distinct(text.tokens(text.strip_context(F.col(c))))
     wanted = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("token"))
+    each = candidates.select("id", F.explode(parts("text")).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").repartition("token")  # dealt once for the count and the join
     frequency = each.groupBy("token").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "token")
     ranked = wanted.join(frequency, "token", "left").withColumn("_n", F.row_number().over(rarest))
     few = ranked.where(F.col("_n") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("query_id", "token")
     pairs = few.join(each, "token").select("query_id", "id").distinct()
+    have = candidates.join(pairs.select("id").distinct(), "id", "left_semi").select("id", parts("text").alias("w"))
     both = pairs.join(asked, "query_id").join(have, "id")
     recall = F.size(F.array_intersect("q", "w")) / F.size("q")
     return both.where(recall >= threshold).select("query_id", "id", F.round(recall, 6).alias("recall"))

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from factledger import plans
+from factledger.operators import ingest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -57,6 +58,20 @@ def test_short_and_broken_quotes(spark, tmp_path, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()) == want
 
 
+def test_short_quotes_meet_only_texts_that_may_hold_them(spark):
+    """No cartesian product or nested loop for quotes of one or two words, whether their keys are sent or joined; the same rows either way."""
+    docs = spark.createDataFrame([(i, f"bone {i} two threefold one  two\n{i}") for i in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "thr"), (2, "one  t"), (3, "7"), (4, "é"), (5, "two threefold one"), (6, "wo three")], "item_id long, text string")
+    found = []
+    for sent in (50_000, 0):
+        frame = ingest.align(items, docs, most_sent=sent)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+        found.append(sorted(map(tuple, frame.collect())))
+    assert found[0] == found[1] and {i for i, _, _ in found[0]} == {1, 2, 3, 5, 6}
+    assert sum(i == 3 for i, _, _ in found[0]) == sum("7" in str(k) for k in range(50))
+
+
 def test_every_query_has_sql():
     assert plans.QUERIES.keys() == plans.ORACLES.keys()
 
