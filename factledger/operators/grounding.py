@@ -191,16 +191,6 @@ def melt_table(tables: DataFrame, head: int = 5) -> DataFrame:
     )
 
 
-def pieces(content: Column, most: int) -> Column:
-    """Sentences of a text put together while they fit ``most`` characters; a longer sentence is a piece of its own."""
-    join = lambda a, s: F.when(a == "", s).otherwise(F.concat(a, F.lit(" "), s))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
-    step = lambda d, s: F.when(F.length(join(d["open"], s)) <= most, F.struct(join(d["open"], s).alias("open"), d["done"].alias("done"))).otherwise(
-        F.struct(s.alias("open"), F.when(d["open"] == "", d["done"]).otherwise(F.array_append(d["done"], d["open"])).alias("done"))
-    )
-    return F.aggregate(text.sentences(content), start, step, lambda d: F.when(d["open"] == "", d["done"]).otherwise(F.array_append(d["done"], d["open"])))
-
-
 def useful(facts: DataFrame) -> DataFrame:
     """Facts with a value, a period, a nuance, a digit in the quote, or a metric with a unit."""
     some = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""

@@ -131,3 +131,16 @@ def shown(frame: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
 def token_averages(frame: DataFrame) -> DataFrame:
     """The mean of each column with ``tokens`` in its name."""
     return frame.agg(*(F.avg(f"`{c}`").alias(c) for c in frame.columns if "tokens" in c))
+
+
+# fixed values: the headings of a prompt's sections; a section ends at the next line that begins with two dashes
+SECTIONS = (("question", r"QUESTION \(THIS DOES NOT COUNT AS BACKGROUND INFORMATION\):"), ("context", "DOCUMENT:"), ("answer", "ANSWER:"))
+
+
+def prompt_sections(prompt: Column) -> Column:
+    """struct<question, context, answer> of a prompt: what stands under the first heading of each, in any order, without white space at its ends; empty where it is missing or never ends.
+
+    Headings of others inside a section are part of it.
+    """
+    found = lambda heading: F.regexp_extract(prompt, rf"(?s){heading}\s*\n(.*?)\n\s*--", 1)
+    return F.struct(*(F.coalesce(F.regexp_replace(found(h), r"^\s+|\s+$", ""), F.lit("")).alias(name) for name, h in SECTIONS))

@@ -130,3 +130,72 @@ def line_pieces(most: int = MOST):
         return texts.map(lambda t: None if t is None else split_lines(t, most))
 
     return pieces
+
+
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
+def sentence_pieces(text: str, most: int = 1500) -> list[str]:
+    """``text`` in pieces of up to ``most`` characters, whole sentences joined by a space; a longer sentence begins a new piece and is taken by words.
+
+    White space at the text's ends doesn't count. A piece keeps a place for the space that would follow, so a sentence of just ``most`` characters stands alone, and a
+    word that is longer is a piece of its own, the only one that is too long. A text that fits is returned as it is.
+    """
+    if len(text) <= most:
+        return [text]
+    pieces: list[list[str]] = [[]]
+    size = 0
+    for sentence in SENTENCE.split(text.strip()):
+        whole = len(sentence) <= most
+        for k, part in enumerate([sentence] if whole else sentence.split()):
+            fits = size + len(part) < most and (whole or k)
+            if not fits and pieces[-1]:
+                pieces.append([])
+            size = size + 1 + len(part) if pieces[-1] else len(part)
+            pieces[-1].append(part)
+    return [" ".join(p) for p in pieces if p] or [text]
+
+
+def sentence_column(most: int = 1500):
+    """A function of a text column: its pieces (see ``sentence_pieces``); null for null."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else sentence_pieces(t, most))
+
+    return pieces
+
+
+def token_counter(path: str):
+    """A function of a text column: how many ids the tokenizer file at ``path`` gives it; null for null. A task reads the file once."""
+
+    @F.pandas_udf("long")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        for texts in parts:
+            known = texts.dropna()
+            sizes = pd.Series([len(e.ids) for e in tokenizer.encode_batch(known.tolist(), add_special_tokens=False)], index=known.index, dtype="Int64")
+            yield sizes.reindex(texts.index)
+
+    return count
+
+
+def token_prefix(path: str, budget: int):
+    """A function of a text column: as much of each text as its first ``budget`` ids cover, by the tokenizer file at ``path``; null for null."""
+
+    @F.pandas_udf("string")
+    def prefix(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+
+        def cut(text: str | None) -> str | None:
+            ends = tokenizer.encode(text, add_special_tokens=False).offsets if text is not None else ()
+            return text if len(ends) <= budget else text[: max((e for _, e in ends[:budget]), default=0)]
+
+        for texts in parts:
+            yield texts.map(cut)
+
+    return prefix

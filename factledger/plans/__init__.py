@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.plans import evaluation, factory, grounding, ingest, ledger, records, review, scoring, structure
+from factledger.plans import evaluation, factory, grounding, ingest, ledger, lookups, records, review, scoring, structure
 
-QUERIES = ledger.QUERIES | ingest.QUERIES | factory.QUERIES | evaluation.QUERIES | scoring.QUERIES | grounding.QUERIES | records.QUERIES | review.QUERIES | structure.QUERIES
-ORACLES = ledger.ORACLES | ingest.ORACLES | factory.ORACLES | evaluation.ORACLES | scoring.ORACLES | grounding.ORACLES | records.ORACLES | review.ORACLES | structure.ORACLES
+QUERIES = ledger.QUERIES | ingest.QUERIES | factory.QUERIES | evaluation.QUERIES | scoring.QUERIES | grounding.QUERIES | records.QUERIES | review.QUERIES | structure.QUERIES | lookups.QUERIES
+ORACLES = ledger.ORACLES | ingest.ORACLES | factory.ORACLES | evaluation.ORACLES | scoring.ORACLES | grounding.ORACLES | records.ORACLES | review.ORACLES | structure.ORACLES | lookups.ORACLES

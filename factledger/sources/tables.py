@@ -6,6 +6,7 @@ import io
 import warnings
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -152,3 +153,29 @@ def link_rows(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
     """``chunks`` (chunk_id) with ``row_ids``, the ledger rows that came from each, sorted; empty where there are none."""
     linked = ledger.groupBy(F.col("source_chunk_id").alias("chunk_id")).agg(F.array_sort(F.collect_set("row_id")).alias("row_ids"))
     return chunks.drop("row_ids").join(linked, "chunk_id", "left").withColumn("row_ids", F.coalesce("row_ids", F.array().cast("array<string>")))
+
+
+def shaped(lines: DataFrame, shapes: dict[str, dict[str, tuple[str, str]]], value: str = "value") -> DataFrame:
+    """``lines`` of JSON records of several shapes as rows: ``shape``, and all shapes' columns, null where a shape lacks one.
+
+    ``shapes`` gives for each shape its columns as (path, type). A record has the first shape of which it has every path with a value of that type; one of no shape,
+    and a line that is no JSON, keeps a null ``shape``, so that bad rows can be counted. Each line is parsed once, whatever it is.
+    """
+    parsed = lines.withColumn("_v", F.try_parse_json(F.col(value)))
+    read = {(shape, name): F.try_variant_get("_v", path, kind) for shape, fields in shapes.items() for name, (path, kind) in fields.items()}
+    whole = {shape: reduce(Column.__and__, (read[shape, name].isNotNull() for name in fields)) for shape, fields in shapes.items()}
+    parsed = parsed.withColumn("shape", F.coalesce(*(F.when(w, shape) for shape, w in whole.items())))
+    names = list(dict.fromkeys(name for _, name in read))
+    columns = [F.coalesce(*(F.when(F.col("shape") == shape, c) for (shape, n), c in read.items() if n == name)).alias(name) for name in names]
+    return parsed.select(*lines.columns, "shape", *columns)
+
+
+def read_object(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """key, value for each field of the JSON objects in files, one object a file; ``value`` is the fields' type. Of a field that a file has twice the parser's choice stays."""
+    return spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "value"))
+
+
+def write_object(rows: DataFrame, key: str, value: str, path: str) -> None:
+    """One JSON object in one file from (key, value), keys in order: a side-file, so it is gathered in one task; large tables are JSON lines."""
+    fields = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))))
+    rows.where(F.col(key).isNotNull()).agg(fields.alias("value")).coalesce(1).write.mode("overwrite").text(path)
