@@ -153,7 +153,7 @@ def sentence_pieces(text: str, most: int = 1500) -> list[str]:
                 pieces.append([])
             size = size + 1 + len(part) if pieces[-1] else len(part)
             pieces[-1].append(part)
-    return [" ".join(p) for p in pieces if p] or [text]
+    return [joined for p in pieces if (joined := " ".join(p))] or [text]
 
 
 def sentence_column(most: int = 1500):
