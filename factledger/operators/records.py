@@ -149,8 +149,8 @@ def ranked(rows: DataFrame, per: str, *order: Column | str, prefix: Column) -> D
 def balance(rows: DataFrame, total: int, shares: dict[str, float], mutated: float = 0.5) -> DataFrame:
     """``rows`` (id, label, mutated) cut to quotas: ``shares`` of ``total`` by label, in hash order.
 
-    Of the unfounded ones ``mutated`` at least are mutated where there are so many, and natural ones fill up; parents of the
-    mutated come first among the supported. A label with fewer rows gives what it has.
+    Of the unfounded ones ``mutated`` at least are mutated where there are so many, and natural ones fill up. A label with fewer rows gives what it
+    has, and nothing is said of parents: ``attacks.contrast_set`` puts these first and repeats what is missing.
     """
     h = F.md5(F.col("id").cast("string"))
     first = ranked(rows.withColumn("_side", F.concat_ws("/", "label", F.col("mutated").cast("string"))), "_side", h, "id", prefix=F.substring(h, 1, 3))
