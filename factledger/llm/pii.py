@@ -188,17 +188,37 @@ def find(docs: DataFrame, share: float = 0.8, prior: float = 1.0) -> DataFrame:
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in brackets; overlapping spans go whole, under the kind of the first."""
+    """``text`` with each span replaced by its kind in brackets; overlapping spans go whole, under the kind of the first.
+
+    The text is cut by its sorted spans once: what is kept between them is taken from its chunks, so the work grows with the text and the spans.
+    """
     in_order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(
-        in_order,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda d, s: F.when(
-            s["start"] >= d["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(d["out"], F.substring(text, d["at"] + 1, s["start"] - d["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(d["at"], s["end"]).alias("at"), d["out"].alias("out"))),
-    )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def between(c: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        held = F.array_join(F.slice(c, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(held, start - first * CHUNK + 1, end - start)).otherwise("")
+
+    def whole(c: Column, zipped: Column) -> Column:
+        # a span that starts behind all before it begins a gap's end; ``b`` is where the spans before it end
+        opening = F.filter(zipped, lambda z: z["s"]["start"] >= z["b"])
+        out = F.transform(opening, lambda z: F.concat(between(c, z["b"], z["s"]["start"]), F.lit("["), F.upper(z["s"]["kind"]), F.lit("]")))
+        last = F.array_max(F.transform(zipped, lambda z: z["s"]["end"]))
+        return F.concat(F.array_join(out, ""), between(c, last, F.length(text)))
+
+    cut_up = let(in_order, lambda s: let(F.arrays_zip(s.alias("s"), _ends_before(s).alias("b")), lambda z: let(chunks, lambda c: whole(c, z))))
+    return F.when(F.size(spans) == 0, text).otherwise(cut_up)
+
+
+def _ends_before(spans: Column) -> Column:
+    """For each span the largest end of those before it, 0 for the first; running maxima by pieces, as the places in ``matches``."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / PIECE).cast("int")), lambda i: F.slice(spans, i * PIECE + 1, F.lit(PIECE)))
+    tops = lambda ps: F.transform(ps, lambda p: F.array_max(F.transform(p, lambda x: x["end"])))
+    begins = lambda ps: F.aggregate(tops(ps), F.array(F.lit(0)), lambda done, n: F.array_append(done, F.greatest(F.element_at(done, -1), n)))
+
+    def inside(piece: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(piece, start, lambda d, x: F.struct(F.greatest(d["at"], x["end"]).alias("at"), F.array_append(d["out"], d["at"]).alias("out")), lambda d: d["out"])
+
+    return let(pieces, lambda ps: let(begins(ps), lambda bs: F.flatten(F.zip_with(ps, F.slice(bs, F.lit(1), F.size(ps)), inside))))

@@ -1,6 +1,8 @@
 """Contract queries on awkward and empty tables, and against their SQL."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -164,6 +166,70 @@ def test_op6_rare_entities_and_copies(spark):
     assert found[50]["sanitised"].endswith(", [EMAIL] [TERM] [EMAIL]") and found[100]["sanitised"] == other[0][1]
 
 
+def disclosing_by_hand(texts, share=0.8, prior=1.0):
+    """(text, start, end) of terms: probabilities counted over distinct texts, entity by entity."""
+    near, every = defaultdict(set), set(texts)
+    for t in every:
+        for kind, found in spans_of(t).items():
+            for a, z in found:
+                for m in re.finditer(r"[^\W\d_]{3,}", t):
+                    if a - 64 <= m.start() and m.end() <= z + 64 and (m.end() <= a or m.start() >= z):
+                        near[f"{kind}:{t[a:z].lower()}"].add((t, m.start(), m.end(), m.group().lower()))
+    has = {t: {m.lower() for m in re.findall(r"[^\W\d_]{3,}", t)} for t in every}
+    for occurrences in near.values():
+        p = len({t for t, *_ in occurrences}) / len(every)
+        for t, a, z, term in occurrences:
+            n_et, n_t = len({x for x, *_, w in occurrences if w == term}), sum(term in h for h in has.values())
+            p_e_t = (n_et + prior * p) / (n_t + prior)
+            if p < 1 and math.log2(p_e_t / p) >= -share * math.log2(p) - 1e-12:
+                yield t, a, z
+
+
+def spans_of(t):
+    return {"email": [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]}
+
+
+def test_op6_terms_and_removal_by_hand(spark):
+    """Random texts of few words and addresses, with copies: the terms by counting, and the text that is left."""
+    from factledger.llm import pii
+
+    rnd = random.Random(11)
+    common, topics = ["alpha", "beta", "gamma", "delta", "über"], [rnd.randrange(30) for _ in range(80)]
+    own = lambda k: [f"u{k}@a.org", f"name{chr(97 + k % 26)}{chr(97 + k // 26)}", f"place{chr(97 + k % 13)}"]
+    texts = [" ".join(rnd.choice(common + own(k) * 3) for _ in range(rnd.randint(1, 25))) for k in topics]
+    texts += texts[:20]
+    marked = defaultdict(set)
+    for t, a, z in disclosing_by_hand(texts):
+        marked[t].add((a, z))
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(map(len, marked.values())) > 20, len(marked)
+    for r in found:
+        t = texts[r["doc_id"]]
+        mails = spans_of(t)["email"]
+        apart = {(a, z) for a, z in marked[t] if all(z <= x or a >= y for x, y in mails)}
+        assert {(s["start"], s["end"]) for s in r["terms"]} == apart, t
+        left = t
+        for a, z, kind in sorted([(a, z, "TERM") for a, z in apart] + [(a, z, "EMAIL") for a, z in mails], reverse=True):
+            left = f"{left[:a]}[{kind}]{left[z:]}"
+        assert r["sanitised"] == left
+
+
+def test_op6_removal_from_a_long_text_is_linear(spark):
+    """Every second word an address, and spans that overlap in chains; many chunks and pieces."""
+    from factledger.llm import pii
+
+    text = " ".join(f"é{i} a{i}@b.co" for i in range(8_000))
+    spans = [(m.start(), m.end(), "email") for m in re.finditer(r"a\d+@b.co", text)] + [(i * 1000 + k, i * 1000 + k + 30, "term") for i in range(90) for k in (0, 20, 45)]
+    want, at = [], 0
+    for a, z, kind in sorted(spans):
+        if a >= at:
+            want.append(text[at:a] + f"[{kind.upper()}]")
+        at = max(at, z)
+    frame = spark.createDataFrame([(text, spans), ("x", []), ("", [])], "t string, s array<struct<start: int, end: int, kind: string>>")
+    out = [r["x"] for r in frame.select(pii.sanitised(frame["t"], frame["s"]).alias("x")).collect()]
+    assert out == ["".join(want) + text[at:], "x", ""]
+
+
 def test_op6_sanitised_leaves_nothing_of_overlapping_spans(spark):
     from pyspark.sql import functions as F
 
