@@ -43,26 +43,34 @@ def corpus_union(t) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Acme' WHEN o_orderkey % 4 = 1 THEN 'BETA' WHEN o_orderkey % 4 = 2 THEN 'GAM' ELSE 'Global_Entity' END AS company FROM orders
+WITH r AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_mktsegment WHEN c_acctbal < 4000 THEN ' ' END AS meta, CASE WHEN c_nationkey < 8 THEN upper(left(c_name, 3)) || c_nationkey::VARCHAR || '_2020_10K' WHEN c_nationkey < 10 THEN '_x' END AS doc,
+  CASE WHEN c_nationkey % 2 = 0 THEN 'finqa_' || left(c_mktsegment, (c_custkey % 9)::INT) || '/2010/p_1' WHEN c_nationkey % 3 = 0 THEN 'x_' || c_name || '/1' END AS record FROM customer)
+SELECT c_custkey, coalesce(nullif(trim(meta), ''), nullif(trim(split_part(doc, '_', 1)), ''), nullif(regexp_extract(coalesce(record, ''), '^[a-z]+_([A-Z]{1,5})/', 1), ''), 'Global_Entity') AS company FROM r
 """)
 def company_resolution(t) -> DataFrame:
     """A record's company from metadata, document name or ticker, in this order."""
-    k = F.col("o_orderkey") % 4
-    record = F.when(k == 2, "finqa_GAM/2010/p_1").otherwise(F.concat(F.lit("x"), k.cast("string")))
-    return t("orders").select("o_orderkey", P.company_of(F.when(k == 0, "Acme").otherwise(" "), F.when(k == 1, "BETA_2020_10K"), record).alias("company"))
-
-
-@query("""
-SELECT doc_id, CASE WHEN quality = 1 THEN 'Supported' WHEN toxic = 1 THEN 'Unfounded' ELSE 'General' END AS label, CASE doc_id % 3 WHEN 0 THEN 'src a' WHEN 1 THEN 'other' ELSE 'unknown' END AS dataset_source,
-  CASE doc_id % 4 WHEN 0 THEN 'parent' WHEN 1 THEN 'original' WHEN 2 THEN 'doc_' || doc_id::VARCHAR ELSE 'plain' || doc_id::VARCHAR END AS family_id FROM labels
+    nation = F.col("c_nationkey")
+    meta = F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment")).when(F.col("c_acctbal") < 4000, " ")
+    doc = F.when(nation < 8, F.concat(F.upper(F.expr("left(c_name, 3)")), nation.cast("string"), F.lit("_2020_10K"))).when(nation < 10, "_x")
+    record = F.when(nation % 2 == 0, F.concat(F.lit("finqa_"), F.expr("left(c_mktsegment, int(c_custkey % 9))"), F.lit("/2010/p_1"))).when(nation % 3 == 0, F.concat(F.lit("x_"), "c_name", F.lit("/1")))
+    return t("customer").select("c_custkey", P.company_of(meta, doc, record).alias("company"))
+
+
+@query(r"""
+WITH r AS (SELECT d.doc_id, upper(lang) AS final_label, CASE WHEN toxic = 1 THEN 'unfounded' WHEN quality = 1 THEN ' ' END AS teacher, CASE WHEN n_chars % 2 = 0 THEN 'sUPPORTED' END AS label, CASE WHEN n_chars % 3 = 0 THEN ' ' ELSE source END AS dataset, upper(lang) || ' Set' AS src,
+  CASE WHEN quality = 0 THEN 'p' || source END AS parent, CASE WHEN n_chars % 5 = 0 THEN 'o' || n_chars::VARCHAR END AS original, CASE WHEN lang = 'en' THEN 'sabotaged_doc_' || d.doc_id::VARCHAR || '_' || left(md5(text), 8) ELSE 'plain' || d.doc_id::VARCHAR END AS id FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+f AS (SELECT *, coalesce(CASE WHEN final_label IN ('EN', 'DE') THEN nullif(trim(teacher), '') ELSE nullif(trim(final_label), '') END, nullif(trim(teacher), ''), nullif(trim(label), ''), 'General') AS l FROM r)
+SELECT doc_id, upper(left(l, 1)) || lower(substr(l, 2)) AS label, lower(coalesce(nullif(trim(dataset), ''), nullif(trim(src), ''), 'unknown')) AS dataset_source,
+  coalesce(parent, original, CASE WHEN starts_with(id, 'sabotaged_') THEN regexp_extract(id, '^sabotaged_(.*)_[^_]*$', 1) ELSE id END) AS family_id FROM f
 """)
 def canonical_records(t) -> DataFrame:
-    """Label, source and family of a record by their chains of fields."""
-    k, none = F.col("doc_id"), F.lit(None).cast("string")
-    name = F.when(k % 4 == 2, F.concat(F.lit("sabotaged_doc_"), k.cast("string"), F.lit("_ab12cd34"))).otherwise(F.concat(F.lit("plain"), k.cast("string")))
-    rows = t("labels").select(
-        "doc_id", name.alias("id"), F.when(F.col("quality") == 1, "SUPPORTED").otherwise("").alias("final_label"), F.when(F.col("toxic") == 1, "unfounded").alias("teacher_label"), none.alias("label"),
-        F.when(k % 3 == 0, "SRC A").alias("dataset_source"), F.when(k % 3 == 1, "Other").otherwise(" ").alias("source"), F.when(k % 4 == 0, "parent").alias("parent_id"), F.when(k % 4 == 1, "original").alias("original_id"),
+    """Label, source and family of a record by their chains of fields, some null and some empty."""
+    n, text_ = F.col("n_chars"), F.lit(None).cast("string")
+    rows = t("documents").join(t("labels"), "doc_id").select(
+        "doc_id", F.when(F.col("lang") == "en", F.concat(F.lit("sabotaged_doc_"), F.col("doc_id").cast("string"), F.lit("_"), F.expr("left(md5(text), 8)"))).otherwise(F.concat(F.lit("plain"), F.col("doc_id").cast("string"))).alias("id"),
+        F.when(F.col("lang").isin("en", "de"), F.when(F.col("lang") == "en", text_).otherwise(" ")).otherwise(F.upper("lang")).alias("final_label"), F.when(F.col("toxic") == 1, "unfounded").when(F.col("quality") == 1, " ").alias("teacher_label"),
+        F.when(n % 2 == 0, "sUPPORTED").alias("label"), F.when(n % 3 == 0, " ").otherwise(F.col("source")).alias("dataset_source"), F.concat(F.upper("lang"), F.lit(" Set")).alias("source"),
+        F.when(F.col("quality") == 0, F.concat(F.lit("p"), "source")).alias("parent_id"), F.when(n % 5 == 0, F.concat(F.lit("o"), n.cast("string"))).alias("original_id"),
     )
     return P.canonical(rows).select("doc_id", "label", "dataset_source", "family_id")
 

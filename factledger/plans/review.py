@@ -39,14 +39,12 @@ def program_traces(t) -> DataFrame:
 
 
 @query(r"""
-SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'result = ( ' || p_size::VARCHAR || ' - 1204.5 ) / 0.1' || chr(10) || 'print(result)'
-  WHEN 1 THEN 'result = ' || p_size::VARCHAR || ' + 2' || chr(10) || 'print(result)' ELSE '# NO_DERIVATION' END AS trace FROM part
+SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN '# NO_DERIVATION' ELSE 'result = ( ' || (p_size * 1000 + 204)::VARCHAR || '.5 - ' || (p_retailprice / 100)::DOUBLE::VARCHAR || ' ) / ' || p_partkey::VARCHAR || ' * ' || lower(p_name) || chr(10) || 'print(result)' END AS trace FROM part
 """)
 def derivation_traces(t) -> DataFrame:
-    """Derivations written as traces."""
-    n = F.col("p_size").cast("string")
-    derivation = pick(F.col("p_partkey"), F.concat(F.lit("("), n, F.lit(" - 1,204.5) / 10%")), F.concat(F.lit("$"), n, F.lit("+€2")), F.lit(""))
-    return t("part").select("p_partkey", traces.derivation_trace(derivation).alias("trace"))
+    """Derivations written as traces: separators and signs of currency go, percents are shares, words stay."""
+    shown = F.concat(F.lit(" ( "), F.col("p_size").cast("string"), F.lit(",204.5-"), F.col("p_retailprice").cast("string"), F.lit("%)/ $"), F.col("p_partkey").cast("string"), F.lit("*"), F.lower("p_name"), F.lit(" "))
+    return t("part").select("p_partkey", traces.derivation_trace(F.when(F.col("p_type") != "PROMO", shown).otherwise("")).alias("trace"))
 
 
 @query(r"""
@@ -64,49 +62,57 @@ def markdown_tables(t) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN doc_id::VARCHAR || ' million' WHEN 1 THEN '7.5' WHEN 2 THEN 'b' WHEN 3 THEN 'plain' END AS injected,
-  CASE doc_id % 5 WHEN 0 THEN doc_id::VARCHAR || ' million' WHEN 1 THEN '7.5 now' WHEN 2 THEN 'c' WHEN 3 THEN 'plain.' ELSE 'N/A' END AS lie FROM labels
+WITH d AS (SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN 'Swapped ' ELSE '' END || replace(replace(left(text, 80), 'e ', ' with '), 'n ', ' -> ') AS diff FROM documents),
+p AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(diff, '(?s)^(?:.*with)?(.*)$', 1), '^\s+|\s+$', '', 'g'), '\.+$', '') AS w, regexp_replace(regexp_replace(regexp_extract(diff, '(?s)^(?:.*->)?(.*)$', 1), '^\s+|\s+$', '', 'g'), '\.+$', '') AS a,
+  regexp_extract(diff, '->\s*([^ ]+)', 1) AS f FROM d)
+SELECT doc_id, CASE WHEN contains(diff, 'Swapped') AND contains(diff, 'with') THEN w WHEN f <> '' THEN regexp_replace(regexp_replace(f, '^\s+|\s+$', '', 'g'), '\.+$', '') ELSE a END AS injected,
+  CASE WHEN coalesce(diff, '') = '' THEN 'N/A' WHEN contains(diff, 'with') THEN w WHEN contains(diff, '->') THEN a ELSE diff END AS lie FROM p
 """)
 def injected_values(t) -> DataFrame:
-    """What an attack put in, as audits and as exports read it from the attack's own words."""
-    diff = pick(F.col("doc_id"), F.concat(F.lit("Swapped 10 with "), F.col("doc_id").cast("string"), F.lit(" million.. ")), F.lit("5 -> 7.5 now"), F.lit("a ->b. -> c."), F.lit("plain."), F.lit(None))
-    return t("labels").select("doc_id", V.injected_value(diff).alias("injected"), V.intended_lie(diff).alias("lie"))
+    """What an attack put in, as audits and as exports read it from the attack's own words (here: the first letters of texts)."""
+    words = F.replace(F.replace(F.expr("left(text, 80)"), F.lit("e "), F.lit(" with ")), F.lit("n "), F.lit(" -> "))
+    diff = F.concat(F.when(F.length("text") % 2 == 0, "Swapped ").otherwise(""), words)
+    return t("documents").select("doc_id", V.injected_value(diff).alias("injected"), V.intended_lie(diff).alias("lie"))
 
 
 @query(r"""
-SELECT conv_id, turn, role, CASE WHEN conv_id % 2 = 0 AND conv_id % 3 <> 0 THEN 'You are ' || role ELSE 'You are a rigorous financial auditor.' END AS system,
-  CASE WHEN conv_id % 3 = 0 THEN 'no tags ' || conv_id::VARCHAR ELSE 'Q' || conv_id::VARCHAR || chr(10) || 'turn ' || turn::VARCHAR END || chr(10) || 'Label:' AS "user"
-FROM conversations
+WITH p AS (SELECT conv_id, turn, role, text, contains(text, ', ') AS tags, contains(text, 'en') AS system FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, role, CASE WHEN tags AND system THEN regexp_replace(role || ' of ' || left(text, 30), '^\s+|\s+$', '', 'g') ELSE 'You are a rigorous financial auditor.' END AS system, CASE WHEN tags THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE text END || chr(10) || 'Label:' AS "user" FROM p
 """)
 def prompt_turns(t) -> DataFrame:
-    """Prompts in turn tags taken apart, with or without a system turn, or without tags."""
-    k, n = F.col("conv_id"), F.col("conv_id").cast("string")
-    system = F.when(k % 2 == 0, F.concat(F.lit("<|im_start|>system\n You are "), "role", F.lit(" <|im_end|>\n"))).otherwise("")
-    user = F.concat(F.lit("<|im_start|>user\nQ"), n, F.lit("\nturn "), F.col("turn").cast("string"), F.lit("\n<|im_end|>\n<|im_start|>assistant\n"))
-    prompt = F.when(k % 3 == 0, F.concat(F.lit("no tags "), n)).otherwise(F.concat(system, user))
-    return t("conversations").select("conv_id", "turn", "role", V.prompt_parts(prompt).alias("p")).select("conv_id", "turn", "role", "p.system", "p.user")
+    """Prompts in turn tags taken apart, with or without a system turn, or without tags; the texts are those of conversations."""
+    system = F.when(F.contains("text", F.lit("en")), F.concat(F.lit("<|im_start|>system\n "), "role", F.lit(" of "), F.expr("left(text, 30)"), F.lit(" <|im_end|>\n"))).otherwise("")
+    tagged = F.concat(system, F.lit("<|im_start|>user\n"), "text", F.lit("\n<|im_end|>\n<|im_start|>assistant\n"))
+    prompt = F.when(F.contains("text", F.lit(", ")), tagged).otherwise(F.col("text"))
+    return t("conversations").where("text IS NOT NULL").select("conv_id", "turn", "role", V.prompt_parts(prompt).alias("p")).select("conv_id", "turn", "role", "p.system", "p.user")
 
 
 @query(r"""
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Fake, ' || doc_id::VARCHAR WHEN 1 THEN '' WHEN 2 THEN 'no verdict ' || doc_id::VARCHAR WHEN 3 THEN 'Unfounded' ELSE '' END AS text,
-  CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 3 ELSE 0 END AS extra FROM labels
+WITH r AS (SELECT conv_id, turn, replace(replace(replace(replace(text, '. ', '** Label: '), ' la ', ' <think>'), ' the ', ' </think>'), 'ou', 'Fake') AS raw FROM conversations),
+c AS (SELECT *, regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g') AS clean FROM r),
+q AS (SELECT *, contains(clean, '<think>') AND NOT contains(clean, '</think>') AS cut_off, replace(clean, '*', '') AS plain FROM c),
+u AS (SELECT *, regexp_extract(plain, '(?s)^(.*?)(?i:found|supported|fake|unfounded|general)', 0) AS upto FROM q),
+n AS (SELECT *, len(regexp_extract_all(upto, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS n_upto, len(regexp_extract_all(plain, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS n_plain, len(regexp_extract_all(raw, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS n_raw FROM u)
+SELECT conv_id, turn, CASE WHEN coalesce(raw, '') = '' OR cut_off THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(plain, '^\s+|\s+$', '', 'g'), '(?i)^label\s*:?\s*', ''), '^\s+|\s+$', '', 'g') END AS text,
+  CASE WHEN coalesce(raw, '') = '' THEN 0 WHEN cut_off THEN n_raw WHEN upto <> '' THEN n_upto - 1 ELSE n_plain END::INT AS extra FROM n
 """)
 def verdict_preambles(t) -> DataFrame:
-    """Answers down to their verdicts, and the tokens before them."""
-    n = F.col("doc_id").cast("string")
-    raw = pick(F.col("doc_id"), F.concat(F.lit("<think>a fake\nthought</think> **Label:** Fake, "), n), F.lit("<think>cut off, here"), F.concat(F.lit("no *verdict* "), n), F.lit("Unfounded"), F.lit(None))
-    return t("labels").select("doc_id", V.before_verdict(raw).alias("v")).select("doc_id", "v.text", "v.extra")
+    """Answers down to their verdicts, and the tokens before them; words of the texts stand for tags, labels and verdicts."""
+    raw = F.col("text")
+    for old, new in ((". ", "** Label: "), (" la ", " <think>"), (" the ", " </think>"), ("ou", "Fake")):
+        raw = F.replace(raw, F.lit(old), F.lit(new))
+    return t("conversations").select("conv_id", "turn", V.before_verdict(raw).alias("v")).select("conv_id", "turn", "v.text", "v.extra")
 
 
 @query(rf"""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'First. Then ' || doc_id::VARCHAR || '.' WHEN 1 THEN '{V.COMPARE}' ELSE '{V.ANALYSE}' END AS thinking,
-  CASE doc_id % 4 WHEN 0 THEN 'So it is.' WHEN 1 THEN 'Only ' || doc_id::VARCHAR || '.' ELSE '.' END AS analysis FROM labels
+WITH s AS (SELECT doc_id, CASE WHEN lang <> 'es' THEN string_split(text, chr(10)) END AS steps FROM documents),
+p AS (SELECT doc_id, CASE WHEN len(steps) > 1 THEN array_to_string(steps[1:len(steps) - 1], ' ') WHEN len(steps) = 1 THEN '{V.COMPARE}' ELSE '{V.ANALYSE}' END AS thinking, coalesce(steps[len(steps)], '') AS analysis FROM s)
+SELECT doc_id, md5(thinking || CASE WHEN ends_with(thinking, '.') THEN '' ELSE '.' END) AS thinking, md5(analysis || CASE WHEN ends_with(analysis, '.') THEN '' ELSE '.' END) AS analysis FROM p
 """)
 def reasoning_steps(t) -> DataFrame:
-    """Steps of reasoning split into thinking and analysis."""
-    k, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
-    steps = F.when(k == 0, F.array(F.lit("First."), F.concat(F.lit("Then "), n), F.lit("So it is."))).when(k == 1, F.array(F.concat(F.lit("Only "), n))).when(k == 2, F.array().cast("array<string>"))
-    return t("labels").select("doc_id", V.reasoning_parts(steps).alias("r")).select("doc_id", "r.thinking", "r.analysis")
+    """Steps of reasoning (here: lines of texts) split into thinking and analysis."""
+    steps = F.when(F.col("lang") != "es", F.split("text", "\n"))
+    return t("documents").select("doc_id", V.reasoning_parts(steps).alias("r")).select("doc_id", F.md5("r.thinking").alias("thinking"), F.md5("r.analysis").alias("analysis"))
 
 
 def candidates(t) -> DataFrame:
