@@ -22,7 +22,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, blo
 
     Queries go in blocks of about ``block`` vectors, one after the other, so what the driver holds and sends to tasks is bounded. A
     task keeps the best k of all its rows for each query. Ties on the rounded similarity go by id. The query itself is left
-    out; null and zero vectors have no similarity, nor have two of different lengths. Without queries nothing is read. Several blocks need a checkpoint folder.
+    out; null and zero vectors, and rows without an id, have no similarity, nor have two of different lengths. Without queries nothing is read. Several blocks need a checkpoint folder.
     """
     coded = queries.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding")
     blocks = -(-coded.count() // block)
@@ -32,7 +32,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, blo
     found = []
     for b in range(blocks):
         rows = coded.where(F.col("_block") == b).select("id", "embedding").collect()  # about ``block`` rows
-        part = vectors.select("id", "embedding").mapInArrow(_block_search([(r["id"], r["embedding"]) for r in rows], k, digits), FOUND)
+        part = vectors.where("id IS NOT NULL").select("id", "embedding").mapInArrow(_block_search([(r["id"], r["embedding"]) for r in rows], k, digits), FOUND)
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
         part = part.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
         found.append(part.checkpoint() if blocks > 1 else part)

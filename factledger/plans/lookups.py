@@ -12,6 +12,7 @@ from factledger.operators import retrieval as R
 from factledger.operators import review as V
 from factledger.operators import sampling as M
 from factledger.operators import structure as S
+from factledger.operators import vector_index as I
 from factledger.plans.common import Registry
 from factledger.sources import store, tables
 
@@ -224,6 +225,17 @@ def cached_topk(t) -> DataFrame:
     return ask("id % 50 = 0").select(F.col("query").cast("long").alias("query_id"), F.inline("results"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 5
+""")
+def indexed_topk(t) -> DataFrame:
+    """The five nearest vectors by way of the index: near cells first, then every cell that could hold a nearer one."""
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return I.search(I.build(vectors, cells=32), vectors.where("id % 50 = 0"), 5, probes=8, exact=True)
+
+
 @query(r"""
 SELECT event_id, event_type FROM events WHERE value > 60 OR ((json_extract_string(props, '$.k'))::INT % 4 = 0) OR (user_id % 9 = 0 AND event_type <> ' ')
   OR regexp_matches(CASE WHEN (json_extract_string(props, '$.k'))::INT > 80 THEN props ELSE event_type END, '\d') OR (event_type <> '' AND user_id % 5 = 0)
