@@ -132,7 +132,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """_key and base (array of kind, start, end, value, words) for each distinct text that has spans, written."""
+    """_key, _t and base (array of kind, start, end, value, words) for each distinct text that has spans, written."""
     gates = {"email": F.contains("_t", F.lit("@")), "ip": F.contains("_t", F.lit(".")), "card": F.lit(True), "phone": F.contains("_t", F.lit("+"))}
     none = F.array().cast("array<struct<start: int, end: int, value: string>>")
     rows = keyed(docs.select("text")).select("_t", "_key")
@@ -140,7 +140,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     found = rows.where(" OR ".join(f"size(_{k}) > 0" for k in KINDS))
     chunks = F.regexp_extract_all("_t", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
     spans = let(chunks, lambda c: F.concat(*(_with_context(kind, c) for kind in KINDS)))
-    return cut(found.select("_key", spans.alias("base")).where("size(base) > 0").dropDuplicates(["_key"]), "pii")
+    return cut(found.select("_key", "_t", spans.alias("base")).where("size(base) > 0").dropDuplicates(["_key"]), "pii")
 
 
 def disclosing(docs: DataFrame, occurrences: DataFrame, share: float, prior: float) -> DataFrame:
@@ -165,7 +165,10 @@ def disclosing(docs: DataFrame, occurrences: DataFrame, share: float, prior: flo
 
 
 def find(docs: DataFrame, share: float = 0.8, prior: float = 1.0) -> DataFrame:
-    """doc_id, base and terms (arrays of kind, start, end), and the sanitised text for each row of ``docs`` (doc_id, text)."""
+    """doc_id, base and terms (arrays of kind, start, end), and the sanitised text, its length and digest for each row of ``docs`` (doc_id, text).
+
+    Length and digest are worked out before rows meet their spans, so without ``sanitised`` no text is moved for them.
+    """
     found = base_spans(docs)
     occurrences = found.select("_key", F.explode("base").alias("s")).select("_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), "s.words")
     risky = disclosing(docs, occurrences, share, prior)
@@ -180,11 +183,15 @@ def find(docs: DataFrame, share: float = 0.8, prior: float = 1.0) -> DataFrame:
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    # written, so that the last join may deal a text with many copies to several tasks
-    spans = cut(found.select("_key", base.alias("base")).join(terms, "_key", "left").select("_key", "base", F.coalesce(apart, none).alias("terms")), "pii-spans")
-    rows = keyed(docs.select("doc_id", "text")).join(spans, "_key", "left")
-    rows = rows.select("doc_id", "_t", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
-    return rows.select("doc_id", "base", "terms", sanitised(F.col("_t"), F.concat("base", "terms")).alias("sanitised"))
+    # written, so that the last join may deal a text with many copies to several tasks; only texts with spans are cut up, each once
+    spans = found.select("_key", "_t", base.alias("base")).join(terms, "_key", "left").select("_key", "_t", "base", F.coalesce(apart, none).alias("terms"))
+    spans = cut(spans.select("_key", "base", "terms", sanitised(F.col("_t"), F.concat("base", "terms")).alias("_s")), "pii-spans")
+    spans = spans.withColumns({"_n": F.length("_s"), "_h": F.sha2("_s", 256)})
+    rows = keyed(docs.select("doc_id", "text")).withColumns({"_len": F.length("_t"), "_own": F.lower(F.hex("_key"))}).join(spans, "_key", "left")
+    return rows.select(
+        "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"), F.coalesce("_s", "_t").alias("sanitised"),
+        F.coalesce("_n", "_len").alias("sanitised_chars"), F.coalesce("_h", "_own").alias("sanitised_sha256"),
+    )
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -211,7 +211,7 @@ def test_op6_terms_and_removal_by_hand(spark):
         left = t
         for a, z, kind in sorted([(a, z, "TERM") for a, z in apart] + [(a, z, "EMAIL") for a, z in mails], reverse=True):
             left = f"{left[:a]}[{kind}]{left[z:]}"
-        assert r["sanitised"] == left
+        assert r["sanitised"] == left and r["sanitised_chars"] == len(left) and r["sanitised_sha256"] == hashlib.sha256(left.encode()).hexdigest()
 
 
 def test_op6_removal_from_a_long_text_is_linear(spark):
