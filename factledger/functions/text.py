@@ -11,6 +11,7 @@ STOP_WORDS = (
     "its", "our", "net", "total", "per",
 )
 GATE_THRESHOLD = 0.20
+# fixed values: what a token of the gate is, and where a sentence ends (not after abbreviations)
 TOKEN = r"\b[a-zA-Z0-9&%/]+\b"
 ABBREVIATION_SAFE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|!)\s"
 

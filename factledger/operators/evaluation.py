@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.functions import numeric, text
@@ -65,6 +65,18 @@ def survivor_class(runs: list[Column]) -> Column:
     )
 
 
+def first_ids(rows: DataFrame, group: str, key: str, n: int = 20) -> DataFrame:
+    """Each group's rows counted, with its first ``n`` ids in order: only these are gathered."""
+    ranked = rows.where(F.col(group).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("_n") <= n)
+    some = ranked.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    return rows.groupBy(group).agg(F.count("*").alias("n")).join(some, group)
+
+
+def pairs_only(rows: DataFrame, pools: tuple[str, ...]) -> DataFrame:
+    """Rows drawn for the subsample that belong to a pool of pairs."""
+    return rows.where(F.coalesce(F.col("subsample"), F.lit(False)) & F.col("pool").isin(*pools))
+
+
 def percentiles(rows: DataFrame, per: str, value: str) -> DataFrame:
     """Exact percentiles with linear interpolation."""
     p = F.expr(f"percentile({value}, array(0.25, 0.5, 0.75, 0.95))")

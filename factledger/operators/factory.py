@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factledger.functions import text
 
-# fixed values: what a changed scale becomes
+# what a changed scale becomes in the older, shorter attack; `attacks.SCALES` has the fixed values
 SCALE_DRIFT = (("million", "billion"), ("billion", "million"), ("thousand", "million"), ("percent", "basis points"))
 
 

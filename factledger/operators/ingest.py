@@ -148,10 +148,10 @@ def align(items: DataFrame, docs: DataFrame, collapsed: bool = False, most_sent:
     return placed.select("item_id", "doc_id", "position", F.explode(F.array_repeat("position", F.col("_copies").cast("int"))).alias("_")).drop("_")
 
 
-def pack(docs: DataFrame, per: str, budget: int) -> DataFrame:
-    """Documents taken in order while they fit the group's budget; one that doesn't fit is skipped and later ones may.
+def pack(docs: DataFrame, per: str, budget: int, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Documents (id, size) taken in ``order`` while they fit the group's budget; one that doesn't fit is skipped and later ones may.
 
-    Skipping makes this a fold, so a group is walked by one task; it holds a running sum and no rows.
+    Documents larger than the budget never fit and aren't walked. Skipping makes this a fold, so a group is walked by one task; it holds a running sum and no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,5 +166,14 @@ def pack(docs: DataFrame, per: str, budget: int) -> DataFrame:
                 taken.append(fits)
             yield rows.assign(taken=taken)
 
-    kinds = ", ".join(f"{n} {t}" for n, t in docs.select(per, "id", "size").dtypes)
-    return docs.select(per, "id", "size").repartition(per).sortWithinPartitions(per, "id").mapInPandas(run, f"{kinds}, taken boolean")
+    walked = docs.select(*dict.fromkeys([per, "id", "size", *order]))
+    kinds = ", ".join(f"{n} {t}" for n, t in walked.dtypes)
+    large = walked.where(F.col("size") > budget).withColumn("taken", F.lit(False))
+    fit = walked.where(~F.coalesce(F.col("size") > budget, F.lit(False)))
+    return fit.repartition(per).sortWithinPartitions(per, *order).mapInPandas(run, f"{kinds}, taken boolean").unionByName(large)
+
+
+def pack_done_first(docs: DataFrame, per: str, budget: int) -> DataFrame:
+    """``docs`` (id, size, done) packed in two passes: what is done already costs nothing more and goes first, in order of id; then the others in order of their hash."""
+    turn = {"_last": (~F.coalesce("done", F.lit(False))).cast("int"), "_draw": F.when(F.coalesce("done", F.lit(False)), "").otherwise(F.md5(F.col("id").cast("string")))}
+    return pack(docs.withColumns(turn), per, budget, ("_last", "_draw", "id")).select(per, "id", "size", "taken")

@@ -12,7 +12,7 @@ from factledger.functions.similarity import token_set
 from factledger.operators import factory
 from factledger.operators.ledger import first_of
 
-# fixed values: what scale and unit words become; of alternatives one is drawn by the record's hash
+# what scale and unit words become here, one of the alternatives by the record's hash; ``attacks.SCALES`` has the values that are fixed
 DRIFT = (("million", ("billion", "thousand")), ("billion", ("million", "trillion")), ("percent", ("basis points", "dollars")), ("usd", ("eur",)))
 SPAN_RATIO = 60  # fixed value: how like an error span has to be
 POOLS = ("pairs_short", "pairs_long", "natural_fake", "natural_true", "axiom")

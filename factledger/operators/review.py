@@ -35,7 +35,7 @@ def intended_lie(diff: Column) -> Column:
 
 
 def prompt_parts(prompt: Column) -> Column:
-    """struct<system, user> of a prompt in turn tags; the user part ends in ``Label:``."""
+    """struct<system, user> of a prompt in turn tags; the user part ends in ``Label:``. The tags are a format, so these patterns are fixed."""
     system = r"(?s)<\|im_start\|>system\n(.*?)<\|im_end\|>"
     user = r"(?s)<\|im_start\|>user\n(.*?)<\|im_end\|>\s*<\|im_start\|>assistant"
     part = lambda pattern, missing: F.when(F.regexp_like(prompt, F.lit(pattern)), stripped(F.regexp_extract(prompt, pattern, 1))).otherwise(missing)

@@ -137,6 +137,36 @@ def survivor_groups(t) -> DataFrame:
     return full.groupBy(S.survivor_class([F.col(f"r{k}") for k in range(1, 5)]).alias("survivors")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+@query("""
+WITH r AS (
+  SELECT user_id, bool_or(value > 20) FILTER (event_type = 'click') AS r1, bool_or(value > 20) FILTER (event_type = 'view') AS r2, bool_or(value > 40) FILTER (event_type = 'purchase') AS r3, bool_or(value > 40) FILTER (event_type = 'error') AS r4
+  FROM events GROUP BY user_id
+), c AS (
+  SELECT user_id, CASE WHEN r1 AND r2 AND r3 AND r4 THEN 'ALL_WIN' WHEN NOT (r1 OR r2 OR r3 OR r4) THEN 'ALL_FAIL' WHEN r4 AND NOT (r1 OR r2 OR r3) THEN 'ONLY_4_WINS' WHEN NOT r1 AND (r2 OR r3 OR r4) THEN 'BASELINE_FAILS' ELSE 'OTHER' END AS survivors
+  FROM r WHERE r1 IS NOT NULL AND r2 IS NOT NULL AND r3 IS NOT NULL AND r4 IS NOT NULL
+)
+SELECT survivors, count(*) AS n, array_to_string((list(user_id ORDER BY user_id))[1:20], ',') AS ids FROM c GROUP BY survivors
+""")
+def survivor_ids(t) -> DataFrame:
+    """The first twenty questions of each survivor group."""
+    won = lambda kind, limit: F.bool_or(F.when(F.col("event_type") == kind, F.col("value") > limit))
+    runs = t("events").groupBy("user_id").agg(won("click", 20).alias("r1"), won("view", 20).alias("r2"), won("purchase", 40).alias("r3"), won("error", 40).alias("r4"))
+    full = runs.where("r1 IS NOT NULL AND r2 IS NOT NULL AND r3 IS NOT NULL AND r4 IS NOT NULL")
+    classed = full.select("user_id", S.survivor_class([F.col(f"r{k}") for k in range(1, 5)]).alias("survivors"))
+    return S.first_ids(classed, "survivors", "user_id").select("survivors", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query("""
+WITH r AS (SELECT user_id, CASE WHEN event_type = 'click' THEN 'pair_short' WHEN event_type = 'view' THEN 'pair_long' ELSE 'axiom' END AS pool, CASE WHEN value < 30 THEN value > 10 END AS subsample, value > 15 AS hit FROM events)
+SELECT pool, count(*) AS n, count(*) FILTER (hit) AS hits FROM r WHERE coalesce(subsample, false) AND pool IN ('pair_short', 'pair_long') GROUP BY pool
+""")
+def subsampled_pairs(t) -> DataFrame:
+    """Hits among the rows of pair pools that were drawn for a subsample."""
+    pool = F.when(F.col("event_type") == "click", "pair_short").when(F.col("event_type") == "view", "pair_long").otherwise("axiom")
+    rows = t("events").select(pool.alias("pool"), F.when(F.col("value") < 30, F.col("value") > 10).alias("subsample"), (F.col("value") > 15).alias("hit"))
+    return S.pairs_only(rows, ("pair_short", "pair_long")).groupBy("pool").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+
+
 @query("SELECT count(*) AS n, round(avg((toxic = 1)::INT), 6) AS rescue_rate FROM labels WHERE (quality = 1) <> (toxic = 1)")
 def rescue_rate(t) -> DataFrame:
     """Of the rows on which two systems differ, the share that the second has right."""

@@ -178,6 +178,22 @@ def greedy_packing(t) -> DataFrame:
     return I.pack(docs, "source", 20_000).where("taken").select("source", F.col("id").alias("doc_id"), "size")
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT source, doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS size, doc_id IN (SELECT doc_id FROM labels) AS done FROM documents WHERE text <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY done DESC, CASE WHEN done THEN '' ELSE md5(doc_id::VARCHAR) END, doc_id) AS k FROM d WHERE size <= 30),
+r AS (
+  SELECT source, doc_id, size, k, size <= 60 AS taken, 60 - CASE WHEN size <= 60 THEN size ELSE 0 END AS room FROM o WHERE k = 1
+  UNION ALL SELECT o.source, o.doc_id, o.size, o.k, o.size <= r.room, r.room - CASE WHEN o.size <= r.room THEN o.size ELSE 0 END FROM r JOIN o ON o.source = r.source AND o.k = r.k + 1
+)
+SELECT source, doc_id, size::INT AS size FROM r WHERE taken
+""")
+def packing_done_first(t) -> DataFrame:
+    """Documents of up to 30 lines packed into 60 lines a source, those that have a label already first."""
+    known = t("labels").select("doc_id").distinct().withColumn("done", F.lit(True))
+    docs = t("documents").where("text <> ''").join(known, "doc_id", "left").select("source", F.col("doc_id").alias("id"), F.size(F.split("text", "\n")).alias("size"), "done").where("size <= 30")
+    return I.pack_done_first(docs, "source", 60).where("taken").select("source", F.col("id").alias("doc_id"), "size")
+
+
 @query("SELECT n_name, y, total, lead(total) OVER (PARTITION BY y ORDER BY n_name) AS below, lag(total) OVER (PARTITION BY y ORDER BY n_name) AS above, "
        "lead(total) OVER (PARTITION BY n_name ORDER BY y) AS \"right\" FROM (SELECT n_name, year(o_orderdate) AS y, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total "
        "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)")
