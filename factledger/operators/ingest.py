@@ -155,10 +155,11 @@ def pack(docs: DataFrame, per: str, budget: int, order: tuple[str, ...] = ("id",
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, left = None, 0
+        group, left = (), 0
         for rows in batches:
             taken = []
             for name, size in zip(rows[per], rows["size"], strict=True):
+                name = (None if pd.isna(name) else name,)
                 if name != group:
                     group, left = name, budget
                 fits = size <= left
