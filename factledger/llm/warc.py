@@ -23,7 +23,6 @@ in one task; no rows give a list without files; further columns of a written fra
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import json
@@ -155,6 +154,40 @@ class Sequence(Member):
         return self.text
 
 
+class Inflated:
+    """The text of a gzip file of any number of members; what stands before a break is handed out before the break is told."""
+
+    def __init__(self, file):
+        self.file, self.out, self.rest, self.inflate, self.broken = file, bytearray(), b"", None, None
+
+    def read(self, n: int) -> bytes:
+        while len(self.out) < n and self.broken is None and self.fill():
+            pass
+        if not self.out and self.broken is not None:
+            raise ValueError(self.broken)
+        got = bytes(self.out[:n])
+        del self.out[:n]
+        return got
+
+    def fill(self) -> bool:
+        data = self.rest or self.file.read(1 << 16)
+        if not data and self.inflate is None:
+            return False
+        self.inflate = self.inflate or zlib.decompressobj(31)
+        try:
+            got = self.inflate.decompress(data, 1 << 20)
+        except zlib.error as e:
+            self.broken = str(e)
+            return False
+        self.out += got
+        self.rest = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        if self.inflate.eof:
+            self.inflate = None
+        elif not data and not got:
+            self.broken = "a gzip member ends too early"
+        return True
+
+
 def members(file, size: int) -> Iterator[Member]:
     at = 0
     while at < size:
@@ -211,7 +244,7 @@ def read_file(path: str, wanted: Callable[[dict], bool], payload: bool, verify:
         start = file.read(GZIP.size)
         file.seek(0)
         sized = len(start) == GZIP.size and start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"sl"
-        records = members(file, size) if sized else sequence(gzip.GzipFile(fileobj=file) if start[:2] == b"\x1f\x8b" else file)
+        records = members(file, size) if sized else sequence(Inflated(file) if start[:2] == b"\x1f\x8b" else file)
         try:
             for one in records:
                 if (row := rows(one, wanted, payload, verify)) is not None:
