@@ -8,7 +8,7 @@ and select (occurrence) inflate a block or two of each plane. The files are rows
 so they lie wherever Spark can write.
 
 A text is encoded in chunks. Byte-level BPE never joins what stands before a space with what follows, so
-chunks between spaces are encoded alone and remembered; texts with unusual white space are cut more
+chunks between spaces are encoded alone, and their words remembered, within bounds; texts with unusual white space are cut more
 carefully. The ids are those of encoding the whole text.
 
 Defined results: null and empty texts give the end id alone; null doc_ids come first; repeated rows are
@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-RARE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")  # unusual white space, and the mark used below
+#: For Arrow: unusual white space, and the mark used below; spaces beside other white space; line breaks beside other white space.
+RARE = r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]"
+MANY_SPACES, BREAKS_BY_SPACE = r"  | [\n\t\r]|[\n\t\r] $", r"\n[ \n\t\r]|[ \t\r]\n"
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 #: Byte-level BPE writes each byte as a letter: printable Latin-1 bytes as themselves, the others from 256 on.
@@ -49,14 +51,21 @@ LETTERS[0] = 32  # the mark between words
 
 def marks(text: str) -> str | None:
     """``text`` with ``\\0`` between parts that byte-level BPE encodes independently; None if it has such a character."""
-    if RARE.search(text):
-        if "\0" in text:
-            return None
-    elif not ("  " in text or " \n" in text or " \t" in text or " \r" in text or text.endswith(("\n ", "\t ", "\r "))):
-        return text.replace(" ", "\0 ")
-    return "\0".join(BEFORE_SPACE.split(text))
+    return None if "\0" in text else "\0".join(BEFORE_SPACE.split(text))
 
 
+def marked(texts: pa.Array) -> pa.Array:
+    """``marks`` of all texts; where no white space stands beside other, Arrow sets them, also around line breaks between visible characters."""
+    rare, many, beside = (pc.match_substring_regex(texts, p) for p in (RARE, MANY_SPACES, BREAKS_BY_SPACE))
+    careful = pc.or_(rare, many)
+    lines = pc.if_else(beside, texts, pc.replace_substring(texts, "\n", "\0\n\0"))
+    out = pc.replace_substring(lines, " ", "\0 ")
+    some = pa.array([marks(t) for t in texts.filter(careful).to_pylist()], texts.type)
+    return pc.replace_with_mask(out, careful, some) if len(some) else out
+
+
+#: Letters after at most one space are one pre-token; a full stop or comma after them, at the end of a chunk, is another.
+LETTERS_ONLY, LETTERS_AND_STOP = r"^ ?\pL+$", r"^ ?\pL+[.,]$"
 STOPS = frozenset(".,")
 
 
@@ -85,82 +94,104 @@ def _split(chunk: str) -> tuple[str, ...]:
 
 
 class Encoder:
-    """A tokenizer file with a bounded memory of chunks: an Arrow array of them, and where their ids lie.
+    """A tokenizer file with a bounded memory of words: an Arrow array of them, and where their ids lie.
 
-    Each batch's distinct chunks are looked up in one call; when the memory is full, the chunks of the latest batch stay.
+    Each batch's distinct words are looked up in one call; when the memory is full, the words of the latest batch stay.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000, call: int = 10_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.call = Tokenizer.from_file(path), most, call  # words of one call are held with all that the library keeps of them
         vocabulary = self.tokenizer.get_vocab()
         self.letters = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.letters[list(vocabulary.values())] = list(map(len, vocabulary))
         self.by_space = Tokenizer(self.tokenizer.model)
         self.by_space.pre_tokenizer = WhitespaceSplit()
+        self.tokenizer.model._resize_cache(0)  # words come here once, so the library's own memory of them only costs
         self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known = pa.array([], pa.large_string())
         self.ids, self.starts, self.sizes = np.zeros(0, self.wide), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the words, and each word's start and size in them.
-
-        Letters after at most one space are one pre-token: the tokenizer's model takes all of them in one call.
-        """
-        plain = np.fromiter((w[w[:1] == " " :].isalpha() for w in words), bool, len(words))
-        others = self.tokenizer.encode_batch_fast([words[k] for k in np.flatnonzero(~plain)], add_special_tokens=False)
-        sizes = np.empty(len(words), np.int64)
-        sizes[~plain] = np.fromiter((len(e.ids) for e in others), np.int64, len(others))
-        ids = np.zeros(0, self.wide)
-        if plain.any():
-            raw = np.frombuffer("\0".join([words[k] for k in np.flatnonzero(plain)]).encode(), np.uint8)
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, and each word's start and size in them; the tokenizer's model takes all words of letters in few calls."""
+        letters = pc.match_substring_regex(words, LETTERS_ONLY)
+        plain = letters.to_numpy(zero_copy_only=False)
+        found, sizes = [np.zeros(0, self.wide)], np.empty(len(words), np.int64)
+        some, own = words.filter(letters), []
+        for at in range(0, len(some), self.call):
+            raw = np.frombuffer("\0".join(some[at : at + self.call].to_pylist()).encode(), np.uint8)
             one = self.by_space.encode_batch_fast([LETTERS[raw].tobytes().decode("utf-16-le")], add_special_tokens=False)[0]
             ids = np.array(one.ids, self.wide)
             gaps = np.flatnonzero(raw == 0)
             # a word ends where its letters end
             ends = np.searchsorted(np.cumsum(self.letters[ids]), np.append(gaps, len(raw)) - np.arange(len(gaps) + 1)) + 1
-            sizes[plain] = np.diff(ends, prepend=0)
-        starts = np.empty(len(words), np.int64)
-        for some, base in ((plain, 0), (~plain, len(ids))):
-            starts[some] = base + np.cumsum(sizes[some]) - sizes[some]
-        return np.concatenate((ids, np.array(list(itertools.chain.from_iterable(e.ids for e in others)), self.wide))), starts, sizes
-
-    def _learn(self, distinct: pa.Array) -> np.ndarray:
-        """The place in the memory of each of the distinct chunks; new ones are encoded first."""
-        if len(self.known) + len(distinct) > self.most and len(self.known):
-            places = pc.drop_null(pc.index_in(distinct, value_set=self.known)).to_numpy()
-            self.ids, self.sizes = gather(self.ids, self.starts, self.sizes, places)
-            self.starts, self.known = np.cumsum(self.sizes) - self.sizes, self.known.take(pa.array(places))
-        places = pc.index_in(distinct, value_set=self.known)
-        new = distinct.filter(pc.is_null(places))
-        split = [_split(c) for c in new.to_pylist()]
-        words = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string()).dictionary_encode()
-        ids, starts, sizes = self._encode(words.dictionary.to_pylist())
-        ids, lengths = gather(ids, starts, sizes, words.indices.to_numpy())
-        edges = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))))]
-        self.starts = np.concatenate((self.starts, len(self.ids) + edges[:-1]))
-        self.sizes, self.ids = np.concatenate((self.sizes, np.diff(edges))), np.concatenate((self.ids, ids))
-        unseen = pc.is_null(places).to_numpy(zero_copy_only=False)
+            own.append(np.diff(ends, prepend=0))
+            found.append(ids)
+        sizes[plain] = np.concatenate([np.zeros(0, np.int64), *own])
+        some, own = words.filter(pc.invert(letters)), []
+        for at in range(0, len(some), self.call):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(some[at : at + self.call].to_pylist(), add_special_tokens=False)]
+            own += map(len, coded)
+            found.append(np.fromiter(itertools.chain.from_iterable(coded), self.wide))
+        sizes[~plain] = own
+        starts, base = np.empty(len(words), np.int64), 0
+        for kind in (plain, ~plain):
+            ends = np.cumsum(sizes[kind])
+            starts[kind] = base + ends - sizes[kind]
+            base += int(ends[-1]) if len(ends) else 0
+        return np.concatenate(found), starts, sizes
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """The place in the memory of each of the distinct words; new ones are encoded first."""
+        places = pc.index_in(words, value_set=self.known)
+        known = pc.is_valid(places).to_numpy(zero_copy_only=False)
         out = pc.fill_null(places, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        out[unseen] = len(self.known) + np.arange(len(new))
+        if len(self.known) + len(words) > self.most and len(self.known):
+            held = out[known]
+            self.ids, self.sizes = gather(self.ids, self.starts, self.sizes, held)
+            self.starts, self.known = np.cumsum(self.sizes) - self.sizes, self.known.take(pa.array(held))
+            out[known] = np.arange(len(held))
+        new = words.filter(pa.array(~known))
+        ids, starts, sizes = self._encode(new)
+        out[~known] = len(self.known) + np.arange(len(new))
+        self.starts, self.sizes, self.ids = np.concatenate((self.starts, len(self.ids) + starts)), np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
         self.known = pa.concat_arrays([self.known, new])
         return out
 
+    def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after the other, and how many each has; words that chunks share are looked up once."""
+        alone, stopped = pc.match_substring_regex(chunks, LETTERS_ONLY), pc.match_substring_regex(chunks, LETTERS_AND_STOP)
+        ended = chunks.filter(stopped)
+        split = [_split(c) for c in chunks.filter(pc.invert(pc.or_(alone, stopped))).to_pylist()]
+        pieces = [chunks.filter(alone), pc.utf8_slice_codeunits(ended, 0, -1), pc.utf8_slice_codeunits(ended, -1), pa.array(list(itertools.chain.from_iterable(split)), pa.large_string())]
+        words = pa.concat_arrays(pieces).dictionary_encode()
+        codes = np.split(words.indices.to_numpy(), np.cumsum(list(map(len, pieces)))[:-1])
+        one, two = (x.to_numpy(zero_copy_only=False) for x in (alone, stopped))
+        counts = np.where(two, 2, 1)
+        counts[~(one | two)] = list(map(len, split))
+        edges = np.concatenate(([0], np.cumsum(counts)))
+        order, rest = np.empty(edges[-1], np.int64), np.ones(edges[-1], bool)
+        for places, some in ((edges[:-1][one], codes[0]), (edges[:-1][two], codes[1]), (edges[:-1][two] + 1, codes[2])):
+            order[places], rest[places] = some, False
+        order[rest] = codes[3]
+        places = self._learn(words.dictionary)
+        ids, lengths = gather(self.ids, self.starts, self.sizes, places[order])
+        return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[edges])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
-        marked = [marks(t) for t in texts]
-        parts = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), "\0")
-        coded = parts.flatten().dictionary_encode()
-        places = self._learn(coded.dictionary)[coded.indices.to_numpy()]
-        ids, lengths = gather(self.ids, self.starts, self.sizes, places)
-        edges = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))]
+        parts = pc.split_pattern(marked(pa.array(texts, pa.large_string())), "\0")
+        coded = pc.fill_null(parts, []).flatten().dictionary_encode()
+        own, sizes = self._encode_chunks(coded.dictionary)
+        ids, lengths = gather(own, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy())
+        edges = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy())))]
         counts = np.diff(edges)
-        if None in marked:  # a text that has the mark itself is encoded in one piece
+        if parts.null_count:  # a text that has the mark itself is encoded in one piece
             pieces = np.split(ids, edges[1:-1])
-            for k in (k for k, m in enumerate(marked) if m is None):
+            for k in np.flatnonzero(parts.is_null()):
                 pieces[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.wide)
             ids, counts = np.concatenate(pieces), np.array(list(map(len, pieces)))
         return ids, counts
@@ -291,8 +322,8 @@ class WaveletMatrix:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], enough: int = 16 << 20) -> Iterator[tuple[list[int | None], list[str]]]:
-    """doc_ids and texts of about ``enough`` bytes: the more texts, the more of their words are the same."""
+def _gathered(batches: Iterator[pa.RecordBatch], enough: int = 6 << 20) -> Iterator[tuple[list[int | None], list[str]]]:
+    """doc_ids and texts of about ``enough`` bytes: the more texts, the more of their words are the same, and the more is held at once."""
     doc_ids: list[int | None] = []
     texts: list[str] = []
     size = 0

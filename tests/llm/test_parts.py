@@ -59,6 +59,20 @@ def test_chunked_encoding_is_that_of_whole_texts():
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_the_encoder_remembers_words_however_they_stand():
+    """A stop, a line break or another batch makes no new words, and what the library holds at once is bounded."""
+    encoder, asked = tokens.Encoder(queries.tokenizer_path(), call=3), []
+    known = encoder._encode
+    encoder._encode = lambda words: asked.append(words.to_pylist()) or known(words)
+    texts = ["the house stood. the house, old\nthe house.\nold\n", "\nstood house\n\nthe. house.\t old", "", "a  house\n old. ", "the\0house", "the\u2028house. old\x85", "Éé house, é."]
+    for batch in (texts, texts[::-1]):
+        ids, counts = encoder.encode(batch)
+        want = [e.ids for e in encoder.tokenizer.encode_batch(batch, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    words = [w for some in asked for w in some]
+    assert len(words) == len(set(words)) and not asked[1] and " house" in words and not {" house.", " house,", " stood."} & set(words)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(4)
     text = np.concatenate([rng.integers(97, 100, 300), np.full(350, 97), rng.integers(97, 99, 200), np.zeros(20)]).astype(np.uint8)
