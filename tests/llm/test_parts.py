@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -73,6 +74,28 @@ def test_the_encoder_remembers_words_however_they_stand():
     assert len(words) == len(set(words)) and not asked[1] and " house" in words and not {" house.", " house,", " stood."} & set(words)
 
 
+def test_what_the_encoder_holds_at_once_is_bounded():
+    encoder, sizes = tokens.Encoder(queries.tokenizer_path(), most=2000, call=100), []
+
+    class Seen:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, words, **how):
+            sizes.append(sum(len(w.split(" ")) for w in words))
+            return self.inner.encode_batch_fast(words, **how)
+
+    encoder.by_space = Seen(encoder.by_space)
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    for at in range(0, 10_000, 1000):
+        encoder.encode([" ".join(map(name, range(at, at + 1000)))])
+        assert len(encoder.known) <= 2000
+    assert sum(sizes) >= 10_000 and max(sizes) <= 201  # a space before a word is a letter of it
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(64)), "text": ["x" * (1 << 18)] * 64})
+    held = [sum(map(len, texts)) for _, texts in tokens._gathered(batch.slice(k, 1) for k in range(64))]
+    assert sum(held) == 16 << 20 and max(held) < 8 << 20
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(4)
     text = np.concatenate([rng.integers(97, 100, 300), np.full(350, 97), rng.integers(97, 99, 200), np.zeros(20)]).astype(np.uint8)
