@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factledger.functions.once import once
+
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DASHES = ("—", "-", "–")
 
@@ -85,7 +87,7 @@ def canonical(value: Column) -> Column:
 def number_values(text: Column) -> Column:
     """Distinct values of the numbers in a text, as they stand and multiplied by their suffix; money signs, commas and % go."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "$%,", "  ")
-    found = F.arrays_zip(F.regexp_extract_all(plain, F.lit(SCALED_NUMBER), F.lit(1)).alias("n"), F.regexp_extract_all(plain, F.lit(SCALED_NUMBER), F.lit(2)).alias("s"))
+    found = once(plain, lambda p: F.arrays_zip(F.regexp_extract_all(p, F.lit(SCALED_NUMBER), F.lit(1)).alias("n"), F.regexp_extract_all(p, F.lit(SCALED_NUMBER), F.lit(2)).alias("s")))
     by = F.create_map(*(F.lit(x) for pair in SCALES.items() for x in pair))
     both = F.transform(found, lambda x: F.array(x["n"].cast("double"), x["n"].cast("double") * F.coalesce(F.try_element_at(by, x["s"]), F.lit(1.0))))
     return F.array_distinct(F.flatten(both))
@@ -119,11 +121,14 @@ def result_text(value: Column) -> Column:
 
 def derivable_from(target: Column, values: Column, share: float = 0.01) -> Column:
     """Whether a number comes from two of ``values``: sum, difference, change in percent, share in percent, or ratio."""
-    near = lambda x: F.abs(x - target) <= F.greatest(F.abs(target) * share, F.lit(0.01))
-    ratio = lambda x, y: F.try_divide(x, y)
-    ways = lambda x, y: F.coalesce(
-        near(x + y) | near(x - y) | F.coalesce(near(ratio(x - y, F.abs(y)) * 100) | near(ratio(x, y) * 100) | near(ratio(x, y)), F.lit(False)), F.lit(False)
-    )
-    places = F.sequence(F.lit(1), F.size(values))
-    pair = lambda i: F.exists(places, lambda j: (i != j) & ways(F.element_at(values, i), F.element_at(values, j)))
-    return F.when(F.size(values) < 2, F.lit(False)).otherwise(F.exists(places, pair))
+
+    def found(given: Column) -> Column:
+        n, most, places = given["n"], given["most"], given["places"]
+        near = lambda x: F.abs(x - n) <= most
+        percent = lambda x, y: near(F.try_divide(x - y, F.abs(y)) * 100) | near(F.try_divide(x, y) * 100) | near(F.try_divide(x, y))
+        ways = lambda x, y: F.coalesce(near(x + y) | near(x - y) | F.coalesce(percent(x, y), F.lit(False)), F.lit(False))
+        return F.exists(places, lambda a: F.exists(places, lambda b: (a["i"] != b["i"]) & ways(a["v"], b["v"])))
+
+    places = F.transform(values, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    most = F.greatest(F.abs(target) * share, F.lit(0.01))
+    return F.when(F.size(values) < 2, F.lit(False)).otherwise(once(F.struct(target.alias("n"), most.alias("most"), places.alias("places")), found))

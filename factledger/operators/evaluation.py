@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.functions import numeric, text
+from factledger.functions.once import once
+
 
 def pairs(rows: DataFrame) -> DataFrame:
     """family, kind, pool and the predictions of parent and child, from (family, role, pool, kind, pred)."""
@@ -136,9 +138,9 @@ def hallucinated(answer: Column, context: Column, query: Column, correct: Column
     """Whether a wrong answer has a number that neither context nor query has and that two of the context's don't give; never where
     retrieval failed."""
     said, known = numeric.number_values(F.regexp_replace(answer, "(?s)```.*?```", "")), numeric.number_values(context)
-    free = F.array_union(F.array_union(known, numeric.number_values(query)), F.array(F.lit(0.0), F.lit(1.0), F.lit(100.0)))
-    made_up = F.exists(said, lambda n: ~F.array_contains(free, n) & ~numeric.derivable_from(n, known))
-    return retrieved & ~correct & made_up
+    free = lambda k: F.array_union(F.array_union(k, numeric.number_values(query)), F.array(F.lit(0.0), F.lit(1.0), F.lit(100.0)))
+    made_up = lambda k: once(free(k), lambda f: F.exists(said, lambda n: ~F.array_contains(f, n) & ~numeric.derivable_from(n, k)))
+    return retrieved & ~correct & once(known, made_up)
 
 
 def with_global(rates: DataFrame, per: str, n: str, rate: str) -> DataFrame:

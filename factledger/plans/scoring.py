@@ -90,7 +90,7 @@ SELECT l_orderkey, retrieved AND NOT correct AND NOT known AS hallucinated FROM
 """)
 def hallucination_flag(t) -> DataFrame:
     """Wrong answers with a number that neither context nor arithmetic gives."""
-    q = t("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_quantity").cast("int").cast("string")).alias("q"))
+    q = t("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_quantity").cast("int")).alias("q")).withColumn("q", F.transform("q", lambda x: x.cast("string")))
     n = (F.col("l_orderkey") % 200 + 3).cast("string")
     flag = S.hallucinated(F.concat(F.lit("It is "), n), F.array_join("q", " and "), F.lit("how many"), F.array_contains("q", n), F.col("l_orderkey") % 7 != 0)
     return q.select("l_orderkey", flag.alias("hallucinated"))

@@ -104,3 +104,16 @@ def test_survivors(spark):
 def test_year_guard(spark):
     years = retrieval.guarded_years(F.array(F.lit("2021"), F.lit("2022"), F.lit("2019")), F.lit("growth in 2021"), F.array(F.lit("2019")))
     assert spark.range(1).select(years.alias("x")).first()["x"] == ["2021", "2019"]
+
+
+def test_numbers_of_a_context_are_read_once(spark):
+    """However many pairs are tried, the plan reads a context's numbers in one place; the flags are those of each pair by hand."""
+    context = [3.0, 8.0, 20.0, 20.5]
+    near = lambda x, n: abs(x - n) <= max(abs(n) * 0.01, 0.01)
+    ways = lambda x, y: (x + y, x - y, (x - y) / abs(y) * 100, x / y * 100, x / y)
+    by_hand = {n: not (n in (*context, 100) or any(near(w, n) for i, x in enumerate(context) for j, y in enumerate(context) if i != j for w in ways(x, y))) for n in range(2, 300)}
+    rows = spark.createDataFrame([(n, f"It is {n}", "3 and 8 and 20 and 20.5") for n in by_hand] + [(-1, None, "3 and 8"), (-2, "It is 7", None), (-3, "It is 7", "")], "n long, said string, context string")
+    found = rows.select("n", evaluation.hallucinated(F.col("said"), F.col("context"), F.lit("how many"), F.lit(False), F.lit(True)).alias("flag"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 6
+    flags = {r["n"]: r["flag"] for r in found.collect()}
+    assert [flags.pop(n) for n in (-1, -2, -3)] == [False, True, True] and flags == by_hand
