@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factledger.functions.once import once
+
 # fixed values: words that carry no signal for the lexical gate
 STOP_WORDS = (
     "the", "a", "an", "of", "in", "and", "or", "for", "to", "by", "on", "at", "from", "with", "as", "is", "are", "was", "were",
@@ -64,8 +66,7 @@ def strip_reasoning(text: Column) -> Column:
 
 
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
-    lowered = F.lower(text)
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(lowered, p))
+    return once(F.lower(text), lambda lowered: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(lowered, p)))
 
 
 def has_word(text: Column, word: str) -> Column:
@@ -86,8 +87,8 @@ def collapsed(quote: Column) -> Column:
 
 def exact_position(source: Column, quote: Column) -> Column:
     """Offset (from 0) of the quote, in the text or in the text with its white space collapsed; -1 if absent."""
-    plain = F.instr(source, quote) - 1
-    return F.when(plain >= 0, plain).otherwise(F.instr(F.regexp_replace(source, r"\s+", " "), collapsed(quote)) - 1)
+    loose = lambda at: F.when(at >= 0, at).otherwise(F.instr(F.regexp_replace(source, r"\s+", " "), collapsed(quote)) - 1)
+    return once(F.instr(source, quote) - 1, loose)
 
 
 def word_count_estimate(text: Column) -> Column:
@@ -122,11 +123,15 @@ def without_citations(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.regexp_replace(text, r"(?i)\(source:.*?\)", "")), r"\.+$", ""))
 
 
-def partial_position(source: Column, quote: Column) -> Column:
-    """Offset of the longest number of a quote (first of the longest, two characters or more) in the source; -1 if absent."""
+def longest_number(quote: Column) -> Column:
+    """The longest number of a quote (first of the longest, two characters or more); empty if there is none."""
     numbers = F.regexp_extract_all(quote, F.lit(r"\d[\d,.]+"), F.lit(0))
-    longest = F.aggregate(numbers, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    return F.when(longest == "", -1).otherwise(F.instr(source, longest) - 1)
+    return F.aggregate(numbers, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+
+
+def partial_position(source: Column, quote: Column) -> Column:
+    """Offset of the longest number of a quote in the source; -1 if absent."""
+    return once(longest_number(quote), lambda n: F.when(n == "", -1).otherwise(F.instr(source, n) - 1))
 
 
 def core_tokens(metric: Column) -> Column:
@@ -137,8 +142,9 @@ def core_tokens(metric: Column) -> Column:
 def semantic_support(metric: Column, context: Column) -> Column:
     """Share of a metric's core tokens in the context, give or take a final s; initials such as I.R.S. are joined. Null without core tokens."""
     have, core = words(F.regexp_replace(context, r"(?<=[a-zA-Z])\.(?=[a-zA-Z])", "")), core_tokens(metric)
-    found = F.filter(core, lambda w: F.array_contains(have, w) | (F.endswith(w, F.lit("s")) & F.array_contains(have, F.regexp_replace(w, "s$", ""))) | F.array_contains(have, F.concat(w, F.lit("s"))))
-    return F.try_divide(F.size(found), F.size(core))
+    said = lambda have, w: F.array_contains(have, w) | (F.endswith(w, F.lit("s")) & F.array_contains(have, F.regexp_replace(w, "s$", ""))) | F.array_contains(have, F.concat(w, F.lit("s")))
+    share = lambda x: F.try_divide(F.size(F.filter(x["core"], lambda w: said(x["have"], w))), F.size(x["core"]))
+    return once(F.struct(have.alias("have"), core.alias("core")), share)
 
 
 def alignment_confidence(status: Column, support: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import difflib
 import re
 from collections import Counter
+from functools import lru_cache
+from itertools import islice
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,43 +25,73 @@ TOKEN = re.compile(r"\w+|\S")
 RULE_LINE = r"^\|?\s*:?-+:?\s*\|"
 
 
+@lru_cache(1024)
+def _asked(quote: str) -> tuple[Counter, tuple[str, ...], tuple[int, ...]]:
+    """A quote's tokens with their counts, its characters, and theirs."""
+    letters = Counter(quote)
+    return Counter(w.lower() for w in TOKEN.findall(quote)), tuple(letters), tuple(letters.values())
+
+
+def _common(quote: str, window: str) -> int:
+    return common_length(letter_bits(quote), len(quote), window)
+
+
+def _matching(quote: str, window: str) -> int:
+    return sum(b.size for b in difflib.SequenceMatcher(None, quote, window, autojunk=False).get_matching_blocks())
+
+
+_common_again, _matching_again = lru_cache(1024)(_common), lru_cache(1024)(_matching)  # texts repeat their phrases
+
+
 def fuzzy_interval(quote: str, source: str) -> tuple[int, int] | None:
     """Where the window of a source that recalls most of a quote's characters stands, if that is ``LEAST_RECALL`` or more; the first of the best.
 
-    Windows without enough of the quote's tokens go by counting, over all windows at once. What a window recalls is the size of its
-    matching blocks; a common subsequence is never shorter, so blocks are looked for only where that could beat the best so far.
+    Windows without enough of the quote's tokens go by counting, as tokens enter and leave. What a window recalls is the size of its
+    matching blocks. A common subsequence is never shorter, and shared characters are never fewer, so blocks are looked for only where these could
+    beat the best so far; windows with most tokens come first.
     """
-    asked = Counter(w.lower() for w in TOKEN.findall(quote))
-    places = [(m.start(), m.end()) for m in TOKEN.finditer(source)]
-    total = sum(asked.values())
-    width = min(max(total, WINDOW), len(places))
+    asked, letters, counts = _asked(quote)
+    tokens = TOKEN.findall(source)
+    total = asked.total()
+    width = min(max(total, WINDOW), len(tokens))
     if not total or not width:
         return None
-    codes = {w: i for i, w in enumerate(asked)}
-    lowered = [codes.get(source[a:z].lower(), -1) for a, z in places]
-    shared = np.zeros(len(places) - width + 1, np.int64)
-    at = np.array(lowered)
-    for word, code in codes.items():
-        seen = np.concatenate(([0], np.cumsum(at == code)))
-        shared += np.minimum(seen[width:] - seen[:-width], asked[word])
-    bits, best, where = letter_bits(quote), 0, None
-    for i in np.flatnonzero(shared / total >= LEAST_OVERLAP).tolist():
-        window = " ".join(source[a:z] for a, z in places[i : i + width])
-        most = common_length(bits, len(quote), window)
-        if most <= best or most / len(quote) < LEAST_RECALL:
+    words = [w.lower() for w in tokens]
+    left, shared, likely = dict(asked), 0, []
+    for i, word in enumerate(words):
+        if word in left:
+            shared += left[word] > 0
+            left[word] -= 1
+        if i >= width and (gone := words[i - width]) in left:
+            left[gone] += 1
+            shared -= left[gone] > 0
+        if i >= width - 1 and shared / total >= LEAST_OVERLAP:
+            likely.append((-shared, i - width + 1))
+    best, where = 0, len(tokens)
+    beaten = lambda most, i: most / len(quote) < LEAST_RECALL or most < best or (most == best and i > where)
+    for _, i in sorted(likely):
+        window = " ".join(tokens[i : i + width])
+        common, matching = (_common_again, _matching_again) if len(window) < 1000 else (_common, _matching)
+        if beaten(sum(map(min, map(window.count, letters), counts)), i) or beaten(common(quote, window), i):
             continue
-        found = sum(b.size for b in difflib.SequenceMatcher(None, quote, window, autojunk=False).get_matching_blocks())
-        if found > best and found / len(quote) >= LEAST_RECALL:
-            best, where = found, (places[i][0], places[i + width - 1][1])
-    return where
+        found = matching(quote, window)
+        if not beaten(found, i):
+            best, where = found, i
+    if not best:
+        return None
+    places = list(islice(TOKEN.finditer(source), where, where + width))
+    return places[0].start(), places[-1].end()
 
 
 @F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 def _fuzzy(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
-    found = [fuzzy_interval(q or "", s or "") or (None, None) for q, s in zip(quotes, sources, strict=True)]
+    found = [fuzzy_interval(q, s) or (None, None) if q and s else (None, None) for q, s in zip(quotes, sources, strict=True)]
     return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
 
 
+_fuzzy = _fuzzy.asNondeterministic()  # it isn't, but a filter on what it finds would be pushed below it, and so run it twice
+
+
 def sanitise(facts: DataFrame) -> DataFrame:
     """``facts`` with a scale (1 if null) and a quote that is short and no piece of the schema."""
     quote = F.coalesce("grounding_quote", F.lit(""))
@@ -75,26 +106,29 @@ def ground(facts: DataFrame) -> DataFrame:
     like words; the last runs for those that the others leave only. Its metric must be supported by the source or its section.
     Null sources hold nothing, so their facts are UNALIGNED, as are facts without a quote; null metrics have no support.
     """
-    quote = F.trim(F.coalesce("grounding_quote", F.lit("")))
-    given, facts = facts.columns, facts.withColumns({"_given": F.col("source"), "source": F.coalesce("source", F.lit(""))})
-    exact, partial = text.exact_position(F.col("source"), quote), text.partial_position(F.col("source"), quote)
-    placed = facts.withColumns({"_quote": quote, "_exact": exact, "_partial": partial})
-    placed = placed.withColumn("_kind", F.when(F.col("_quote") == "", "UNALIGNED").when(F.col("_exact") >= 0, "EXACT").when(F.col("_partial") >= 0, "PARTIAL"))
-    longest = F.aggregate(F.regexp_extract_all("_quote", F.lit(r"\d[\d,.]+"), F.lit(0)), F.lit(0), lambda n, x: F.greatest(n, F.length(x)))
-    done = placed.where("_kind IS NOT NULL").withColumns({
-        "start": F.when(F.col("_kind") == "EXACT", F.col("_exact")).when(F.col("_kind") == "PARTIAL", F.col("_partial")).cast("int"),
-        "end": F.when(F.col("_kind") == "EXACT", F.least(F.col("_exact") + F.length("_quote"), F.length("source"))).when(F.col("_kind") == "PARTIAL", F.col("_partial") + longest).cast("int"),
-    })
-    rest = placed.where("_kind IS NULL").withColumn("_at", _fuzzy("_quote", "source"))
-    rest = rest.withColumns({"start": F.col("_at.start"), "end": F.col("_at.end"), "_kind": F.when(F.col("_at.start").isNull(), "UNALIGNED").otherwise("FUZZY")}).drop("_at")
-    both = done.unionByName(rest)
+    given, facts = facts.columns, facts.withColumns({"_given": F.col("source"), "source": F.coalesce("source", F.lit("")), "_quote": F.trim(F.coalesce("grounding_quote", F.lit("")))})
     metric = F.concat_ws(" ", "metric_name", F.nullif("text_nuance", F.lit("")))
     support = text.semantic_support(metric, F.concat_ws(" ", "source", "section"))
-    sure = F.when(F.col("_kind") != "UNALIGNED", text.alignment_confidence(F.col("_kind"), support))
-    status = F.when(sure.isNull(), "UNALIGNED").otherwise(F.col("_kind"))
-    none = F.lit(None).cast("int")
-    out = {"alignment_status": status, "start": F.when(sure.isNull(), none).otherwise(F.col("start")), "end": F.when(sure.isNull(), none).otherwise(F.col("end")), "confidence": F.coalesce(sure, F.lit(0.0))}
-    return both.withColumns(out).withColumn("source", F.col("_given")).select(*given, *out)
+    placed = facts.withColumns({"_exact": text.exact_position(F.col("source"), F.col("_quote")), "_support": support})
+    placed = placed.withColumn("_number", F.when(F.col("_exact") < 0, text.longest_number(F.col("_quote"))))
+    placed = placed.withColumn("_partial", F.when(F.col("_number") != "", F.instr("source", F.col("_number")) - 1).otherwise(-1))
+    placed = placed.withColumn("_kind", F.when(F.col("_quote") == "", "UNALIGNED").when(F.col("_exact") >= 0, "EXACT").when(F.col("_partial") >= 0, "PARTIAL"))
+    left = F.col("_kind").isNull()
+    placed = placed.withColumn("_at", _fuzzy(F.when(left, F.col("_quote")), F.when(left, F.col("source"))))
+    kind = F.coalesce("_kind", F.when(F.col("_at.start").isNull(), "UNALIGNED").otherwise("FUZZY"))
+    sure = F.when(kind != "UNALIGNED", text.alignment_confidence(kind, F.col("_support")))
+    placed = placed.withColumns({"_sure": sure, "_kind": kind})
+    start = F.when(F.col("_kind") == "EXACT", F.col("_exact")).when(F.col("_kind") == "PARTIAL", F.col("_partial")).otherwise(F.col("_at.start"))
+    end = (
+        F.when(F.col("_kind") == "EXACT", F.least(F.col("_exact") + F.length("_quote"), F.length("source"))).when(F.col("_kind") == "PARTIAL", F.col("_partial") + F.length("_number"))
+        .otherwise(F.col("_at.end"))
+    )
+    held = F.col("_sure").isNotNull()
+    out = {
+        "alignment_status": F.when(held, F.col("_kind")).otherwise("UNALIGNED"), "start": F.when(held, start).cast("int"), "end": F.when(held, end).cast("int"),
+        "confidence": F.coalesce("_sure", F.lit(0.0)),
+    }
+    return placed.withColumns(out).withColumn("source", F.col("_given")).select(*given, *out)
 
 
 def merge_passes(facts: DataFrame, per: list[str]) -> DataFrame:

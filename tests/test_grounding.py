@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from factledger import plans
 from factledger.functions import numeric, similarity, text
 from factledger.operators import evaluation, grounding
 
@@ -141,3 +142,23 @@ def test_token_set_ratio():
         a, b = (" ".join("".join(rnd.choice("abc9é") for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(0, 5))) for _ in "ab")
         assert abs(similarity.token_set_ratio(a, b) - ratio_by_hand(a, b)) < 1e-9, (a, b)
     assert similarity.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100 and similarity.token_set_ratio("x" * 300, "y" * 300) == 0
+
+
+def test_few_windows_are_matched_and_texts_are_read_once(spark, monkeypatch):
+    """One window a text at most is compared block by block where the others can't win; the plan has one pass over the texts."""
+    tail = "while the clerk of the building segment kept all of the other papers of that office in good order for the whole time"
+    quote = tail.replace("papers", "paperss").replace("kept", "keeps")
+    sources = [f"Revenues of order were {i}.25 dollars, {tail}." for i in range(20)]
+    want, made = [interval_by_hand(quote, s) for s in sources], []
+
+    class Counted(difflib.SequenceMatcher):
+        def __init__(self, *args, **more):
+            made.append(1)
+            super().__init__(*args, **more)
+
+    monkeypatch.setattr(grounding.difflib, "SequenceMatcher", Counted)
+    assert [grounding.fuzzy_interval(quote, s) for s in sources] == want and all(want)
+    assert len(made) <= len(sources)
+    for name in ("ledger_from_proposals", "grounded_facts", "alignment_counts"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("_fuzzy(") == 1 and plan.count("regexp_replace") <= 8
