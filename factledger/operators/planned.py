@@ -15,38 +15,44 @@ LINKED = 5
 NO_FACTS, NO_CHUNKS = "No structured facts found.", "No source text available."
 
 
-def facts_of(plans: DataFrame, ledger: DataFrame, limit: int = 10, most_open: int = 10_000) -> DataFrame:
+def facts_of(plans: DataFrame, ledger: DataFrame, limit: int = 10, most_open: int | None = None, most_sent: int = 10_000) -> DataFrame:
     """query_id, rank and the ledger's columns: the first ``limit`` facts of each plan in ledger order (``ord``, then row_id).
 
     Plans: query_id, entity_ids, record, company, years, metrics, nuance; null or empty parts don't filter. With entities and a record either may fit. A fact has to
     belong to the plan's company or to nobody in particular, and to be aligned. Metrics are meant exactly if any fact of the whole ledger has one of the names; else names that contain
     one and pass the lexical gate count. Nuance and metrics are compared in any case, years as parts of the period.
 
-    Plans meet facts by entity and by record. Plans with neither are compared with the whole ledger: ``most_open`` of them at most, or it is an error.
+    Plans that ask for the same are answered once. They meet facts by entity and by record; those with neither are compared with the whole ledger, which is sent ``most_sent`` of
+    them, or else joined in parts. With ``most_open``, more such plans are an error.
     """
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     plans = plans.withColumns({"_by_entity": some("entity_ids"), "_by_record": F.coalesce(F.length("record") > 0, F.lit(False))})
+    if most_open is not None and plans.where("NOT _by_entity AND NOT _by_record").limit(most_open + 1).count() > most_open:
+        raise ValueError(f"more than {most_open} plans have neither an entity nor a record")
     named = plans.select("query_id", F.explode(F.array_distinct("metrics")).alias("metric_name")).join(ledger.select("metric_name").distinct(), "metric_name", "left_semi")
     plans = plans.join(named.select("query_id").distinct().withColumn("_exact", F.lit(True)), "query_id", "left")
+    parts = ["entity_ids", "record", "company", "years", "metrics", "nuance", "_exact"]
+    plans = plans.withColumn("_asked", F.sha2(F.to_json(F.struct(*parts)), 256))
+    asked = plans.select("_asked", "_by_entity", "_by_record", *parts).dropDuplicates(["_asked"])
     facts = ledger.where(~F.col("alignment_status").eqNullSafe(F.lit("UNALIGNED")))
-    by_entity = plans.where("_by_entity").withColumn("entity_id", F.explode(F.array_distinct("entity_ids"))).join(facts, "entity_id")
-    by_record = plans.where("_by_record").join(facts, F.col("record") == F.col("source_record_id"))
+    by_entity = asked.where("_by_entity").withColumn("entity_id", F.explode(F.array_distinct("entity_ids"))).join(facts, "entity_id")
+    by_record = asked.where("_by_record").join(facts, F.col("record") == F.col("source_record_id"))
     # a fact that comes by its entity doesn't come by its record again
     by_record = by_record.where(~(F.col("_by_entity") & F.coalesce(F.array_contains("entity_ids", F.col("entity_id")), F.lit(False))))
-    open_ = plans.where("NOT _by_entity AND NOT _by_record")
-    if open_.limit(most_open + 1).count() > most_open:
-        raise ValueError(f"more than {most_open} plans have neither an entity nor a record")
-    every = F.broadcast(open_).join(facts, F.lit(True))  # a stated, bounded set against all facts
-    columns = ["query_id", "company", "years", "metrics", "nuance", "_exact", *facts.columns]
+    open_ = asked.where("NOT _by_entity AND NOT _by_record")
+    few = open_.limit(most_sent + 1).count() <= most_sent
+    every = (F.broadcast(open_) if few else open_).join(facts, F.lit(True))
+    columns = ["_asked", "company", "years", "metrics", "nuance", "_exact", *facts.columns]
     met = reduce(DataFrame.unionByName, [x.select(columns) for x in (by_entity, by_record, every)])
     company = F.coalesce(F.length("company") == 0, F.lit(True)) | F.coalesce(F.col("company_label").isin(*EVERYBODY) | (F.col("company_label") == F.col("company")), F.lit(False))
     year = ~some("years") | F.exists("years", lambda y: F.coalesce(F.contains("period_end", y), F.lit(False)))
     like = F.exists("metrics", lambda m: F.contains(F.lower("metric_name"), F.lower(m))) & text.passes_gate(F.flatten(F.transform("metrics", text.tokens)), F.col("metric_name"))
     metric = ~some("metrics") | F.when(F.col("_exact"), F.array_contains("metrics", F.col("metric_name"))).otherwise(like)
     nuance = F.coalesce(F.length("nuance") == 0, F.lit(True)) | F.coalesce(F.contains(F.lower("text_nuance"), F.lower("nuance")), F.lit(False))
-    kept = met.where(company & year & metric & nuance).select("query_id", *facts.columns)
-    order = Window.partitionBy("query_id").orderBy("ord", "row_id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    kept = met.where(company & year & metric & nuance).select("_asked", *facts.columns)
+    first = lambda rows, per: rows.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy("ord", "row_id"))).where(F.col("rank") <= limit)
+    answers = first(kept, "_asked").drop("rank")
+    return first(plans.select("query_id", "_asked").join(answers, "_asked").select("query_id", *facts.columns), "query_id")
 
 
 def chunks_of(chunks: DataFrame, facts: DataFrame, keywords: DataFrame, limit: int = 5) -> DataFrame:

@@ -40,3 +40,20 @@ def test_chunks_are_ranked_only_where_there_are_too_many(spark):
     out = {r["query_id"]: r["context"] for r in planned.contexts(spark.createDataFrame([(1,), (3,)], "query_id int"), rows, top, ["row_id", "num_value", "nuance_note"], "Cite.").collect()}
     assert "| row_id | num_value |\n| --- | --- |\n| b | 2.0 |\n| a | 1.0 |\n" in out[1] and "--- CHUNK_ID: z ---\nSECTION: A > B\nCONTENT:\nsales of net\n" in out[1] and "SECTION: Unknown" in out[1]
     assert planned.NO_FACTS in out[3] and planned.NO_CHUNKS in out[3] and out[3].endswith("REASONING:\nCite.\n")
+
+
+def test_any_number_of_plans_without_entity_or_record(spark):
+    """More than ten thousand of them, equal and different ones, sent to the ledger or joined in parts; rows of one id are ranked together."""
+    years = lambda i: [None, [], ["2022"], ["2023"], ["FY", "2022"]][i % 5]
+    rows = [(i, None, "" if i % 2 else None, ["C1", "", None][i % 3], years(i), None, None) for i in range(10_500)] + [(0, None, None, "C1", None, None, None), (-1, ["E1"], None, "C1", None, None, None)]
+    plans, ledger = spark.createDataFrame(rows, PLANS), spark.createDataFrame(FACTS, LEDGER)
+    fits = lambda f, company, years: f[9] != "UNALIGNED" and (not company or f[2] in ("C1", "EXP_GLOBAL")) and (not years or any(y in (f[5] or "") for y in years))
+    order = {f[0]: f[10] for f in FACTS}
+    want = {}
+    for plan in rows:
+        of_entity = lambda f: f[1] == "E1" or not plan[1]  # noqa: E731, B023
+        want.setdefault(plan[0], []).extend(f[0] for f in FACTS if of_entity(f) and fits(f, plan[3], plan[4]))
+    want = {(q, n, f) for q, fs in want.items() for n, f in enumerate(sorted(fs, key=order.get)[:3], 1)}
+    for sent in (10_000, 2):
+        out = planned.facts_of(plans, ledger, limit=3, most_sent=sent).collect()
+        assert len(out) == len(want) and {(r["query_id"], r["rank"], r["row_id"]) for r in out} == want
