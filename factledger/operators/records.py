@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.functions import text
+from factledger.functions.once import once
 from factledger.functions.similarity import token_set
 from factledger.operators import factory
 from factledger.operators.ledger import first_of
@@ -101,15 +102,14 @@ def drift(answer: Column, key: Column) -> Column:
 
 
 def neighbour_trap(answer: Column, cells: Column) -> Column:
-    """An answer with its longest table cell (first of the longest) replaced by a neighbour that has a digit; null if none fits.
+    """An answer with its longest table cell (first of the longest) replaced, wherever it stands, by a neighbour that has a digit; null if none fits.
 
     ``cells`` is array<struct<cell, neighbours>>, neighbours in the order below, above, right.
     """
     usable = lambda c: F.filter(c["neighbours"], lambda n: n.isNotNull() & n.rlike(r"\d") & (n != c["cell"]))
     fits = F.filter(cells, lambda c: (F.length(c["cell"]) > 0) & F.contains(answer, c["cell"]) & (F.size(usable(c)) > 0))
     best = F.aggregate(fits, F.lit(None).cast("struct<cell: string, other: string>"), lambda b, c: F.when(b.isNull() | (F.length(c["cell"]) > F.length(b["cell"])), F.struct(c["cell"].alias("cell"), F.get(usable(c), F.lit(0)).alias("other"))).otherwise(b))
-    at = F.instr(answer, best["cell"])
-    return F.when(best.isNotNull(), F.concat(F.substring(answer, F.lit(1), at - 1), best["other"], F.substring(answer, at + F.length(best["cell"]), F.length(answer))))
+    return once(best, lambda b: F.when(b.isNotNull(), F.replace(answer, b["cell"], b["other"])))
 
 
 def logic_lie(trace: Column, context: Column, key: Column) -> Column:

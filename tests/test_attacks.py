@@ -1,8 +1,12 @@
 """Attacks in their order on single records and nulls; contrast sets with parents, priority and repeats."""
 
+import datetime
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from factledger import plans
 from factledger.operators import attacks
 
 COLUMNS = "id long, query string, answer string, trace string, context string, scale string, company string, cells array<struct<cell: string, neighbours: array<string>>>, distractor string"
@@ -39,3 +43,21 @@ def test_contrast_set(spark, general):
     copies = [r for r in out if r["label"] == " General"]
     assert len(copies) == (20 if general else 0) and len({(r["id"], r["copy"]) for r in copies}) == len(copies)
     assert attacks.contrast_set(spark.createDataFrame([], "id long, label string, parent long"), 100).count() == 0
+
+
+def test_cells_that_stand_in_names_too(spark, tmp_path):
+    """A price that is a part of the customer's number as well, once or twice: the query's rows are those of its SQL."""
+    day = datetime.datetime(1998, 2, 6)
+    orders = [(i, c, "O", float(p), day, "5-LOW") for i, (c, p) in enumerate([(14568, 14568.4), (14568, 20000.0), (33, 33.0), (33, 3.5), (33, 333.0), (7, 123.0), (12012, 12.9), (12012, 5.0)])]
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(c, f"Customer#{c:09d}", 1, 1.0, "BUILDING") for c in (14568, 33, 7, 12012)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "nation": ([(1, "NATION_1", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+    }
+    con = duckdb.connect()
+    for name, (rows, kinds) in tables.items():
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT id, kind, field, text FROM ({plans.ORACLES['attack_cascade']})").fetchall())
+    assert "Sold by Customer#000020000 for 20000 million in BUILDING by Acme" in {r[3] for r in want}
+    assert sorted(tuple(r) for r in plans.QUERIES["attack_cascade"](spark, str(tmp_path)).select("id", "kind", "field", "text").collect()) == want
