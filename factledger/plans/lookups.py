@@ -268,7 +268,7 @@ def cleaned_numbers(t) -> DataFrame:
     kind = F.col("p_size") % 5
     shown = (
         F.when(kind == 0, F.concat(F.lit("$"), F.col("p_retailprice").cast("string"))).when(kind == 1, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")"))).when(kind == 2, F.concat(F.col("p_size").cast("string"), F.lit("%")))
-        .when(kind == 3, F.concat(F.lit("1,"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))).otherwise(F.col("p_name"))
+        .when(kind == 3, F.format_number(F.col("p_partkey") + 1_000_000, 0)).otherwise(F.col("p_name"))
     )
     return t("part").select("p_partkey", numeric.clean_number(shown).alias("value"))
 

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from factledger import plans
 from factledger.operators import lookups, sampling, structure
 from factledger.operators.review import prompt_sections
 from factledger.sources import tables
@@ -124,3 +126,13 @@ def test_sections(spark):
     prompts = [f"{head} q? \n--\nDOCUMENT:\n d\nANSWER:\nin\n--\nANSWER:\n a \n --", "ANSWER:\nfirst\n--\nDOCUMENT:\nx\n--\nANSWER:\nsecond\n--", f"{head}open", "", None]
     out = [tuple(r["s"]) if r["s"] else None for r in spark.createDataFrame([(p,) for p in prompts], "p string").select(prompt_sections(F.col("p")).alias("s")).collect()]
     assert out == [("q?", "d\nANSWER:\nin", "in"), ("", "x", "first"), ("", "", ""), ("", "", ""), ("", "", "")]
+
+
+def test_numbers_of_parts_with_keys_of_seven_digits(spark, tmp_path):
+    """Cleaned numbers are those of the query's SQL where keys outgrow six digits."""
+    rows = [(k, "a part", size, 900.0 + size) for k in (0, 7, 999_999, 1_000_000, 1_234_567, 98_765_432_101) for size in (3, 5, 8, 11, 12, 14)] + [(None, "a part", 3, None), (5, None, None, 1.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    have = [tuple(r) for r in plans.QUERIES["cleaned_numbers"](spark, str(tmp_path)).select("p_partkey", "value").collect()]
+    assert sorted(have, key=str) == sorted(con.execute(f"SELECT p_partkey, value FROM ({plans.ORACLES['cleaned_numbers']})").fetchall(), key=str)
