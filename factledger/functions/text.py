@@ -141,7 +141,7 @@ def core_tokens(metric: Column) -> Column:
 
 def semantic_support(metric: Column, context: Column) -> Column:
     """Share of a metric's core tokens in the context, give or take a final s; initials such as I.R.S. are joined. Null without core tokens."""
-    have, core = words(F.regexp_replace(context, r"(?<=[a-zA-Z])\.(?=[a-zA-Z])", "")), core_tokens(metric)
+    have, core = words(F.regexp_replace(context, r"\.(?<=[a-zA-Z]\.)(?=[a-zA-Z])", "")), core_tokens(metric)
     said = lambda have, w: F.array_contains(have, w) | (F.endswith(w, F.lit("s")) & F.array_contains(have, F.regexp_replace(w, "s$", ""))) | F.array_contains(have, F.concat(w, F.lit("s")))
     share = lambda x: F.try_divide(F.size(F.filter(x["core"], lambda w: said(x["have"], w))), F.size(x["core"]))
     return once(F.struct(have.alias("have"), core.alias("core")), share)

@@ -26,10 +26,19 @@ RULE_LINE = r"^\|?\s*:?-+:?\s*\|"
 
 
 @lru_cache(1024)
-def _asked(quote: str) -> tuple[Counter, tuple[str, ...], tuple[int, ...]]:
-    """A quote's tokens with their counts, its characters, and theirs."""
-    letters = Counter(quote)
-    return Counter(w.lower() for w in TOKEN.findall(quote)), tuple(letters), tuple(letters.values())
+def _asked(quote: str) -> tuple[Counter, list[tuple[str, int]]]:
+    """A quote's tokens and characters with their counts, the most frequent characters first."""
+    return Counter(w.lower() for w in TOKEN.findall(quote)), Counter(quote).most_common()
+
+
+def _lacks(window: str, letters: list[tuple[str, int]], most: int) -> bool:
+    """Whether a window lacks more than ``most`` of these characters."""
+    for letter, n in letters:
+        if (less := n - window.count(letter)) > 0:
+            most -= less
+            if most < 0:
+                return True
+    return False
 
 
 def _common(quote: str, window: str) -> int:
@@ -50,7 +59,7 @@ def fuzzy_interval(quote: str, source: str) -> tuple[int, int] | None:
     matching blocks. A common subsequence is never shorter, and shared characters are never fewer, so blocks are looked for only where these could
     beat the best so far; windows with most tokens come first.
     """
-    asked, letters, counts = _asked(quote)
+    asked, letters = _asked(quote)
     tokens = TOKEN.findall(source)
     total = asked.total()
     width = min(max(total, WINDOW), len(tokens))
@@ -67,12 +76,12 @@ def fuzzy_interval(quote: str, source: str) -> tuple[int, int] | None:
             shared -= left[gone] > 0
         if i >= width - 1 and shared / total >= LEAST_OVERLAP:
             likely.append((-shared, i - width + 1))
-    best, where = 0, len(tokens)
+    best, where, spare = 0, len(tokens), int(len(quote) * (1 - LEAST_RECALL)) + 1
     beaten = lambda most, i: most / len(quote) < LEAST_RECALL or most < best or (most == best and i > where)
     for _, i in sorted(likely):
         window = " ".join(tokens[i : i + width])
         common, matching = (_common_again, _matching_again) if len(window) < 1000 else (_common, _matching)
-        if beaten(sum(map(min, map(window.count, letters), counts)), i) or beaten(common(quote, window), i):
+        if _lacks(window, letters, min(spare, len(quote) - best - (i > where))) or beaten(common(quote, window), i):
             continue
         found = matching(quote, window)
         if not beaten(found, i):

@@ -162,3 +162,14 @@ def test_few_windows_are_matched_and_texts_are_read_once(spark, monkeypatch):
     for name in ("ledger_from_proposals", "grounded_facts", "alignment_counts"):
         plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("_fuzzy(") == 1 and plan.count("regexp_replace") <= 8
+
+
+def test_windows_go_by_their_characters_first(monkeypatch):
+    """Subsequences are worked out for one window a text at most where the others lack too many characters, for none where all do."""
+    tail = "while the clerk of the building segment kept all of the other papers of that office in good order for the whole time"
+    quote, asked = tail.replace("papers", "paperss").replace("good", "bad"), []
+    sources = [f"Revenues of order were {i}.75 dollars, {tail}." for i in range(20)] + [tail.replace("e", "y").replace("t", "k") + " of the of the of in for all that"] * 3
+    counted = lambda *x: asked.append(1) or similarity.common_length(*x)
+    monkeypatch.setattr(grounding, "common_length", counted)
+    assert [grounding.fuzzy_interval(quote, s) for s in sources] == [interval_by_hand(quote, s) for s in sources]
+    assert len(asked) <= 20
