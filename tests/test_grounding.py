@@ -173,3 +173,9 @@ def test_windows_go_by_their_characters_first(monkeypatch):
     monkeypatch.setattr(grounding, "common_length", counted)
     assert [grounding.fuzzy_interval(quote, s) for s in sources] == [interval_by_hand(quote, s) for s in sources]
     assert len(asked) <= 20
+
+
+def test_counts_of_proposals_come_by_one_scan(spark):
+    """Proposals are read once, whatever way their quotes are found, and what only ledger rows need isn't worked out for the counts."""
+    plan = plans.QUERIES["alignment_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan and "o_orderdate" not in plan.split("Relation [")[0]
